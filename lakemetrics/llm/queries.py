@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extraction, license_scan, packing, quality_rules, sharding, simhash, warc
+from . import html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, warc
 from .common import table
 
 
@@ -26,6 +27,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), warc.new_folder(spark))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op6_substring": op6_substring,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
