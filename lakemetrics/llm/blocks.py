@@ -26,10 +26,12 @@ MESSAGE = "_bin int, _block int, _kind int, _data binary"
 _MESSAGE = pa.schema([("_bin", pa.int32()), ("_block", pa.int32()), ("_kind", pa.int32()), ("_data", pa.binary())])
 
 
-def count(docs: DataFrame, text: str) -> int:
-    """Number of blocks for a corpus, from its size."""
+def count(docs: DataFrame, text: str, most: int = MOST) -> tuple[int, int]:
+    """Numbers of blocks and of bins for a corpus, from its size: a block holds about `most` bytes of text at most, and a
+    bin answers for about twice as many."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, size // MOST, min(4 * partitions(docs.sparkSession), size // LEAST))
+    few = min(4 * partitions(docs.sparkSession), size // LEAST)
+    return max(1, size // most, few), max(1, size // (2 * most), few)
 
 
 def deal(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, warc
+from . import html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, suffix, warc
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("bytes", 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op6_substring": op6_substring,
+    "op7_suffix": op7_suffix,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,

@@ -166,8 +166,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     A null or empty text has no words. Rows with a null key come after all others and are never a reference for each
     other; nor are rows with the same key. Repeated rows stay; an empty table gives an empty result. The key is an integer.
     """
-    n = B.count(docs, text)
-    dealt = B.deal(docs, key, text, n)
+    n_blocks, n = B.count(docs, text)
+    dealt = B.deal(docs, key, text, n_blocks)
     rest = dealt.schema["_rest"].dataType.simpleString()
 
     def number(table: pa.Table) -> int:
