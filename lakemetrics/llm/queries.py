@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, suffix, warc
+from . import decontamination, html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, suffix, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), warc.new_folder(spark))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_substring": op6_substring,
     "op7_suffix": op7_suffix,
     "op8_license_scan": op8_license_scan,
@@ -61,4 +66,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+_SPACE = "'[ \\t\\n\\x0B\\f\\r]+'"
+
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+    """,
+    "op5_decontamination": f"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
+        s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) >= 5),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id),
+        c AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN s USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+        FROM c JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles
+    """,
+    "op6_substring": f"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACE}), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS k, unnest(list_transform(range(1, len(w) - 11), lambda k: md5(array_to_string(w[k:k + 12], ' ')))) AS s FROM d WHERE len(w) >= 13),
+        f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+        r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM g JOIN f USING (s) WHERE first < doc_id),
+        x AS (SELECT doc_id, list(k ORDER BY k) AS gone FROM r GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN x USING (doc_id)
+    """,
+}
