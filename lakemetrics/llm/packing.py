@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -12,15 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END = 1
 LENGTH = 2048
 #: Limits of a sequence besides its tokens: segments, and tokens that bear loss.
 SEGMENTS, LOSS = 64, 2048
 #: Remainders of documents that wait for a place, in a task.
-POOL = 512
+POOL = 256
 #: Texts that are encoded together, and words whose ids a worker remembers.
-GROUP, MEMORY = 128, 400_000
+GROUP, MEMORY = 128, 1_000_000
 
 
 class Coder:
@@ -31,11 +34,16 @@ class Coder:
     the space before it; any other text is encoded as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
+        """path: a file of the tokenizers library; ranks: the same vocabulary as a tiktoken file, which encodes new words faster."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bulk = _fast(ranks) if ranks else self._whole
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # as byte-level BPE writes a space
         self._forget()
 
     def _forget(self) -> None:
@@ -44,17 +52,19 @@ class Coder:
         self.start, self.n = np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)):
-            got = e.ids
-            if self.n + 2 > len(self.start):
-                self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-            while self.n_ids + len(got) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            self.ids[self.n_ids : self.n_ids + len(got)] = got
-            self.n_ids += len(got)
-            self.place[w] = self.n
-            self.n += 1
-            self.start[self.n] = self.n_ids
+        """Encodes new words in one text. A token that begins with a space begins a word, as there is no other space."""
+        got = self.bulk(" " + " ".join(words))
+        begin = np.flatnonzero(self.spaced[got])
+        while self.n + len(words) + 1 > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        while self.n_ids + len(got) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.n_ids : self.n_ids + len(got)] = got
+        self.start[self.n : self.n + len(words)] = self.n_ids + begin
+        self.place.update(zip(words, range(self.n, self.n + len(words))))
+        self.n += len(words)
+        self.n_ids += len(got)
+        self.start[self.n] = self.n_ids
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -82,6 +92,26 @@ class Coder:
         return out
 
 
+def _fast(ranks: str) -> Callable[[str], np.ndarray]:
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_to_numpy
+
+
+@cache
+def coder(path: str | None) -> Coder:
+    """The coder of a worker process, which its tasks share; of the installed byte-level BPE where path is None."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
+    if path is not None:
+        return Coder(path)
+    import public_tokenizers
+
+    return Coder(public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
+
+
 class Packer:
     """Fills sequences under limits on tokens, segments and loss-bearing tokens.
 
@@ -162,13 +192,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(TOKENIZER)
-        else:
-            path = tokenizer
-        coder, packer = Coder(path), Packer(length, segments, loss)
+        encode, packer = coder(tokenizer).encode, Packer(length, segments, loss)
         task = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, np.ndarray, int]] = {}  # documents with tokens that have no place yet
         number = 0
@@ -188,7 +212,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         for pdf in batches:
             for at in range(0, len(pdf), GROUP):
                 part = pdf.iloc[at : at + GROUP]
-                for name, ids, first in zip(part["key"], coder.encode([t or "" for t in part["text"]]), part["prompt"]):
+                for name, ids, first in zip(part["key"], encode([t or "" for t in part["text"]]), part["prompt"]):
                     ids = np.append(ids, np.uint32(END))
                     held[number] = (None if pd.isna(name) else name, ids, len(ids))
                     packer.add(number, len(ids), int(first))
