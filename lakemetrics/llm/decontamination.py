@@ -125,6 +125,49 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out
 
 
+def _search(sent, key: str, item: str, k: int, threshold: float):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [
+                (None if pd.isna(name) else name, which, wanted, n, n / wanted)
+                for name, text in zip(pdf["key"], pdf["text"])
+                for which, wanted, n in _held(sent.value, text, k, threshold)
+            ]
+            yield pd.DataFrame(found, columns=[key, item, "n_shingles", "n_found", "containment"])
+
+    return search
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", k: int = SHINGLE, threshold: float = CONTAINMENT) -> DataFrame:
+    """The rows of docs that hold no benchmark item (see contained()), with all their columns; nothing is shuffled.
+
+    Only the texts go through Python, once for each block of the benchmark. Null and empty texts are clean.
+    """
+    for block in batched(benchmark.select(item, F.col("text").alias("text")).toLocalIterator(), ITEM_BLOCK):
+        sent = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in block], k))
+        docs = docs.where(~_dirty(sent, k, threshold)(F.col(text)))
+    return docs
+
+
+def _dirty(sent, k: int, threshold: float):
+    @F.pandas_udf("boolean")
+    def dirty(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(_held(sent.value, text, k, threshold)) for text in texts], dtype=bool)
+
+    return dirty
+
+
+def _held(index: Index, text: str | None, k: int, threshold: float) -> list[tuple[object, int, int]]:
+    """(item, shingles, shingles found) of every item of the index that the text holds."""
+    words, hashes = shingles(text, k)
+    near = index.candidates(hashes)
+    if not near:
+        return []
+    held = _strings(words, k)
+    found = [(name, len(wanted), len(wanted & held)) for name, wanted in (index.items[i] for i in sorted(near))]
+    return [x for x in found if x[2] >= threshold * x[1]]
+
+
 def _search(sent, key: str, item: str, k: int, threshold: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index: Index = sent.value

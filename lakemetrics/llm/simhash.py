@@ -182,3 +182,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each near-duplicate group (see near_duplicates()): that with the smallest key.
+
+    Only keys are joined, not texts. Rows with a null key stay, as no key names them; of rows with the same key one stays.
+    """
+    found = cut(near_duplicates(docs, key, text, k, radius))
+    kept = docs.join(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    twins = cut(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if twins.isEmpty():
+        return kept
+    return kept.join(twins, key, "left_anti").select(*docs.columns).unionByName(kept.join(twins, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
