@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metrics
+from . import checks, documents, metrics
 
-MODULES = (metrics,)
+MODULES = (metrics, checks, documents)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
