@@ -166,33 +166,3 @@ def _held(index: Index, text: str | None, k: int, threshold: float) -> list[tupl
     held = _strings(words, k)
     found = [(name, len(wanted), len(wanted & held)) for name, wanted in (index.items[i] for i in sorted(near))]
     return [x for x in found if x[2] >= threshold * x[1]]
-
-
-def _search(sent, key: str, item: str, k: int, threshold: float):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: Index = sent.value
-        for pdf in batches:
-            found = []
-            for name, text in zip(pdf["key"], pdf["text"]):
-                words, hashes = shingles(text, k)
-                if near := index.candidates(hashes):
-                    held = _strings(words, k)
-                    for i in sorted(near):
-                        which, wanted = index.items[i]
-                        n = len(wanted & held)
-                        if n >= threshold * len(wanted):
-                            found.append((None if pd.isna(name) else name, which, len(wanted), n, n / len(wanted)))
-            yield pd.DataFrame(found, columns=[key, item, "n_shingles", "n_found", "containment"])
-
-    return search
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """The documents that hold no benchmark item (see contained()), with all their columns.
-
-    A document is judged by its own row: rows with a null key are kept or dropped by their text, as are repeated rows.
-    """
-    index = "_number"
-    judged = docs.withColumn(index, F.xxhash64(key, text))
-    dirty = contained(judged, benchmark, index, text, **limits).select(index).distinct()
-    return judged.join(dirty, index, "left_anti").drop(index)

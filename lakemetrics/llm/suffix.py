@@ -16,6 +16,8 @@ from .common import BASES, mix, powers
 LENGTH, ANCHOR = 400, 100
 #: Text bytes of a block, about.
 BLOCK_BYTES = 4 << 20
+#: Bytes of a block whose hashes are in memory at a time.
+SEGMENT = 1 << 19
 #: Neighbours in suffix order that a suffix is compared with, on either side, before its group is settled by window hashes.
 NEIGHBOURS = 64
 #: Kinds of questions.
@@ -30,7 +32,10 @@ class Prefix:
         self.raw = np.frombuffer(data, np.uint8)
         n = len(self.raw)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64)))
+            self.sums = np.zeros(n + 1, np.uint64)
+            terms = powers(base, n)
+            terms *= self.raw.astype(np.uint64) + np.uint64(1)
+            np.cumsum(terms, out=self.sums[1:])
         self.back = powers(pow(base, -1, 1 << 64), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -56,21 +61,29 @@ class Block:
         self._place()
 
     def _place(self) -> None:
-        n, k, w = len(self.data), self.anchor, self.length - self.anchor + 1
+        """Finds the anchors segment by segment, each with as many bytes around it as a string through an anchor reaches."""
+        found = [self._segment(a, min(a + SEGMENT, len(self.data))) for a in range(0, len(self.data), SEGMENT)]
+        self.at = np.concatenate([np.empty(0, np.int64), *[at for at, _ in found]])
+        self.hash = np.concatenate([np.empty(0, np.uint64), *[h for _, h in found]])
+        self.doc = np.searchsorted(self.end, self.at, side="right")
+
+    def _segment(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        k, w = self.anchor, self.length - self.anchor + 1
+        low, high = max(0, first - self.length), min(len(self.data), last + self.length)
+        n = high - low
         if n < self.length:
-            self.at, self.hash = np.empty(0, np.int64), np.empty(0, np.uint64)
-            return
-        prefix, start = Prefix(self.data), np.arange(n - k + 1)
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        prefix, start = Prefix(self.data[low:high]), np.arange(n - k + 1)
         gram = mix(prefix.of(start, start + k))
         least = B.sliding_min(gram, w)
         # Strings across two documents don't count: their minimum becomes 0, which no anchor has.
-        doc = np.repeat(np.arange(len(self.texts), dtype=np.int32), self.end - self.begin)
+        doc = np.searchsorted(self.end, np.arange(low, high), side="right")
         least[doc[: len(least)] != doc[self.length - 1 : self.length - 1 + len(least)]] = 0
         edge = np.zeros(w - 1, np.uint64)
         most = ~B.sliding_min(~np.concatenate((edge, least, edge)), w)  # the largest minimum of the strings around a position
-        self.at = np.flatnonzero((most == gram) & (gram > 0))
-        self.hash = gram[self.at]
-        self.doc = doc[self.at]
+        at = np.flatnonzero((most == gram) & (gram > 0))
+        at = at[(at >= first - low) & (at < last - low)]
+        return at + low, gram[at]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of the anchors, whether each has several places in the block, and each anchor's hash's place among them."""
