@@ -20,6 +20,8 @@ BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 19
 #: Neighbours in suffix order that a suffix is compared with, on either side, before its group is settled by window hashes.
 NEIGHBOURS = 64
+#: Pairs of contexts that are compared byte by byte at a time.
+VERIFIED = 1_000
 #: Kinds of questions.
 ANCHORS, COPIES, CONTEXTS = 1, 2, 3
 
@@ -83,7 +85,7 @@ class Block:
         most = ~B.sliding_min(~np.concatenate((edge, least, edge)), w)  # the largest minimum of the strings around a position
         at = np.flatnonzero((most == gram) & (gram > 0))
         at = at[(at >= first - low) & (at < last - low)]
-        return at + low, gram[at]
+        return at + low, mix(gram[at])  # the smallest hashes are all small; mixed again they spread over all bins
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of the anchors, whether each has several places in the block, and each anchor's hash's place among them."""
@@ -170,8 +172,8 @@ class Contexts:
 
     def same_bytes(self, x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
         """Verifies that the extensions found really are equal."""
-        for lo in range(0, len(x), 20_000):
-            s = slice(lo, lo + 20_000)
+        for lo in range(0, len(x), VERIFIED):
+            s = slice(lo, lo + VERIFIED)
             n = left[s] + right[s]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             if not np.array_equal(self.prefix.raw[np.repeat(self.at[x[s]] - left[s], n) + step], self.prefix.raw[np.repeat(self.at[y[s]] - left[s], n) + step]):
