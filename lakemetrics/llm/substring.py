@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import rolling, word_hashes, word_spans
+from .common import mix, rolling, word_hashes, word_spans
 
 #: Words of the shortest factor that is a duplicate, and of the seeds that find it.
 WINDOW, SEED_WORDS = 13, 5
@@ -53,7 +53,8 @@ class Block:
         n = max(0, len(self.starts) - window + 1)
         # A window's seed is the smallest hash of its runs of `seed` words, so equal windows have equal seeds.
         self.valid = self.doc[:n] == self.doc[window - 1 : window - 1 + n]
-        self.seed = B.sliding_min(rolling(self.one, seed), window - seed + 1)
+        # The smallest hashes are all small; mixed again they spread over all bins.
+        self.seed = mix(B.sliding_min(rolling(self.one, seed), window - seed + 1))
         self.id = self.keys[self.doc[:n]]
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
