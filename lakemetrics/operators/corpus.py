@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import texts as X
 
@@ -163,7 +164,7 @@ def enrich(chunks: DataFrame, function: Callable[[list[str]], list], column: str
 
     The seam for an external model: function takes up to `batch` texts and returns as many results.
     """
-    schema = chunks.schema.add(column, kind)
+    schema = T.StructType(list(chunks.schema.fields)).add(column, kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -101,28 +101,28 @@ def keyword_search(terms: DataFrame, chunks: DataFrame, limit: int = 10) -> Data
 
 def _matches(terms: list[tuple], chunks: DataFrame) -> DataFrame:
     spark = chunks.sparkSession
-    asked = F.broadcast(spark.createDataFrame(terms, "query_id long, term string, grams array<string>"))  # QUERY_BLOCK at most
-    rows = chunks.select("chunk_id", "document_title", "section_title", "keywords", "aliases", "search_text").withColumn("_grams", X.trigrams(F.col("search_text")))
-    c, term = F.col, F.col("term")
-    among = lambda column: F.coalesce(F.exists(column, lambda x: F.lower(x) == F.lower(term)), F.lit(False))
-    can = F.size("grams") >= LEAST_SIMILARITY * F.size("_grams")
-    shared = F.size(F.array_intersect("grams", "_grams"))
-    similarity = F.when(can & (F.size("_grams") >= LEAST_SIMILARITY * F.size("grams")), F.coalesce(shared / F.nullif(F.size("grams") + F.size("_grams") - shared, F.lit(0)), F.lit(0.0))).otherwise(0.0)
-    joined = asked.join(rows, on=F.lit(True)).withColumn("_similarity", similarity)
+    asked = F.broadcast(spark.createDataFrame(terms, "query_id long, term string, grams array<string>").withColumn("_low", F.lower("term")))  # QUERY_BLOCK at most
+    lower = {"_text": F.lower("search_text"), "_section": F.lower("section_title"), "_document": F.lower("document_title"), "_grams": X.trigrams(F.col("search_text"))}
+    rows = chunks.select("chunk_id", "document_title", "section_title", "keywords", "aliases", "search_text").withColumns(lower).drop("search_text")
+    c, term, low = F.col, F.col("term"), F.col("_low")
+    among = lambda column: F.coalesce(F.exists(column, lambda x: F.lower(x) == low), F.lit(False))
+    can = (F.size("grams") >= LEAST_SIMILARITY * F.size("_grams")) & (F.size("_grams") >= LEAST_SIMILARITY * F.size("grams"))
     rules = {
         "section_title_exact": c("section_title") == term,
         "document_title_exact": c("document_title") == term,
         "keywords_exact": among("keywords"),
         "aliases_exact": among("aliases"),
-        "section_title_contains": X.contains_literal(c("section_title"), term),
-        "document_title_contains": X.contains_literal(c("document_title"), term),
-        "search_text_contains": X.contains_literal(c("search_text"), term),
-        "search_text_trigram": c("_similarity") >= LEAST_SIMILARITY,
+        "section_title_contains": F.contains(c("_section"), low),
+        "document_title_contains": F.contains(c("_document"), low),
+        "search_text_contains": F.contains(c("_text"), low),
     }
-    hits = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    named = [F.coalesce(rule, F.lit(False)).alias(name) for name, rule in rules.items()]
+    judged = asked.join(rows, on=F.lit(True)).select("query_id", "term", "chunk_id", *named, F.when(can, X.set_similarity(c("grams"), c("_grams"))).otherwise(0.0).alias("_similarity"))
+    judged = judged.withColumn("search_text_trigram", c("_similarity") >= LEAST_SIMILARITY).where(F.greatest(*[c(name) for name in WEIGHTS]))
+    hits = F.filter(F.array(*[F.when(c(name), F.lit(name)) for name in WEIGHTS]), lambda x: x.isNotNull())
     weight = lambda name: c("_similarity") * WEIGHTS[name] if name == "search_text_trigram" else F.lit(float(WEIGHTS[name]))
-    score = F.greatest(F.lit(0.0), *[F.when(rule, weight(name)).otherwise(0.0) for name, rule in rules.items()])
-    return joined.select("query_id", "term", "chunk_id", hits.alias("matched_terms"), F.round(score, 9).alias("keyword_score")).where(F.size("matched_terms") > 0)
+    score = F.greatest(*[F.when(c(name), weight(name)).otherwise(0.0) for name in WEIGHTS])
+    return judged.select("query_id", "term", "chunk_id", hits.alias("matched_terms"), F.round(score, 9).alias("keyword_score"))
 
 
 def query_plan(queries: DataFrame, most: int = MOST_TERMS) -> DataFrame:
