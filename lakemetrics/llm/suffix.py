@@ -20,8 +20,6 @@ BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 19
 #: Neighbours in suffix order that a suffix is compared with, on either side, before its group is settled by window hashes.
 NEIGHBOURS = 64
-#: Pairs of contexts that are compared byte by byte at a time.
-VERIFIED = 1_000
 #: Kinds of questions.
 ANCHORS, COPIES, CONTEXTS = 1, 2, 3
 
@@ -124,7 +122,8 @@ class Contexts:
         size = np.array([len(p) for p in parts], np.int64)
         self.at = np.cumsum(size) - size + before  # the anchors in the joined text
         self.after = size - before
-        self.prefix = Prefix(b"".join(parts), which)
+        self.data = b"".join(parts)
+        self.prefix = Prefix(self.data, which)
 
     def common(self, x: np.ndarray, y: np.ndarray, right: bool) -> np.ndarray:
         """Length of the longest common extension of the anchors x and y to the right or left, by binary search on hashes."""
@@ -137,17 +136,18 @@ class Contexts:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def below(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1: the order of the suffixes of x and y."""
-        n = self.common(x, y, True)
-        end_x, end_y = n == self.after[x], n == self.after[y]
+    def below(self, x: np.ndarray, y: np.ndarray, right: bool) -> np.ndarray:
+        """-1, 0 or 1: the order of what stands right (or, read backwards, left) of the anchors x and y."""
+        n = self.common(x, y, right)
+        room = self.after if right else self.before
         last = len(self.prefix.raw) - 1
-        byte_x, byte_y = (np.where(e, -1, self.prefix.raw[np.minimum(self.at[i] + n, last)].astype(np.int64)) for i, e in ((x, end_x), (y, end_y)))
+        next_ = lambda i: np.clip(self.at[i] + n if right else self.at[i] - n - 1, 0, last)
+        byte_x, byte_y = (np.where(n == room[i], -1, self.prefix.raw[next_(i)].astype(np.int64)) for i in (x, y))
         return np.sign(byte_x - byte_y)
 
-    def sort(self) -> np.ndarray:
-        """Mergesort within each group, all groups at once: a suffix's place is its place in its own run and its rank in the
-        other one, which a binary search finds."""
+    def sort(self, right: bool = True) -> np.ndarray:
+        """Mergesort of the suffixes at the anchors (or of the reversed prefixes before them) within each group, all groups
+        at once: the place of one is its place in its own run and its rank in the other one, which a binary search finds."""
         order = np.argsort(self.group, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], self.group[order][1:] != self.group[order][:-1])))
         size = np.diff(np.append(first, len(order)))
@@ -161,7 +161,7 @@ class Contexts:
             while len(open_ := np.flatnonzero(low < high)):
                 mid = (low[open_] + high[open_]) // 2
                 rival = order[start[open_] + other[open_] + mid]
-                sign = self.below(rival, order[open_])
+                sign = self.below(rival, order[open_], right)
                 before = (sign < 0) | ((sign == 0) & (run[open_] % 2 == 1))  # equal suffixes keep their order
                 low[open_], high[open_] = np.where(before, mid + 1, low[open_]), np.where(before, high[open_], mid)
             place = start + (run & ~1) * width + (j - run * width) + low
@@ -172,13 +172,8 @@ class Contexts:
 
     def same_bytes(self, x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
         """Verifies that the extensions found really are equal."""
-        for lo in range(0, len(x), VERIFIED):
-            s = slice(lo, lo + VERIFIED)
-            n = left[s] + right[s]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if not np.array_equal(self.prefix.raw[np.repeat(self.at[x[s]] - left[s], n) + step], self.prefix.raw[np.repeat(self.at[y[s]] - left[s], n) + step]):
-                return False
-        return True
+        data, a, b = self.data, self.at[x] - left, self.at[y] - left
+        return all(data[i : i + n] == data[j : j + n] for i, j, n in zip(a.tolist(), b.tolist(), (left + right).tolist()))
 
 
 def _by_windows(c: Contexts, members: np.ndarray, length: int, left: np.ndarray, right: np.ndarray) -> None:
@@ -206,9 +201,9 @@ def repeated(anchor: np.ndarray, before: np.ndarray, multiple: np.ndarray, parts
     some = np.flatnonzero(count[group] > 1)
     for which in range(len(BASES)) if len(some) else ():
         c = Contexts(group[some], before[some], [parts[i] for i in some], which)
-        l, r = left[some], right[some]
-        if _extend(c, l, r, length):
-            left[some], right[some] = l, r
+        to_left, to_right = left[some], right[some]
+        if _extend(c, to_left, to_right, length):
+            left[some], right[some] = to_left, to_right
             break
     else:
         if len(some):
@@ -217,36 +212,40 @@ def repeated(anchor: np.ndarray, before: np.ndarray, multiple: np.ndarray, parts
 
 
 def _extend(c: Contexts, left: np.ndarray, right: np.ndarray, length: int) -> bool:
-    """Fills in left and right; False if a hash gave two different strings for equal."""
-    order = c.sort()
-    n = len(order)
-    follows = c.group[order][1:] == c.group[order][:-1]
-    lcp = np.where(follows, c.common(order[:-1], order[1:], True), 0)
-    if not c.same_bytes(order[:-1][follows], order[1:][follows], np.zeros(follows.sum(), np.int64), lcp[follows]):
-        return False
+    """Fills in left and right; False if a hash gave two different strings for equal.
+
+    What a suffix shares with its neighbours in suffix order only gets less with their distance, so the first neighbour
+    on either side that gives `length` bytes in all reaches furthest to the right; that in the order of the reversed
+    prefixes reaches furthest to the left.
+    """
     late: set[int] = set()
-    for side in (1, -1):
-        # open_: places in suffix order; reach: what the suffix there shares with the neighbour t places away
-        open_ = np.flatnonzero((left[order] < c.before[order]) | (right[order] < c.after[order]))
-        reach = np.full(len(open_), np.iinfo(np.int64).max)
-        for t in range(1, NEIGHBOURS + 1):
-            edge = open_ + (t - 1 if side > 0 else -t)
-            ok = (edge >= 0) & (edge < n - 1)
-            ok[ok] = follows[edge[ok]]
-            open_, reach = open_[ok], np.minimum(reach[ok], lcp[edge[ok]])
-            if not len(open_):
-                break
-            x, y = order[open_], order[open_ + side * t]
-            back = c.common(x, y, False)
-            hit = back + reach >= length
-            if not c.same_bytes(x[hit], y[hit], back[hit], reach[hit]):
-                return False
-            left[x[hit]] = np.maximum(left[x[hit]], back[hit])
-            right[x[hit]] = np.maximum(right[x[hit]], reach[hit])
-            more = (left[x] < c.before[x]) | (right[x] < c.after[x])
-            open_, reach = open_[more], reach[more]
-        else:
-            late |= set(c.group[order[open_]].tolist())
+    some = np.flatnonzero((left < c.before) | (right < c.after))
+    for to_right, best in ((True, right), (False, left)):
+        order = c.sort(to_right)
+        n, place = len(order), np.empty(len(order), np.int64)
+        place[order] = np.arange(n)
+        follows = c.group[order][1:] == c.group[order][:-1]
+        shared = np.where(follows, c.common(order[:-1], order[1:], to_right), 0)
+        for side in (1, -1):
+            # open_: places in the order; reach: what stands there shares with the neighbour t places away
+            open_ = place[some]
+            reach = np.full(len(open_), np.iinfo(np.int64).max)
+            for t in range(1, NEIGHBOURS + 1):
+                edge = open_ + (t - 1 if side > 0 else -t)
+                ok = (edge >= 0) & (edge < n - 1)
+                ok[ok] = follows[edge[ok]]
+                open_, reach = open_[ok], np.minimum(reach[ok], shared[edge[ok]])
+                if not len(open_):
+                    break
+                x, y = order[open_], order[open_ + side * t]
+                back = c.common(x, y, not to_right)
+                hit = back + reach >= length
+                if not c.same_bytes(x[hit], y[hit], *((back[hit], reach[hit]) if to_right else (reach[hit], back[hit]))):
+                    return False
+                best[x[hit]] = np.maximum(best[x[hit]], reach[hit])
+                open_, reach = open_[~hit], reach[~hit]
+            else:
+                late |= set(c.group[order[open_]].tolist())
     for g in late:
         _by_windows(c, np.flatnonzero(c.group == g), length, left, right)
     return True
@@ -275,7 +274,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     out. The bytes around the others (as far as a string through the anchor reaches) meet in bins, each distinct context
     of a block once, and are sorted there by the suffixes that start at the anchors: a mergesort whose comparisons find
     the common extension by binary search on prefix polynomial hashes. Neighbours in suffix order share the longest
-    extensions; where extensions to both sides reach `length` bytes, they are verified byte by byte and mark a range.
+    extensions to the right, those in the order of the reversed prefixes to the left; where both sides reach `length`
+    bytes, they are verified byte by byte and mark a range.
     A hash that proves wrong is replaced by another one. Groups with so many different contexts that 64 neighbours don't
     settle them are settled by the hashes of all strings through the anchor. Copies of whole texts are found by digests.
 
