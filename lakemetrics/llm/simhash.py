@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, mix, partitions
 from .components import components
 
 SHINGLE = 3
@@ -19,7 +20,9 @@ SEED = 42
 #: Rows of a shard task, about; a task holds the trees of many shards.
 TASK_ROWS = 50_000
 #: Pairs (query, tree node) that are looked at in one step of the search.
-STEP_PAIRS = 4_000_000
+STEP_PAIRS = 1_000_000
+#: For documents of a given similarity: fingerprints of PARTS * 64 bits, dealt by TABLES samples of SAMPLED of their bits.
+NEAR_SHINGLE, SIMILARITY, PARTS, TABLES, SAMPLED = 5, 0.8, 4, 48, 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -48,6 +51,13 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, parts: int = PARTS) -> list[int]:
+    """Independent fingerprints of the distinct hashes, each of them mixed anew."""
+    distinct = np.unique(hashes)
+    with np.errstate(over="ignore"):
+        return [fingerprint(mix(distinct + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15))) for i in range(parts)]
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """key and fp (signed 64-bit fingerprint) of every row of docs."""
     kind = docs.schema[key].dataType.simpleString()
@@ -62,12 +72,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 class Forest:
     """BK-trees, one for each group of values, built level by level for all groups at once.
 
-    A value goes down from the root of its group: at each node it takes the edge named by its Hamming distance to that
-    node. child[i] holds node * 65 + distance of the edge that leads to node order[i], in ascending order.
+    A value (a row of 64-bit words) goes down from the root of its group: at each node it takes the edge named by its
+    Hamming distance to that node. child holds node * span + distance of every edge, in ascending order, and end the
+    node that it leads to; span is one more than the largest distance.
     """
 
     def __init__(self, groups: np.ndarray, values: np.ndarray):
-        self.values = values
+        self.values = values = values.reshape(len(values), -1)
+        self.span = 64 * values.shape[1] + 1
         names, place = np.unique(groups, return_inverse=True)
         self.root_of = np.empty(len(names), np.int64)
         edges, ends = [], []
@@ -85,12 +97,15 @@ class Forest:
             rest = np.ones(len(left), bool)
             rest[at] = False
             node, left = nodes[place[rest]], left[rest]
-            key = node * 65 + np.bitwise_count(values[left] ^ values[node]).astype(np.int64)
+            key = node * self.span + self.distance(left, node)
             place = key
         edge, end = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (edges, ends))
         order = np.argsort(edge)
         self.child, self.end = edge[order], end[order]
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]).sum(1, dtype=np.int64)
+
     def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, found) index pairs of values of the same group at most radius apart, in parts."""
         todo = [(queries, self.root_of[self.group[queries]])]
@@ -100,14 +115,14 @@ class Forest:
                 half = len(q) // 2
                 todo += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
-            d = np.bitwise_count(self.values[q] ^ self.values[node]).astype(np.int64)
+            d = self.distance(q, node)
             hit = (d <= radius) & (q != node)
             if hit.any():
                 yield q[hit], node[hit]
             if not len(self.child):
                 continue
-            low = np.searchsorted(self.child, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.child, node * 65 + np.minimum(d + radius, 64), side="right")
+            low = np.searchsorted(self.child, node * self.span + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.child, node * self.span + np.minimum(d + radius, self.span - 1), side="right")
             n = high - low
             if n.any():
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -128,19 +143,19 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def shard_links(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest-placed value of its group) that connect all values of the same shard within radius."""
-    order = np.lexsort((values, groups))
-    groups, values = groups[order], values[order]
-    alone = np.concatenate(([True], groups[1:] != groups[:-1])) & np.concatenate((groups[1:] != groups[:-1], [True]))
-    groups, values = groups[~alone], values[~alone]
-    if not len(values):
-        return values, values
-    forest, label = Forest(groups, values.view(np.uint64)), np.arange(len(values))
-    for at in range(0, len(values), 20_000):
-        for q, found in forest.near(np.arange(at, min(at + 20_000, len(values))), radius):
+    """Pairs of places (of a value, of the first value of its part) that connect all values of the same group within radius."""
+    order = np.argsort(groups, kind="stable")
+    of = groups[order]
+    alone = np.concatenate(([True], of[1:] != of[:-1])) & np.concatenate((of[1:] != of[:-1], [True])) if len(of) else np.empty(0, bool)
+    order = order[~alone]
+    if not len(order):
+        return order, order
+    forest, label = Forest(groups[order], values[order].view(np.uint64)), np.arange(len(order))
+    for at in range(0, len(order), 20_000):
+        for q, found in forest.near(np.arange(at, min(at + 20_000, len(order))), radius):
             _merge(label, q, found)
-    linked = label != np.arange(len(values))
-    return values[linked], values[label[linked]]
+    linked = label != np.arange(len(order))
+    return order[linked], order[label[linked]]
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -160,8 +175,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = distinct.select("fp", F.explode(shard).alias("shard")).withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(tasks)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_links(pdf["shard"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64), radius)
-        return pd.DataFrame({"u": u, "v": v})
+        fp = pdf["fp"].to_numpy(np.int64)
+        u, v = shard_links(pdf["shard"].to_numpy(np.int64), fp, radius)
+        return pd.DataFrame({"u": fp[u], "v": fp[v]})
 
     return dealt.groupBy("task").applyInPandas(search, "u long, v long")
 
@@ -184,12 +200,112 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return fps.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each near-duplicate group (see near_duplicates()): that with the smallest key.
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits in which the fingerprints of two sets with a Jaccard similarity may differ: each of them does with the angle of
+    the sets over pi, and two standard deviations are allowed on top."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return round(bits * p + 2 * sqrt(bits * p * (1 - p)))
+
+
+def shard_nearest(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each value that has others of its group within radius, and of the nearest of them (ties: the first)."""
+    order = np.argsort(groups, kind="stable")
+    of = groups[order]
+    alone = np.concatenate(([True], of[1:] != of[:-1])) & np.concatenate((of[1:] != of[:-1], [True])) if len(of) else np.empty(0, bool)
+    order = order[~alone]
+    if not len(order):
+        return order, order
+    forest = Forest(groups[order], values[order].view(np.uint64))
+    none = np.iinfo(np.int64).max
+    best = np.full(len(order), none)
+    for at in range(0, len(order), 20_000):
+        for q, found in forest.near(np.arange(at, min(at + 20_000, len(order))), radius):
+            np.minimum.at(best, q, (forest.distance(q, found) << 32) + found)
+    hit = best < none
+    return order[hit], order[best[hit] & 0xFFFFFFFF]
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of keys whose sets of shingles have the similarity, by the exact sets (as 32-bit hashes)."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["key"], "held": [np.unique(shingle_hashes(t, k).astype(np.uint32)).tobytes() for t in pdf["text"]]})
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["held_u"], pdf["held_v"]):
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pdf.loc[keep, ["u", "v"]]
+
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(named, F.col("key") == F.col("node"), "left_semi").mapInPandas(shingled, "node long, held binary")
+    sets = cut(sets)
+    joined = pairs.join(sets.withColumnsRenamed({"node": "u", "held": "held_u"}), "u").join(sets.withColumnsRenamed({"node": "v", "held": "held_v"}), "v")
+    return joined.select("u", "v", "held_u", "held_v").mapInPandas(verified, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, tables: int = TABLES, sampled: int = SAMPLED) -> DataFrame:
+    """Groups documents whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates have fingerprints of parts * 64 bits that differ in no more bits than radius_of() gives. Each of `tables`
+    fixed samples of `sampled` bits deals them to shards with BK-trees; at the least similarity a pair meets in one of
+    them with a probability of 0.97, more similar ones almost surely, and what is linked through a third document needn't
+    meet. In each shard a document names the nearest other one, so a group gives no more pairs than it has members in
+    all tables; these pairs are verified by the exact similarity of their sets.
+
+    Returns key and component_id, the smallest key that can be reached. Words are those of near_duplicates(). Texts
+    without shingle (null, empty, blank) have the same fingerprint and are one group. Rows with a null key
+    join the group of an equal set of shingles only, and never name a component that has another key. Repeated rows stay; an empty table gives an empty result.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    names = [f"f{i}" for i in range(parts)]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = np.array([wide_fingerprint(shingle_hashes(t, k), parts) for t in pdf["text"]], np.int64).reshape(-1, parts)
+            yield pd.DataFrame({"_key": pdf["key"]} | {n: found[:, i] for i, n in enumerate(names)})
+
+    schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in names)
+    fps = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(measure, schema))
+    # A distinct fingerprint is named by its smallest key, so the smallest name of a component is its id.
+    nodes = cut(fps.groupBy(*names).agg(F.min("_key").cast("long").alias("_least")).withColumn("node", F.coalesce("_least", F.lit(1 << 62) + F.abs(F.xxhash64(*names) % (1 << 60)))))
+    radius, chosen = radius_of(similarity, 64 * parts), np.random.default_rng(7)
+    bits = [np.sort(chosen.choice(64 * parts, sampled, replace=False)).tolist() for _ in range(tables)]
+
+    tasks = max(4 * partitions(docs.sparkSession), nodes.count() * tables // TASK_ROWS)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = np.ascontiguousarray(pdf[names].to_numpy(np.int64))
+            all_bits = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little")
+            for i, places in enumerate(bits):
+                shard = (i << sampled) + all_bits[:, places].astype(np.int64) @ (1 << np.arange(sampled))
+                yield pdf.assign(shard=shard, task=shard * 0x9E3779B1 % tasks)
+
+    dealt = nodes.select("node", *names).mapInPandas(deal, "node long, " + ", ".join(f"{n} long" for n in names) + ", shard long, task long")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy(np.int64)
+        u, v = shard_nearest(pdf["shard"].to_numpy(np.int64), np.ascontiguousarray(pdf[names].to_numpy(np.int64)), radius)
+        return pd.DataFrame({"u": np.maximum(node[u], node[v]), "v": np.minimum(node[u], node[v])}).drop_duplicates()
+
+    near = cut(dealt.groupBy("task").applyInPandas(search, "u long, v long").distinct())
+    roots = components(_similar(near, docs, key, text, k, similarity)).withColumnRenamed("root", "component")
+    root = F.coalesce("component", "node")
+    named = nodes.join(roots, "node", "left").select(*names, F.when(root < (1 << 62), root).cast(kind).alias("component_id"))
+    return fps.join(named, names).select(F.col("_key").alias(key), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """One row of docs for each group of similar documents (see similar_documents()): that with the smallest key.
 
     Only keys are joined, not texts. Rows with a null key stay, as no key names them; of rows with the same key one stays.
     """
-    found = cut(near_duplicates(docs, key, text, k, radius))
+    found = cut(similar_documents(docs, key, text, **limits))
     kept = docs.join(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key, "left_anti").select(*docs.columns)
     twins = cut(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
     if twins.isEmpty():
