@@ -118,3 +118,34 @@ def all_tables(events: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
         "funnel_metrics": funnel_metrics(events),
         "repurchase_metrics": repurchase_metrics(samples),
     }
+
+
+#: Named behaviour metrics: the column, how its rows add up, the formula, and the tables that give it by each legal dimension.
+METRICS: dict[str, tuple[str, str, str, dict[str, tuple[str, str]]]] = {
+    "behaviour_count": ("event_count", "sum", "sum of events", {"action": ("funnel_metrics", "action_type"), "date": ("daily_metrics", "metric_date"), "merchant": ("merchant_metrics", "merchant_id"), "category": ("category_metrics", "category_id")}),
+    "action_user_count": ("user_count", "max", "distinct users of an action", {"action": ("funnel_metrics", "action_type")}),
+    "buy_user_rate": ("user_rate", "max", "users of an action over users who clicked", {"action": ("funnel_metrics", "action_type")}),
+    "merchant_buy_user_count": ("buy_user_count", "max", "distinct buyers of a merchant", {"merchant": ("merchant_metrics", "merchant_id")}),
+    "merchant_repeat_buy_user_count": ("repeat_buy_user_count", "max", "users with two or more buys at a merchant", {"merchant": ("merchant_metrics", "merchant_id")}),
+    "merchant_repeat_buy_user_rate": ("repeat_buy_user_rate", "max", "repeat buyers over buyers of a merchant", {"merchant": ("merchant_metrics", "merchant_id")}),
+    "user_multi_merchant_buy_flag": ("multi_merchant_buy_flag", "max", "buys at two or more merchants", {"user": ("user_metrics", "user_id")}),
+    "category_buy_user_count": ("buy_user_count", "max", "distinct buyers of a category", {"category": ("category_metrics", "category_id")}),
+    "repurchase_sample_count": ("sample_count", "sum", "samples", {"split": ("repurchase_metrics", "dataset_split"), "label": ("repurchase_metrics", "label_group")}),
+    "repurchase_positive_rate": ("positive_rate", "max", "positive samples over all of the train split", {"split": ("repurchase_metrics", "dataset_split")}),
+    "active_user_count": ("user_id", "count", "users with any event", {"all": ("user_metrics", "")}),
+}
+
+
+def metric(tables: dict[str, DataFrame], name: str, dimension: str) -> DataFrame:
+    """A named metric by one of its legal dimensions, from the metric tables (see all_tables()): key and value.
+
+    Unknown names and dimensions are errors: a metric isn't defined by a dimension that its table lacks.
+    """
+    if name not in METRICS:
+        raise ValueError(f"no metric {name}")
+    column, how, _, tables_of = METRICS[name]
+    if dimension not in tables_of:
+        raise ValueError(f"{name} has no dimension {dimension}")
+    table, key = tables_of[dimension]
+    value = {"sum": F.sum, "max": F.max, "count": F.count}[how](F.col(column).cast("int") if column.endswith("_flag") else F.col(column))
+    return tables[table].groupBy(F.col(key).cast("string").alias("key") if key else F.lit("all").alias("key")).agg(value.cast("double").alias("value"))

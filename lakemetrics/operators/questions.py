@@ -13,6 +13,24 @@ KNOWLEDGE_WORDS = (
     "为什么", "原因", "依据", "怎么算", "怎么计算", "如何计算", "口径", "定义", "规则", "说明", "如何理解", "是否合理", "差异",
     "会员等级", "复购", "促销", "季节性", "区域差异", "天猫", "双十一", "加购", "收藏", "行为漏斗",
 )
+# The metrics that a question may mean, by area, with the words that name them.
+CATALOGUE = [
+    ("retail", "metric", "sales_amount", ("销售额", "销售金额", "销售收入", "营业额", "gmv", "实付金额")),
+    ("retail", "metric", "order_count", ("订单数", "订单量", "订单数量", "订单笔数", "单量", "交易笔数")),
+    ("retail", "metric", "average_order_value", ("客单价", "笔单价", "平均订单金额", "单笔金额", "客单")),
+    ("retail", "metric", "repurchase_rate", ("复购率", "复购", "重复购买率", "回购率", "二次购买")),
+    ("behaviour", "metric", "behaviour_count", ("行为记录数", "行为量", "行为次数", "日志条数", "事件数", "总行为")),
+    ("behaviour", "metric", "action_user_count", ("行为用户数", "点击用户数", "加购用户数", "收藏用户数", "购买用户数", "活跃用户", "人数")),
+    ("behaviour", "metric", "buy_user_rate", ("购买用户占比", "转化率", "转化", "行为转化", "漏斗转化")),
+    ("behaviour", "metric", "merchant_buy_user_count", ("商家购买用户", "商家用户数", "商家排行", "商家对比", "店铺")),
+    ("behaviour", "metric", "merchant_repeat_buy_user_count", ("复购用户", "复购人数", "复购用户数", "商家复购", "重复购买", "复购排行")),
+    ("behaviour", "metric", "merchant_repeat_buy_user_rate", ("复购率", "商家复购率", "重复购买率", "回购率", "复购比例", "复购")),
+    ("behaviour", "metric", "user_multi_merchant_buy_flag", ("购买广度", "多商家购买", "购买面", "跨店购买")),
+    ("behaviour", "metric", "category_buy_user_count", ("类目购买用户", "类目用户数", "类目排行", "类目对比", "品类排行")),
+    ("behaviour", "metric", "repurchase_sample_count", ("复购样本", "样本数", "样本量", "训练样本", "测试样本", "复购数据集")),
+    ("behaviour", "metric", "repurchase_positive_rate", ("正样本占比", "正样本率", "标签分布", "复购标签", "label")),
+    ("behaviour", "metric", "active_user_count", ("活跃用户数", "活跃用户", "用户规模", "去重用户")),
+]
 KNOWLEDGE_INTENTS = ("repurchase", "funnel")
 DEFAULT_AREA = "retail"
 
@@ -29,7 +47,7 @@ def route(questions: DataFrame, behaviour: tuple[str, ...] = BEHAVIOUR_WORDS, re
     return out.withColumn("area", F.when(F.size("behaviour_hits") > F.size("retail_hits"), "behaviour").otherwise(DEFAULT_AREA))
 
 
-def match_assets(routed: DataFrame, catalogue: list[tuple[str, str, str, tuple[str, ...]]], question: str = "question") -> DataFrame:
+def match_assets(routed: DataFrame, catalogue: list[tuple[str, str, str, tuple[str, ...]]] = CATALOGUE, question: str = "question") -> DataFrame:
     """Rows for the assets (area, kind, name, words) of a question's area of which a word occurs in it, in catalogue order.
 
     The catalogue is a fixed list, so it is matched inside the row.

@@ -280,3 +280,22 @@ def order_amounts(spark: SparkSession, d: str) -> DataFrame:
 def date_dim(spark: SparkSession, d: str) -> DataFrame:
     orders = tv.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("order_date"))
     return doubles(retail.date_dim(spark, of=orders))
+
+
+_NAMED = (("behaviour_count", "category"), ("action_user_count", "action"), ("buy_user_rate", "action"), ("merchant_repeat_buy_user_count", "merchant"), ("merchant_repeat_buy_user_rate", "merchant"), ("user_multi_merchant_buy_flag", "user"), ("category_buy_user_count", "category"), ("repurchase_sample_count", "split"), ("repurchase_positive_rate", "split"), ("active_user_count", "all"))
+
+
+def _named_sql(name: str, dimension: str) -> str:
+    column, how, _, of = gold.METRICS[name]
+    table, key = of[dimension]
+    value = f"CAST(max(CAST({column} AS INT)) AS DOUBLE)" if column.endswith("_flag") else f"CAST({how}({column}) AS DOUBLE)"
+    return f"SELECT '{name}' AS metric, {f'CAST({key} AS VARCHAR)' if key else "'all'"} AS key, {value} AS value FROM ({ORACLE[table]}) GROUP BY 2"
+
+
+@query("behaviour_catalogue", " UNION ALL ".join(_named_sql(*n) for n in _NAMED))
+def behaviour_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    tables, out = gold.all_tables(tv.behaviour(spark, d), tv.samples(spark, d)), None
+    for name, dimension in _NAMED:
+        one = gold.metric(tables, name, dimension).select(F.lit(name).alias("metric"), "key", "value")
+        out = one if out is None else out.unionByName(one)
+    return out

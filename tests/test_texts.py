@@ -93,6 +93,8 @@ def test_questions(spark):
     asked = spark.createDataFrame([(1, "销售额和点击量", "trend"), (2, "漏斗转化", "funnel"), (3, "GMV", None), (4, "", None)], "question_id long, question string, intent string")
     routed = {r["question_id"]: r["area"] for r in questions.route(asked).collect()}
     assert routed == {1: "retail", 2: "behaviour", 3: "retail", 4: "retail"}
+    found = {(r["question_id"], r["name"]): r["matched"] for r in questions.match_assets(questions.route(asked)).collect()}
+    assert found == {(1, "sales_amount"): ["销售额"], (2, "buy_user_rate"): ["转化", "漏斗转化"], (3, "sales_amount"): ["gmv"]}
     flags = {r["question_id"]: r["reason"] for r in questions.knowledge_flag(asked).collect()}
     assert flags == {1: None, 2: "intent funnel", 3: None, 4: None}
 
@@ -113,3 +115,17 @@ def test_empty_tables(spark):
     assert all(df.count() == 0 for df in gold.all_tables(nothing, tv.samples(spark, "/root/testdata/sf0.001").where("false")).values())
     star = tv.retail(spark, "/root/testdata/sf0.001").where("false")
     assert retail.breakdown(star, "region").count() == 0 and retail.date_dim(spark, of=star).count() == 0
+
+
+def test_catalogue_refuses_unknown_dimensions(spark):
+    from lakemetrics.operators import gold, retail
+    from lakemetrics.sources import testviews as tv
+
+    star = tv.retail(spark, "/root/testdata/sf0.001")
+    for name, dims in (("nope", []), ("average_order_value", ["product"])):
+        with pytest.raises(ValueError):
+            retail.metric(star, name, dims)
+    assert retail.metric(star, "units", ["month", "region"]).count() > 0
+    for name, dim in (("nope", "all"), ("active_user_count", "merchant")):
+        with pytest.raises(ValueError):
+            gold.metric({}, name, dim)
