@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: Words that name a part of the page in class, id or role attributes.
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -65,6 +66,12 @@ class Page:
     def _read(self, source: str) -> None:
         stack, at, size, low = [0], 0, len(source), None
         tags, runs = self.tags, self.runs
+        open_: Counter[str] = Counter()  # tags on the stack: what isn't there needn't be looked for
+
+        def close(k: int) -> None:
+            open_.subtract(tags[i] for i in stack[k:])
+            del stack[k:]
+
         while at < size:
             m = TOKEN.search(source, at)
             if m is None or m.start() > at:
@@ -81,14 +88,14 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag != "br":
+                if open_[tag] > 0:
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] == tag:
                             if tag in BLOCKS:
                                 runs.append((self.parent[stack[k]], None))
                             elif any(tags[i] in BLOCKS for i in stack[k + 1 :]):
                                 break  # an inline end tag doesn't close blocks
-                            del stack[k:]
+                            close(k)
                             break
                 continue
             if tag in BLOCKS:
@@ -96,18 +103,18 @@ class Page:
                 for k in range(len(stack) - 1, 0, -1):
                     name = tags[stack[k]]
                     if name == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if name in BLOCKS:
                         break
-            if tag in CLOSES:
+            if tag in CLOSES and any(open_[t] > 0 for t in CLOSES[tag][0]):
                 closed, within = CLOSES[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     name = tags[stack[k]]
                     if name in within:
                         break
                     if name in closed:
-                        del stack[k:]
+                        close(k)
                         if tag != "tr":
                             break
             if tag in VOID:
@@ -115,15 +122,16 @@ class Page:
                     runs.append((stack[-1], None))
                 continue
             if tag == "body":  # whatever is open belongs to the head
-                del stack[1:]
+                close(1)
             self._push(stack, tag, m[3])
+            open_[tag] += 1
             if tag in RAW:
                 if low is None:
                     low = source.lower()
                 end = low.find(f"</{tag}", at)
                 at = size if end < 0 else end
             elif m[3].endswith("/") and tag in ("svg", "math", "path"):
-                stack.pop()
+                close(len(stack) - 1)
 
 
 def main_text(source: str | None) -> str:
