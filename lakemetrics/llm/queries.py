@@ -98,3 +98,34 @@ ORACLE: dict[str, str] = {
         FROM d LEFT JOIN x USING (doc_id)
     """,
 }
+
+
+def _license_sql() -> str:
+    """Brute force of op8: every phrase at every word, every template against every block."""
+    word = license_scan.WORD
+    starts, base = [], []
+    for k, (phrase, label) in enumerate(license_scan.PHRASES.items()):
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {n}] = '{x}'" for n, x in enumerate(words, 1))
+        starts.append(f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {same}) AS a{k}")
+        base.append(f"CASE WHEN len(a{k}) > 0 THEN '{label}' END")
+    templates = ", ".join(f"({n}, '{label}', [{', '.join(f"'{x}'" for x in sorted(set(t.split())))}])" for n, (t, label) in enumerate(license_scan.TEMPLATES))
+    places = f"flatten([{', '.join(f'a{k}' for k in range(len(starts)))}])"
+    block, step = license_scan.BLOCK, license_scan.STEP
+    return f"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS low FROM documents),
+        x AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS w FROM d),
+        p AS (SELECT doc_id, w, {', '.join(starts)} FROM x),
+        q AS (SELECT doc_id, len(w) AS n_words, {places} AS places, list_filter([{', '.join(base)}], lambda y: y IS NOT NULL) AS base FROM p),
+        l AS (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), '{word}') AS w FROM x),
+        b AS (SELECT doc_id, unnest(CASE WHEN len(w) <= {block} THEN [w] ELSE list_transform(range(0, len(w) - {step}, {step}), lambda i: w[i + 1:i + {block}]) END) AS w FROM l WHERE len(w) > 0),
+        t(n, label, tokens) AS (VALUES {templates}),
+        h AS (SELECT doc_id, label, max(len(list_intersect(tokens, w)) / len(tokens)) AS s FROM b, t WHERE len(list_intersect(tokens, w)) >= {license_scan.THRESHOLD} * len(tokens) - 1e-9 GROUP BY ALL),
+        m AS (SELECT doc_id, list(label) AS more, max(s) AS s FROM h GROUP BY ALL)
+        SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, greatest(CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE 0 END, coalesce(s, 0)) AS score
+        FROM q LEFT JOIN m USING (doc_id)
+    """
+
+
+ORACLE["op8_license_scan"] = _license_sql()
