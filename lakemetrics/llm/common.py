@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the corpus contracts: space and the ASCII controls 9 to 13. Every other character belongs to a word.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -35,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def through_pandas(name: str, kind: str) -> tuple[Column, str]:
+    """A column as it goes through pandas, and its type there: an integer as text, as pandas would make numbers with nulls
+    doubles, which are exact up to 2**53 only."""
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        return F.col(name).cast("string"), "string"
+    return F.col(name), kind
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

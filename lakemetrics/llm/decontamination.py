@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolling, word_hashes, word_spans
+from .common import rolling, through_pandas, word_hashes, word_spans
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Items that are broadcast together; a larger benchmark is searched for block by block.
@@ -116,13 +116,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, n_shingles long, n_found long, containment double"
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    sent_key, as_ = through_pandas(key, kinds[0])
+    schema = f"`{key}` {as_}, `{item}` {kinds[1]}, n_shingles long, n_found long, containment double"
+    rows = docs.select(sent_key.alias("key"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
     for block in batched(benchmark.select(item, F.col(text).alias("text")).toLocalIterator(), ITEM_BLOCK):
         sent = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in block], k))
         out = out.unionByName(rows.mapInPandas(_search(sent, key, item, k, threshold), schema))
-    return out
+    return out.withColumn(key, F.col(key).cast(kinds[0]))
 
 
 def _search(sent, key: str, item: str, k: int, threshold: float):

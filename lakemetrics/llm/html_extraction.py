@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import through_pandas
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: Words that name a part of the page in class, id or role attributes.
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -213,11 +215,14 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     of pages are ignored, also such as are named text or n_chars.
     """
     columns = list(keep)
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns) + ", text string, n_chars long"
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in columns}
+    sent = {c: through_pandas(c, kinds[c]) for c in columns}
+    schema = ", ".join(f"`{c}` {sent[c][1]}" for c in columns) + ", text string, n_chars long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [main_text(h) for h in pdf["_html"]]
             yield pd.DataFrame({c: pdf[c] for c in columns} | {"text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(*columns, F.col(html).alias("_html")).mapInPandas(run, schema)
+    found = pages.select(*[sent[c][0].alias(c) for c in columns], F.col(html).alias("_html")).mapInPandas(run, schema)
+    return found.withColumns({c: F.col(c).cast(kinds[c]) for c in columns})

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import through_pandas
+
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END = 1
 LENGTH = 2048
@@ -222,6 +224,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         yield pieces()
 
     columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+    sent, as_ = through_pandas(key, kind)
+    schema = f"`{key}` {as_}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     first = F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), first.alias("prompt")).mapInPandas(run, schema)
+    return docs.select(sent.alias("key"), F.col(text).alias("text"), first.alias("prompt")).mapInPandas(run, schema).withColumn(key, F.col(key).cast(kind))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions
+from .common import cut, mix, partitions, through_pandas
 from .components import components
 
 SHINGLE = 3
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         for pdf in batches:
             yield pd.DataFrame({key: pdf["key"], "fp": np.array([fingerprint(shingle_hashes(t, k)) for t in pdf["text"]], np.int64)})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(measure, f"`{key}` {kind}, fp long")
+    sent, as_ = through_pandas(key, kind)
+    return docs.select(sent.alias("key"), F.col(text).alias("text")).mapInPandas(measure, f"`{key}` {as_}, fp long").withColumn(key, F.col(key).cast(kind))
 
 
 class Forest:
@@ -269,8 +270,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             found = np.array([wide_fingerprint(shingle_hashes(t, k), parts) for t in pdf["text"]], np.int64).reshape(-1, parts)
             yield pd.DataFrame({"_key": pdf["key"]} | {n: found[:, i] for i, n in enumerate(names)})
 
-    schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in names)
-    fps = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(measure, schema))
+    sent, as_ = through_pandas(key, kind)
+    schema = f"_key {as_}, " + ", ".join(f"{n} long" for n in names)
+    fps = cut(docs.select(sent.alias("key"), F.col(text).alias("text")).mapInPandas(measure, schema).withColumn("_key", F.col("_key").cast(kind)))
     # A distinct fingerprint is named by its smallest key, so the smallest name of a component is its id.
     nodes = cut(fps.groupBy(*names).agg(F.min("_key").cast("long").alias("_least")).withColumn("node", F.coalesce("_least", F.lit(1 << 62) + F.abs(F.xxhash64(*names) % (1 << 60)))))
     radius, chosen = radius_of(similarity, 64 * parts), np.random.default_rng(7)

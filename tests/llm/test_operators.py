@@ -45,6 +45,17 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_large_keys_beside_nulls(spark):
+    big = (1 << 60) + 1
+    frame = spark.createDataFrame([(None, "one two three four five six"), (big, "one two three four five seven")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "three four five six seven"), (2, "one two three four five")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality long")
+    pages = frame.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))
+    found = [simhash.near_duplicates(frame), simhash.similar_documents(frame), quality_rules.judge(frame, labels), packing.pack(frame), decontamination.contained(frame, items)]
+    assert all({r[0] for r in f.select("doc_id").collect()} == {None, big} for f in found)
+    assert {r["page_id"] for r in html_extraction.extract(pages).collect()} == {None, big}
+
+
 # 1 html extraction
 
 
