@@ -23,6 +23,8 @@ TASK_ROWS = 50_000
 STEP_PAIRS = 1_000_000
 #: For documents of a given similarity: fingerprints of PARTS * 64 bits, dealt by TABLES samples of SAMPLED of their bits.
 NEAR_SHINGLE, SIMILARITY, PARTS, TABLES, SAMPLED = 5, 0.8, 4, 48, 16
+#: How many times as many partners as before a document names in the next search of its shards.
+MORE = 4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -208,22 +210,53 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * p + 2 * sqrt(bits * p * (1 - p)))
 
 
-def shard_nearest(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each value that has others of its group within radius, and of the nearest of them (ties: the first)."""
-    order = np.argsort(groups, kind="stable")
-    of = groups[order]
-    alone = np.concatenate(([True], of[1:] != of[:-1])) & np.concatenate((of[1:] != of[:-1], [True])) if len(of) else np.empty(0, bool)
-    order = order[~alone]
+def shard_pairs(groups: np.ndarray, values: np.ndarray, parts: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places that each value names, and the places of pairs that are left for a later search.
+
+    Pairs are of the same group, of different parts and within radius. A value names `most` of its partners: first the
+    nearest one of every part, then the second nearest ones, and so on (ties: the first). Of a pair that neither end
+    names, both ends are left. The largest part of a group doesn't name, as the other end of its pairs does.
+    """
+    order = np.lexsort((parts, groups))
+    of, part = groups[order], parts[order]
+    new = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.empty(0, bool)
+    new_part = new | np.concatenate(([True], part[1:] != part[:-1])) if len(of) else new
+    several = np.bincount((np.cumsum(new) - 1)[new_part & ~new], minlength=new.sum())[np.cumsum(new) - 1] > 0 if len(of) else new
+    order, of, part = order[several], of[several], part[several]  # a group of one part has no pair
     if not len(order):
-        return order, order
-    forest = Forest(groups[order], values[order].view(np.uint64))
-    none = np.iinfo(np.int64).max
-    best = np.full(len(order), none)
-    for at in range(0, len(order), 20_000):
-        for q, found in forest.near(np.arange(at, min(at + 20_000, len(order))), radius):
-            np.minimum.at(best, q, (forest.distance(q, found) << 32) + found)
-    hit = best < none
-    return order[hit], order[best[hit] & 0xFFFFFFFF]
+        return order, order, order
+    _, group, size = np.unique(of, return_inverse=True, return_counts=True)
+    run = np.cumsum(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])))) - 1
+    in_part = np.bincount(run)
+    largest = np.full(len(size), -1)
+    by_size = np.argsort(in_part, kind="stable")
+    largest[group[np.unique(run, return_index=True)[1]][by_size]] = by_size
+    asks = np.flatnonzero((run != largest[group]) | (in_part[run] == 1))
+    forest = Forest(of, values[order].view(np.uint64))
+    step = int(np.clip(STEP_PAIRS // 4 // size.max(), 1, 20_000))  # what a step finds is held at once
+    left, named = np.zeros(len(order), bool), []
+    for at in range(0, len(asks), step):
+        met = [(q[other], f[other]) for q, f in forest.near(asks[at : at + step], radius) if (other := run[q] != run[f]).any()]
+        if not met:
+            continue
+        q, f = (np.concatenate(x) for x in zip(*met))
+        d = forest.distance(q, f)
+        rank = np.zeros(len(q), np.int64)
+        if len(in_part) < len(order):
+            near = np.lexsort((f, d, run[f], q))
+            q, f, d = q[near], f[near], d[near]
+            first = np.concatenate(([True], (q[1:] != q[:-1]) | (run[f[1:]] != run[f[:-1]])))
+            rank = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        near = np.lexsort((f, d, rank, q))
+        q, f = q[near], f[near]
+        first = np.concatenate(([True], q[1:] != q[:-1]))
+        kept = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1] < most
+        named.append((q[kept], f[kept]))
+        left[q[~kept]] = left[f[~kept]] = True
+    if not named:
+        return order[:0], order[:0], order[:0]
+    u, v = (np.concatenate(x) for x in zip(*named))
+    return order[u], order[v], order[left]
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
@@ -255,8 +288,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Candidates have fingerprints of parts * 64 bits that differ in no more bits than radius_of() gives. Each of `tables`
     fixed samples of `sampled` bits deals them to shards with BK-trees; at the least similarity a pair meets in one of
     them with a probability of 0.97, more similar ones almost surely, and what is linked through a third document needn't
-    meet. In each shard a document names the nearest other one, so a group gives no more pairs than it has members in
-    all tables; these pairs are verified by the exact similarity of their sets.
+    meet. In each shard a document first names the nearest other one; these pairs are verified by the exact similarity of
+    their sets, and the verified ones are contracted to parts. Then the shards are searched again, each document naming
+    the nearest ones of other parts, `MORE` times as many as before, until no pair of different parts is left that isn't
+    verified. So a family of copies gives few pairs, and one that has none gives all.
 
     Returns key and component_id, the smallest key that can be reached. Words are those of near_duplicates(). Texts
     without shingle (null, empty, blank) have the same fingerprint and are one group. Rows with a null key
@@ -288,15 +323,32 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 shard = (i << sampled) + all_bits[:, places].astype(np.int64) @ (1 << np.arange(sampled))
                 yield pdf.assign(shard=shard, task=shard * 0x9E3779B1 % tasks)
 
-    dealt = nodes.select("node", *names).mapInPandas(deal, "node long, " + ", ".join(f"{n} long" for n in names) + ", shard long, task long")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf["node"].to_numpy(np.int64)
-        u, v = shard_nearest(pdf["shard"].to_numpy(np.int64), np.ascontiguousarray(pdf[names].to_numpy(np.int64)), radius)
-        return pd.DataFrame({"u": np.maximum(node[u], node[v]), "v": np.minimum(node[u], node[v])}).drop_duplicates()
-
-    near = cut(dealt.groupBy("task").applyInPandas(search, "u long, v long").distinct())
-    roots = components(_similar(near, docs, key, text, k, similarity)).withColumnRenamed("root", "component")
+    def search(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Of the members (node, fingerprint, part): the pairs (u, v) that they name, and the nodes with pairs that are left."""
+
+        def name(pdf: pd.DataFrame) -> pd.DataFrame:
+            node = pdf["node"].to_numpy(np.int64)
+            u, v, left = shard_pairs(pdf["shard"].to_numpy(np.int64), np.ascontiguousarray(pdf[names].to_numpy(np.int64)), pdf["part"].to_numpy(np.int64), radius, most)
+            # A node that is left comes as a pair with itself.
+            return pd.DataFrame({"u": np.concatenate((np.maximum(node[u], node[v]), node[left])), "v": np.concatenate((np.minimum(node[u], node[v]), node[left]))}).drop_duplicates()
+
+        columns = ", ".join(f"{n} long" for n in ("node", *names, "part", "shard", "task"))
+        dealt = members.select("node", *names, "part").mapInPandas(deal, columns)
+        found = cut(dealt.groupBy("task").applyInPandas(name, "u long, v long").distinct())
+        return found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
+
+    tried, left = search(nodes.withColumn("part", F.col("node")), 1)
+    roots, most = components(_similar(tried, docs, key, text, k, similarity)), 1
+    while not left.isEmpty():
+        most *= MORE
+        named, left = search(nodes.join(left, "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")), most)
+        fresh = cut(named.join(tried, ["u", "v"], "left_anti"))
+        if fresh.isEmpty():
+            continue
+        alike, tried = cut(_similar(fresh, docs, key, text, k, similarity)), tried.unionByName(fresh)
+        if not alike.isEmpty():
+            roots = components(alike.unionByName(roots.toDF("u", "v")))
+    roots = roots.withColumnRenamed("root", "component")
     root = F.coalesce("component", "node")
     named = nodes.join(roots, "node", "left").select(*names, F.when(root < (1 << 62), root).cast(kind).alias("component_id"))
     return fps.join(named, names).select(F.col("_key").alias(key), "component_id")
