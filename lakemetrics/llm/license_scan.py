@@ -31,8 +31,8 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 THRESHOLD = 0.8
-#: A block is a line, or of a longer line each run of BLOCK words that starts at a multiple of STEP words; so any run of
-#: BLOCK - STEP words of one line lies within one block.
+#: A block is a line, or of a longer line each run of BLOCK words that starts at a multiple of STEP words; the words of the
+#: whole text are cut in the same way, across its lines. So any run of BLOCK - STEP words lies within one block.
 BLOCK, STEP = 48, 24
 
 
@@ -78,16 +78,16 @@ def _overlap(tokens: list[str], least: int):
     return overlap
 
 
-def _blocks(low: Column) -> Column:
-    """Arrays of the words of each block of a text."""
-    lines = F.filter(F.transform(F.split(low, "\n"), _words), lambda w: F.size(w) > 0)
-    cut = F.transform(
-        lines,
-        lambda w: F.when(F.size(w) <= BLOCK, F.array(w)).otherwise(
-            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(w, i + 1, F.lit(BLOCK)))
-        ),
+def _runs(w: Column) -> Column:
+    return F.when(F.size(w) <= BLOCK, F.array(w)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(w, i + 1, F.lit(BLOCK)))
     )
-    return F.flatten(cut)
+
+
+def _blocks(low: Column, words: Column) -> Column:
+    """Arrays of the words of each block of a text: those of its lines, and if there are several those of the whole text."""
+    lines = F.filter(F.transform(F.split(low, "\n"), _words), lambda w: F.size(w) > 0)
+    return F.concat(F.flatten(F.transform(lines, _runs)), F.when(F.instr(low, "\n") > 0, _runs(words)).otherwise(F.array().cast("array<array<string>>")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     # Only the template tokens of a block matter; as an array in the global order the first one it shares with a template is easily found.
     universe = F.array(*map(F.lit, ranked))
     blocks = F.filter(
-        F.transform(_blocks(F.col("_low")), lambda b: F.struct(F.array_intersect(universe, b).alias("held"), F.size(F.array_distinct(b)).alias("n"))),
+        F.transform(_blocks(F.col("_low"), words), lambda b: F.struct(F.array_intersect(universe, b).alias("held"), F.size(F.array_distinct(b)).alias("n"))),
         lambda b: F.arrays_overlap(b["held"], F.array(*map(F.lit, prefixes))),
     )
     rows = rows.withColumn("_blocks", F.when(F.arrays_overlap(words, F.array(*map(F.lit, prefixes))), blocks))

@@ -363,6 +363,21 @@ def test_license_scan(spark, docs, odd, empty):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
 
 
+def test_wrapped_license_headers(spark):
+    assert max(len(t.split()) for t, _ in license_scan.TEMPLATES) <= license_scan.BLOCK - license_scan.STEP
+    headers = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "lgpl": "# under the terms of the GNU Lesser General Public\n# License as published by\n# the Free Software Foundation",
+        "gpl": "This is free software: you can redistribute it\nand/or modify it under the terms\nof the GNU General Public License",
+        "apache-2": "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed",
+    }
+    filler = "\n".join(f"word{i} other{i}" for i in range(40))
+    rows = [(i * 100 + n, label, (filler[: n * 13] + "\n" if n else "") + text + "\n" + filler) for i, (label, text) in enumerate(headers.items()) for n in range(0, 40, 3)]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()
+    label = {i: x for i, x, _ in rows}
+    assert all(label[r["doc_id"]] in r["labels"].split(",") and r["score"] >= 0.8 for r in found) and len(found) == len(rows)
+
+
 # 9 quality rules
 
 
