@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -24,16 +25,21 @@ LENGTH = 2048
 SEGMENTS, LOSS = 64, 2048
 #: Remainders of documents that wait for a place, in a task.
 POOL = 256
-#: Texts that are encoded together, and words whose ids a worker remembers.
-GROUP, MEMORY = 128, 1_000_000
+#: Texts that are encoded together; words, and ids of words, that a worker remembers.
+GROUP, MEMORY, MEMORY_IDS = 128, 1_000_000, 1 << 24
+
+
+#: A space that begins a piece of the pre-tokenizer, and one that doesn't. re counts four controls more as white space than
+#: the tokenizer does, so every space taken for a beginning is one.
+CUT, UNCUT = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
 class Coder:
     """Encodes texts, remembering the ids of words.
 
-    The pre-tokenizer of byte-level BPE never joins characters across a single space that is followed by another
-    character: the space begins a new piece. So a text without two spaces in a row is encoded word by word, each with
-    the space before it; any other text is encoded as it is.
+    The pre-tokenizer of byte-level BPE begins a new piece at every space that is followed by anything but white space
+    (a run of white space gives its last space to what follows). So a text is cut at these spaces and encoded word by
+    word, each with the space before it; a word may hold other white space, also spaces that don't begin a piece.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -54,9 +60,17 @@ class Coder:
         self.start, self.n = np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words in one text. A token that begins with a space begins a word, as there is no other space."""
-        got = self.bulk(" " + " ".join(words))
+        """Encodes new words: those without a space in one text, in which a token that begins with a space begins a word."""
+        plain = [w for w in words if " " not in w]
+        got = self.bulk(" " + " ".join(plain)) if plain else np.empty(0, np.uint32)
         begin = np.flatnonzero(self.spaced[got])
+        if len(begin) == len(plain):
+            self._keep(plain, got, begin)
+            words = [w for w in words if " " in w]
+        for w in words:
+            self._keep([w], self.bulk(f" {w}"), np.zeros(1, np.int64))
+
+    def _keep(self, words: list[str], got: np.ndarray, begin: np.ndarray) -> None:
         while self.n + len(words) + 1 > len(self.start):
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
         while self.n_ids + len(got) > len(self.ids):
@@ -71,23 +85,29 @@ class Coder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _places(self, split: list[list[str]]) -> np.ndarray:
+        """The number of every word but the first of each text, -1 for new ones."""
+        rest = chain.from_iterable(s[1:] for s in split)
+        return np.fromiter(map(self.place.get, rest, repeat(-1)), np.int64, sum(map(len, split)) - len(split))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MEMORY:
+        if len(self.place) > MEMORY or self.n_ids > MEMORY_IDS:
             self._forget()
-        split = [t.split(" ") if "  " not in t else None for t in texts]
-        rest = list(chain.from_iterable(s[1:] for s in split if s))
-        at = np.fromiter(map(self.place.get, rest, repeat(-1)), np.int64, len(rest))
-        if (new := np.flatnonzero(at < 0)).size:
+        split = [t.split(" ") for t in texts]
+        at = self._places(split)
+        if (at < 0).any():
+            if any(UNCUT.search(t) for t in texts):
+                split = [CUT.split(t) if UNCUT.search(t) else s for t, s in zip(texts, split)]
+                at = self._places(split)
+            new = np.flatnonzero(at < 0)
+            rest = list(chain.from_iterable(s[1:] for s in split))
             self._learn(list(dict.fromkeys(rest[i] for i in new)))
             at[new] = [self.place[rest[i]] for i in new]
         begin, n = self.start[at], self.start[at + 1] - self.start[at]
         ids = self.ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ends = np.concatenate(([0], np.cumsum(n)))
         out, done = [], 0
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self._whole(t))
-                continue
+        for s in split:
             k = len(s) - 1
             out.append(np.concatenate((self._whole(s[0]), ids[ends[done] : ends[done + k]])))
             done += k

@@ -438,6 +438,21 @@ def test_packing(spark, docs, pairs, odd, empty):
     assert packing.pack(odd).groupBy("doc_id").count().count() and packing.pack(empty).count() == 0
 
 
+def test_ids_of_odd_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    whole.encode_special_tokens = True
+    rng, coder = random.Random(1), packing.coder(None)
+    parts = ["a", "b", "the", " ", " ", " ", "\n", "\t", "\xa0", "\u2003", "\x0b", "\r", "\x1c", "\u200b", "\x85", "\u3000", "22", "'s", "'", "!", "é", "漢", "Ġ", "<|endoftext|>", "\ufeff"]
+    for _ in range(3000):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3)]
+        assert [g.tolist() for g in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = packing.pack(spark.createDataFrame([(1, "a \xa0 \xa0\n b"), (2, " \xa0 \xa0")], "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"][:-1] for r in rows} == {1: whole.encode("a \xa0 \xa0\n b").ids, 2: whole.encode(" \xa0 \xa0").ids}
+
+
 def test_packer_keeps_all_limits():
     rng = random.Random(4)
     p = packing.Packer(length=100, segments=3, loss=60, pool=20)
