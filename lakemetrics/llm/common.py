@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a new temporary folder; on a cluster that is an error, as its
+    machines don't share such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again: a smaller cut of the lineage than a checkpoint."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def through_pandas(name: str, kind: str) -> tuple[Column, str]:
     """A column as it goes through pandas, and its type there: an integer as text, as pandas would make numbers with nulls
     doubles, which are exact up to 2**53 only."""

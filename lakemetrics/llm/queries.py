@@ -97,6 +97,19 @@ ORACLE: dict[str, str] = {
             sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN x USING (doc_id)
     """,
+    "op7_suffix": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, k, md5(substring(h, 2 * k + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS k FROM d WHERE len(h) >= 800)),
+        r AS (SELECT doc_id, k FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+        i AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+        j AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM i),
+        z AS (SELECT doc_id, n, min(k) AS a, max(k) + 400 AS b FROM j GROUP BY ALL),
+        y AS (SELECT doc_id, sum(b - a) AS gone, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM z GROUP BY doc_id),
+        p AS (SELECT doc_id, h, gone, a, CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i:
+            substring(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN len(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '') END AS kept
+            FROM d LEFT JOIN y USING (doc_id))
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM p
+    """,
 }
 
 
@@ -111,14 +124,12 @@ def _license_sql() -> str:
         base.append(f"CASE WHEN len(a{k}) > 0 THEN '{label}' END")
     templates = ", ".join(f"({n}, '{label}', [{', '.join(f"'{x}'" for x in sorted(set(t.split())))}])" for n, (t, label) in enumerate(license_scan.TEMPLATES))
     places = f"flatten([{', '.join(f'a{k}' for k in range(len(starts)))}])"
-    block, step = license_scan.BLOCK, license_scan.STEP
+    tokens = ", ".join(f"'{x}'" for x in sorted({x for t, _ in license_scan.TEMPLATES for x in t.split()}))
     return f"""
-        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS low FROM documents),
-        x AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS w FROM d),
+        WITH x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{word}') AS w FROM documents),
         p AS (SELECT doc_id, w, {', '.join(starts)} FROM x),
         q AS (SELECT doc_id, len(w) AS n_words, {places} AS places, list_filter([{', '.join(base)}], lambda y: y IS NOT NULL) AS base FROM p),
-        l AS (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), '{word}') AS w FROM x),
-        b AS (SELECT doc_id, unnest(CASE WHEN len(w) <= {block} THEN [w] ELSE list_transform(range(0, len(w) - {step}, {step}), lambda i: w[i + 1:i + {block}]) END) AS w FROM l WHERE len(w) > 0),
+        b AS (SELECT doc_id, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({tokens})), lambda i: w[i:i + {license_scan.BLOCK - 1}])) AS w FROM x),
         t(n, label, tokens) AS (VALUES {templates}),
         h AS (SELECT doc_id, label, max(len(list_intersect(tokens, w)) / len(tokens)) AS s FROM b, t WHERE len(list_intersect(tokens, w)) >= {license_scan.THRESHOLD} * len(tokens) - 1e-9 GROUP BY ALL),
         m AS (SELECT doc_id, list(label) AS more, max(s) AS s FROM h GROUP BY ALL)
