@@ -23,65 +23,66 @@ def _distinct(*columns: str) -> list[Column]:
     return [F.countDistinct(f"{c}_id").alias(f"{c}_count") for c in columns]
 
 
-def _buyers() -> Column:
-    return F.countDistinct(F.when(F.col("action_type") == "buy", F.col("user_id"))).alias("buy_user_count")
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("event_count", *(f"{a}_count" for a in ACTIONS))]
 
 
-def daily_metrics(events: DataFrame) -> DataFrame:
-    """Counts by date and action; shares of the day's events and of the day's distinct users (taken from the detail)."""
-    per_action = events.groupBy(F.col("event_date").alias("metric_date"), "action_type").agg(F.count("*").alias("event_count"), *_distinct("user", "item", "merchant", "category"))
-    day = events.groupBy(F.col("event_date").alias("metric_date")).agg(F.count("*").alias("_events"), F.countDistinct("user_id").alias("_users"))
-    return per_action.join(day, "metric_date").withColumns({"event_share": rate("event_count", "_events"), "user_share": rate("user_count", "_users")}).drop("_events", "_users")
+def _by_user(events: DataFrame, group: str) -> DataFrame:
+    """Events, by action too, of each group and user. Users, buyers and repeat buyers of the group are counts of these rows,
+    so no event is multiplied to count distinct users, and the events are read once for all of them."""
+    return events.groupBy(group, "user_id").agg(F.count("*").alias("event_count"), *_counts())
 
 
-def user_merchant_buys(events: DataFrame) -> DataFrame:
-    """Buys by user and merchant: what merchant and user metrics have in common."""
-    return events.where("action_type = 'buy'").groupBy("user_id", "merchant_id").agg(F.count("*").alias("buys"))
+def daily_metrics(events: DataFrame) -> DataFrame:
+    """Counts by date and action; shares of the day's events and of the day's distinct users (taken from the detail)."""
+    keys = ["metric_date", "action_type"]
+    dated = events.withColumn("metric_date", F.col("event_date"))
+    by_user = dated.groupBy(*keys, "user_id").agg(F.count("*").alias("_n"))
+    per_action = by_user.groupBy(*keys).agg(F.sum("_n").alias("event_count"), F.count("user_id").alias("user_count"))
+    others = dated.groupBy(*keys).agg(*_distinct("item", "merchant", "category"))
+    day = by_user.groupBy("metric_date", "user_id").agg(F.sum("_n").alias("_n")).groupBy("metric_date").agg(F.sum("_n").alias("_events"), F.count("user_id").alias("_users"))
+    joined = per_action.join(others, (per_action.metric_date.eqNullSafe(others.metric_date)) & (per_action.action_type.eqNullSafe(others.action_type))).select(per_action["*"], *[others[f"{c}_count"] for c in ("item", "merchant", "category")])
+    return joined.join(day, "metric_date").withColumns({"event_share": rate("event_count", "_events"), "user_share": rate("user_count", "_users")}).drop("_events", "_users")
 
 
 def merchant_metrics(events: DataFrame) -> DataFrame:
     """Counts, buyers and repeat buyers of every merchant; both sides are aggregated before they are joined."""
-    all_ = events.groupBy("merchant_id").agg(F.count("*").alias("event_count"), *_distinct("user", "item", "category"), *_counts(), _buyers())
-    repeat = user_merchant_buys(events).where("buys >= 2").groupBy("merchant_id").agg(F.count("*").alias("_repeat"))
-    return (
-        all_.join(repeat, "merchant_id", "left")
-        .withColumn("buy_user_rate", F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)))
-        .withColumn("repeat_buy_user_count", F.coalesce("_repeat", F.lit(0)))
-        .withColumn("repeat_buy_user_rate", F.coalesce(rate("repeat_buy_user_count", "buy_user_count"), F.lit(0)))
-        .drop("_repeat")
-    )
+    users = _by_user(events, "merchant_id").groupBy("merchant_id").agg(*_sums(), F.count("user_id").alias("user_count"), F.count_if(F.col("user_id").isNotNull() & (F.col("buy_count") > 0)).alias("buy_user_count"), F.count_if(F.col("buy_count") >= 2).alias("repeat_buy_user_count"))
+    others = events.groupBy("merchant_id").agg(*_distinct("item", "category")).withColumnRenamed("merchant_id", "_id")
+    joined = users.join(others, F.col("merchant_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return joined.withColumns({"buy_user_rate": F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)), "repeat_buy_user_rate": F.coalesce(rate("repeat_buy_user_count", "buy_user_count"), F.lit(0))})
 
 
 def category_metrics(events: DataFrame) -> DataFrame:
     """Counts and buyers of every category."""
-    all_ = events.groupBy("category_id").agg(F.count("*").alias("event_count"), *_distinct("user", "item", "merchant"), *_counts(), _buyers())
-    return all_.withColumn("buy_user_rate", F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)))
+    users = _by_user(events, "category_id").groupBy("category_id").agg(*_sums(), F.count("user_id").alias("user_count"), F.count_if(F.col("user_id").isNotNull() & (F.col("buy_count") > 0)).alias("buy_user_count"))
+    others = events.groupBy("category_id").agg(*_distinct("item", "merchant")).withColumnRenamed("category_id", "_id")
+    joined = users.join(others, F.col("category_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return joined.withColumn("buy_user_rate", F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)))
 
 
 def user_metrics(events: DataFrame) -> DataFrame:
     """Counts, active days, breadth and repeat flags, and first and last date of every user."""
-    all_ = events.groupBy("user_id").agg(
-        F.count("*").alias("event_count"),
-        *_distinct("item", "merchant", "category"),
-        F.countDistinct("event_date").cast("int").alias("active_days"),
-        *_counts(),
-        F.min("event_date").alias("first_event_date"),
-        F.max("event_date").alias("last_event_date"),
-    )
-    bought = user_merchant_buys(events).groupBy("user_id").agg(F.count("*").alias("_merchants"), F.max("buys").alias("_most"))
-    return (
-        all_.join(bought, "user_id", "left")
-        .withColumn("buy_merchant_count", F.coalesce("_merchants", F.lit(0)))
-        .withColumn("multi_merchant_buy_flag", F.coalesce(F.col("_merchants") >= 2, F.lit(False)))
-        .withColumn("repeat_buy_flag", F.coalesce(F.col("_most") >= 2, F.lit(False)))
-        .drop("_merchants", "_most")
+    dates = [F.min("event_date").alias("first_event_date"), F.max("event_date").alias("last_event_date")]
+    by_merchant = events.groupBy("user_id", "merchant_id").agg(F.count("*").alias("event_count"), *_counts(), *dates)
+    merchants = by_merchant.groupBy("user_id").agg(
+        *_sums(),
+        F.count("merchant_id").alias("merchant_count"),
+        F.count_if(F.col("buy_count") > 0).alias("buy_merchant_count"),
+        F.max("buy_count").alias("_most"),
+        F.min("first_event_date").alias("first_event_date"),
+        F.max("last_event_date").alias("last_event_date"),
     )
+    others = events.groupBy("user_id").agg(*_distinct("item", "category"), F.countDistinct("event_date").cast("int").alias("active_days")).withColumnRenamed("user_id", "_id")
+    joined = merchants.join(others, F.col("user_id").eqNullSafe(F.col("_id")))
+    return joined.withColumns({"multi_merchant_buy_flag": F.col("buy_merchant_count") >= 2, "repeat_buy_flag": F.col("_most") >= 2}).drop("_id", "_most")
 
 
 def funnel_metrics(events: DataFrame, steps: dict[str, int] | None = None, base: str = "click") -> DataFrame:
     """Users and events by action, and their rates relative to the base action (over 1 is possible; 0 without a base)."""
     steps = steps or FUNNEL
-    per = events.where(F.col("action_type").isin(list(steps))).groupBy("action_type").agg(F.countDistinct("user_id").alias("user_count"), F.count("*").alias("event_count"))
+    by_user = events.where(F.col("action_type").isin(list(steps))).groupBy("action_type", "user_id").agg(F.count("*").alias("_n"))
+    per = by_user.groupBy("action_type").agg(F.count("user_id").alias("user_count"), F.sum("_n").alias("event_count"))
     first = per.agg(F.max(F.when(F.col("action_type") == base, F.col("user_count"))).alias("_users"), F.max(F.when(F.col("action_type") == base, F.col("event_count"))).alias("_events"))
     order = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])
     return (
