@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,27 +64,24 @@ def raw(spark: SparkSession, folder: str, spec: FileSpec) -> DataFrame:
 
     The reader must parse every column to see that: nothing may be pruned below the check, so column pruning is off.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*spec.header, CORRUPT)])
-    return spark.read.schema(schema).csv(f"{folder}/{spec.file}", header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return spark.read.schema(schema).option("columnPruning", False).csv(f"{folder}/{spec.file}", header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
 
 
-def numbered(df: DataFrame, name: str = "source_row_number") -> DataFrame:
-    """Numbers the rows of a scan from 1 in file order.
+def numbered(df: DataFrame, name: str = "source_row_number", each_file: bool = False) -> DataFrame:
+    """Numbers the rows of a file scan from 1 in the order of the files' paths and of the rows within them; with each_file
+    from 1 in every file.
 
-    The rows before a partition are counted first (one row for each partition reaches the driver); within a partition
-    the order of a file scan is kept. The contract is one file for each table: the order of several files is theirs by name.
+    A scan reads a file in blocks, and keeps the order within each. The rows of the blocks are counted first; their
+    table (one row for each block, so some 10**6 for 100 TB) gives the rows before a block and its first identifier.
     """
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not before:
-        return placed.withColumn(name, F.lit(None).cast("long")).drop("_id")
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
-    return placed.withColumn(name, offsets[part] + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id")
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    placed = df.select("*", *at).withColumn("_id", F.monotonically_increasing_id())
+    blocks = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    order = Window.partitionBy("_file").orderBy("_start") if each_file else Window.orderBy("_file", "_start")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("_file", "_start", (before - F.col("_first") + 1).alias("_shift"))
+    return placed.join(F.broadcast(offsets), ["_file", "_start"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_start", "_id", "_shift")
 
 
 @dataclass

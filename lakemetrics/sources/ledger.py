@@ -12,15 +12,23 @@ from ..operators import gold, ingest
 
 RUNNING, SUCCEEDED, FAILED = "running", "succeeded", "failed"
 IMPORT, SKIP, REFUSE = "import", "skip", "refuse"
+#: Hashes that are hashed together.
+FAN = 4096
 
 
 def fingerprint(spark: SparkSession, folder: str) -> str:
     """SHA-256 of the input: of the sorted hashes of its files, so that names don't matter.
 
-    Only hashes reach the driver. A file may have 2 GB (the limit of a binary value); larger inputs come in parts.
+    A file's hash is a tree over its lines: FAN hashes in a row are hashed together, level by level. So a file may have
+    any size, and no task holds more than FAN hashes of it at a time.
     """
-    files = spark.read.format("binaryFile").load(folder).select(F.sha2("content", 256).alias("h"))
-    return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h")).head()["h"]
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(folder)
+    level = ingest.numbered(lines.select("value", F.col("_metadata.file_path").alias("_path"), "_metadata"), "_i", each_file=True).select("_path", (F.col("_i") - 1).alias("_i"), F.sha2("value", 256).alias("_h"))
+    most = level.agg(F.coalesce(F.max("_i"), F.lit(0)).alias("n")).head()["n"]
+    while most > 0:
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"])
+        level, most = level.groupBy("_path", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.sha2(F.array_join(hashes, ""), 256).alias("_h")), most // FAN
+    return level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), "\n"), 256).alias("h")).head()["h"]
 
 
 class Store:
@@ -123,11 +131,12 @@ def ingest_folder(store: Store, folder: str, modulus: int = 1, residue: int = 0,
         raise ingest.IngestError("existing", "other data is published; replace it explicitly")
     run = store.open(folder.rstrip("/").rpartition("/")[2], sha256, modulus, residue)
     try:
-        where, counts = write_run(store, run, ingest.read_silver(store.spark, folder, modulus, residue, year))
+        silver = ingest.read_silver(store.spark, folder, modulus, residue, year)
+        where, counts = write_run(store, run, silver)
         store.publish(run["run_id"], where)
     except Exception as e:
         store.fail(run, getattr(e, "category", "other"), str(e))
         raise
     imported = sum(counts[n] for n in ("users", "user_events", "repurchase_samples"))
-    store.succeed(run, sum(store.spark.read.text(f"{folder}/{s.file}").count() - 1 for s in ingest.FILES), imported)
+    store.succeed(run, sum(o.get["rows"] for o in silver.raw_counts.values()), imported)
     return {"action": IMPORT, "run_id": run["run_id"], "counts": counts}

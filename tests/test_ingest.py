@@ -3,10 +3,12 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakemetrics.contracts import FILES
 from lakemetrics.operators import gold, ingest, quality
 from lakemetrics.operators.ingest import IngestError
+from lakemetrics.sources import ledger
 from lakemetrics.sources.ledger import Store, fingerprint, ingest_folder
 from lakemetrics.streaming.arrivals import ingest_arrivals
 
@@ -108,13 +110,17 @@ def test_headers_are_checked_first(spark, tmp_path):
         ingest.check_sampling(5, 5)
 
 
-def test_fingerprint_ignores_names(spark, tmp_path):
+def test_fingerprint_ignores_names(spark, tmp_path, monkeypatch):
     a = write(tmp_path / "a")
     before = fingerprint(spark, a)
     (tmp_path / "a" / FILES[0].file).rename(tmp_path / "a" / "renamed.csv")
     assert fingerprint(spark, a) == before
-    (tmp_path / "a" / "renamed.csv").write_text("x")
-    assert fingerprint(spark, a) != before
+    monkeypatch.setattr(ledger, "FAN", 2)
+    assert (small := fingerprint(spark, a)) != before
+    (tmp_path / "a" / "renamed.csv").rename(tmp_path / "a" / "zz.csv")
+    assert fingerprint(spark, a) == small
+    (tmp_path / "a" / "zz.csv").write_text("x")
+    assert fingerprint(spark, a) != small
 
 
 def test_row_numbers_over_many_partitions(spark, tmp_path):
@@ -123,8 +129,11 @@ def test_row_numbers_over_many_partitions(spark, tmp_path):
     try:
         spec = FILES[0].__class__("users", "n.csv", "users", FILES[0].header)
         rows = ingest.numbered(ingest.raw(spark, str(tmp_path), spec)).collect()
+        spark.read.csv(str(tmp_path / "n.csv"), header=True).repartition(5).write.csv(str(tmp_path / "several.csv"), header=True)
+        several = ingest.numbered(ingest.raw(spark, str(tmp_path), spec.__class__("users", "several.csv", "users", spec.header)).select("*", "_metadata")).orderBy("source_row_number").select("source_row_number", "user_id", F.col("_metadata.file_name"), F.col("_metadata.file_block_start")).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["source_row_number"] for r in several] == list(range(1, 5001)) and [tuple(r)[2:] for r in several] == sorted(tuple(r)[2:] for r in several)
     assert all(int(r["user_id"]) == r["source_row_number"] for r in rows) and len(rows) == 5000
 
 
