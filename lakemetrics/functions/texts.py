@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of any script, for trimming (Java's \\s is ASCII unless (?U) is on).
-EDGE = r"(?U)^\s+|\s+$"
+#: White space of any script, for trimming.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What ends a line besides the newline.
 LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085  ]"
 CJK = "[一-鿿]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalise(c: Column) -> Column:
@@ -24,7 +24,8 @@ def normalise(c: Column) -> Column:
 def clean_body(c: Column) -> Column:
     """Strips white space at line ends, leaves at most one blank line in a row, strips the whole."""
     lines = F.regexp_replace(c, LINE_ENDS, "\n")
-    return strip(F.regexp_replace(F.regexp_replace(lines, r"(?Um)[\s&&[^\n]]+$", ""), r"\n{3,}", "\n\n"))
+    # A run of white space is looked at from its start only, so long runs take linear time.
+    return strip(F.regexp_replace(F.regexp_replace(lines, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", ""), r"\n{3,}", "\n\n"))
 
 
 def clean_title(c: Column) -> Column:
@@ -56,14 +57,27 @@ def pack_blocks(body: Column, limit: int) -> Column:
 
 def token_estimate(c: Column) -> Column:
     """One token for each CJK character and 1.3 for each other word, rounded half to even."""
-    words = F.regexp_count(F.regexp_replace(c, CJK, " "), F.lit("[A-Za-z0-9_]+"))
+    words = F.regexp_count(c, F.lit("[A-Za-z0-9_]+"))
     return (F.regexp_count(c, F.lit(CJK)) + F.rint(words * F.lit(1.3))).cast("long")
 
 
+def _distinct_words(c: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: w != "")
+
+
+def _grams(words: Column) -> Column:
+    long = F.filter(words, lambda w: F.length(w) > 2)
+    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+
+
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the words of lower-cased text; a word is padded with two spaces before and one behind."""
-    words = F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+    return _grams(F.transform(_distinct_words(c), lambda w: F.concat(F.lit("  "), w, F.lit(" "))))
+
+
+def inner_trigrams(c: Column) -> Column:
+    """Distinct trigrams inside the words of lower-cased text: every text that holds this one has them among its trigrams."""
+    return _grams(_distinct_words(c))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -26,7 +27,9 @@ WEIGHTS = {
     "search_text_contains": 40,
     "search_text_trigram": 30,
 }
-#: Queries or terms that are broadcast together; more are searched for block by block.
+#: Columns of a chunk that may hold a term.
+FIELDS = ("section_title", "document_title", "search_text")
+#: Queries that are broadcast together; more are searched for block by block.
 QUERY_BLOCK = 2_000
 
 
@@ -85,44 +88,56 @@ def keyword_search(terms: DataFrame, chunks: DataFrame, limit: int = 10) -> Data
 
     The score is the largest weight of the signals that match (that of trigrams times the similarity); all of them are
     listed in tier order. Titles are compared exactly in their case, everything else in any case, and no character of a
-    term is a wildcard. Terms are broadcast in blocks; trigrams of a chunk are computed once, and compared only if their
-    number allows the least similarity.
+    term is a wildcard. Every signal is an equi-join: exact ones on the term, the others on trigrams. A text that holds a
+    term holds the trigrams inside the term's words, so only chunks with one of these are searched for it, and the
+    similarity is a count of shared trigrams by chunk and term, where their numbers allow the least similarity. Terms without three letters or digits in a row have no
+    such trigram and are looked for in all chunks.
     """
     _within(limit, MOST_KEYWORD, "limit")
-    out = None
-    for block in batched(terms.where(F.col("term").isNotNull()).select("query_id", "term", X.trigrams(F.col("term")).alias("grams")).toLocalIterator(), QUERY_BLOCK):
-        one = _matches([(r[0], r[1], r[2]) for r in block], chunks)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = _matches([], chunks)
+    asked = terms.where(F.col("term").isNotNull()).select("query_id", "term")
+    rows = chunks.select("chunk_id", "document_title", "section_title", "keywords", "aliases", "search_text")
+    found = _signals(asked.select("term").distinct(), rows)
+    hits = F.filter(F.array(*[F.when(F.array_contains("_names", name), F.lit(name)) for name in WEIGHTS]), lambda x: x.isNotNull())
+    weight = lambda name: F.col("_similarity") * WEIGHTS[name] if name == "search_text_trigram" else F.lit(float(WEIGHTS[name]))
+    score = F.greatest(*[F.when(F.array_contains("_names", name), weight(name)).otherwise(0.0) for name in WEIGHTS])
+    named = found.groupBy("term", "chunk_id").agg(F.collect_set("name").alias("_names"), F.max("similarity").alias("_similarity"))
+    scored = named.select("term", "chunk_id", hits.alias("matched_terms"), F.round(score, 9).alias("keyword_score")).join(asked.distinct(), "term")
     rank = F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("keyword_score"), "chunk_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
-
-
-def _matches(terms: list[tuple], chunks: DataFrame) -> DataFrame:
-    spark = chunks.sparkSession
-    asked = F.broadcast(spark.createDataFrame(terms, "query_id long, term string, grams array<string>").withColumn("_low", F.lower("term")))  # QUERY_BLOCK at most
-    lower = {"_text": F.lower("search_text"), "_section": F.lower("section_title"), "_document": F.lower("document_title"), "_grams": X.trigrams(F.col("search_text"))}
-    rows = chunks.select("chunk_id", "document_title", "section_title", "keywords", "aliases", "search_text").withColumns(lower).drop("search_text")
-    c, term, low = F.col, F.col("term"), F.col("_low")
-    among = lambda column: F.coalesce(F.exists(column, lambda x: F.lower(x) == low), F.lit(False))
-    can = (F.size("grams") >= LEAST_SIMILARITY * F.size("_grams")) & (F.size("_grams") >= LEAST_SIMILARITY * F.size("grams"))
-    rules = {
-        "section_title_exact": c("section_title") == term,
-        "document_title_exact": c("document_title") == term,
-        "keywords_exact": among("keywords"),
-        "aliases_exact": among("aliases"),
-        "section_title_contains": F.contains(c("_section"), low),
-        "document_title_contains": F.contains(c("_document"), low),
-        "search_text_contains": F.contains(c("_text"), low),
-    }
-    named = [F.coalesce(rule, F.lit(False)).alias(name) for name, rule in rules.items()]
-    judged = asked.join(rows, on=F.lit(True)).select("query_id", "term", "chunk_id", *named, F.when(can, X.set_similarity(c("grams"), c("_grams"))).otherwise(0.0).alias("_similarity"))
-    judged = judged.withColumn("search_text_trigram", c("_similarity") >= LEAST_SIMILARITY).where(F.greatest(*[c(name) for name in WEIGHTS]))
-    hits = F.filter(F.array(*[F.when(c(name), F.lit(name)) for name in WEIGHTS]), lambda x: x.isNotNull())
-    weight = lambda name: c("_similarity") * WEIGHTS[name] if name == "search_text_trigram" else F.lit(float(WEIGHTS[name]))
-    score = F.greatest(*[F.when(c(name), weight(name)).otherwise(0.0) for name in WEIGHTS])
-    return judged.select("query_id", "term", "chunk_id", hits.alias("matched_terms"), F.round(score, 9).alias("keyword_score"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "term", "chunk_id", "matched_terms", "keyword_score", "rank")
+
+
+def _signals(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, name, similarity) of every signal that matches; similarity is that of trigrams, else null."""
+    none = F.lit(None).cast("double").alias("similarity")
+    signal = lambda df, name: df.select("term", "chunk_id", F.lit(name).alias("name"), none)
+    low = terms.withColumn("_low", F.lower("term"))
+    out = [signal(terms.join(chunks.select("chunk_id", F.col(c).alias("term")), "term"), f"{c}_exact") for c in ("section_title", "document_title")]
+    out += [signal(low.join(chunks.select("chunk_id", F.explode(F.array_distinct(F.transform(c, F.lower))).alias("_low")), "_low"), f"{c}_exact") for c in ("keywords", "aliases")]
+    low = low.withColumn("_t", F.unhex(F.md5(F.col("term").cast("binary"))))  # counted rows carry this instead of the term
+    grams = low.select("_t", "term", "_low", X.trigrams(F.col("term")).alias("_grams"), X.inner_trigrams(F.col("term")).alias("_inner"))
+    held = chunks.select("chunk_id", *[X.trigrams(F.col(c)).alias(c) for c in FIELDS])
+    index = grams.select("_t", F.size("_grams").alias("_a"), F.explode("_grams").alias("_gram"))
+    seen = held.select("chunk_id", F.size("search_text").alias("_b"), F.explode("search_text").alias("_gram"))
+    able = F.expr(f"_a >= {LEAST_SIMILARITY} * _b and _b >= {LEAST_SIMILARITY} * _a")
+    met = seen.join(index, "_gram").where(able).groupBy("chunk_id", "_t", "_a", "_b").agg(F.count("*").alias("_h"))
+    near = met.withColumn("similarity", F.col("_h") / (F.col("_a") + F.col("_b") - F.col("_h"))).where(F.col("similarity") >= LEAST_SIMILARITY)
+    named = low.select("_t", "term", "_low")
+    out.append(near.join(named, "_t").select("term", "chunk_id", F.lit("search_text_trigram").alias("name"), "similarity"))
+    needles = grams.where(F.size("_inner") > 0).select("term", "_low", F.array_max("_inner").alias("_gram"))
+    fields = F.flatten(F.array(*[F.transform(c, _in_field(c)) for c in FIELDS]))
+    able = held.select("chunk_id", F.explode(fields).alias("_f")).select("chunk_id", "_f.field", F.col("_f.gram").alias("_gram")).join(needles, "_gram")
+    lowered = chunks.select("chunk_id", *[F.lower(c).alias(c) for c in FIELDS])
+    of_field = reduce(lambda a, c: a.when(F.col("field") == c, F.col(c)), FIELDS, F)
+    out.append(able.join(lowered, "chunk_id").where(F.contains(of_field, F.col("_low"))).select("term", "chunk_id", F.concat("field", F.lit("_contains")).alias("name"), none))
+    short = grams.where(F.size("_inner") == 0).select("term", "_low")
+    if not short.isEmpty():
+        pairs = short.join(lowered, on=F.lit(True))
+        out += [signal(pairs.where(F.contains(c, "_low")), f"{c}_contains") for c in FIELDS]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _in_field(name: str):
+    return lambda g: F.struct(F.lit(name).alias("field"), g.alias("gram"))
 
 
 def query_plan(queries: DataFrame, most: int = MOST_TERMS) -> DataFrame:
@@ -235,6 +250,22 @@ def summary(lists: DataFrame, candidates: DataFrame, final: DataFrame) -> DataFr
     return asked.join(seen, "query_id", "left").join(last, "query_id", "left").na.fill(zero)
 
 
+def holders(passages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) where the chunk's text holds the passage literally (passages of three words or more).
+
+    The words between a passage's first and last one stand in the text as whole words, so passages meet the chunks that
+    have the rarest of these words, and only there are they looked for.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    inner = passages.select("query_id", "passage", words("passage").alias("_w")).select("query_id", "passage", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(words("text"))).alias("_word"))
+    asked = inner.select("_word").distinct()
+    met = held.join(asked, "_word", "left_semi")
+    rarest = inner.join(met.groupBy("_word").agg(F.count("*").alias("_n")), "_word").groupBy("query_id", "passage").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    pairs = met.join(rarest, "_word").join(chunks, "chunk_id").where(F.contains("text", "passage"))
+    return pairs.select("query_id", "chunk_id").distinct()
+
+
 def probe_hits(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
     """For each probe (query_id, chunk_id; several are possible): whether one of its chunks is among the first k, and the best rank."""
     found = truth.join(results.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")

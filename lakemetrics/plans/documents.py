@@ -26,11 +26,11 @@ def query(name: str, sql: str | None = None):
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents as Markdown: a heading over all, a numbered section every 8 lines, lines as paragraphs."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 8 == 0, F.concat(F.lit("## "), (F.floor(i / 8) + 1).cast("string"), F.lit(". part "), (F.floor(i / 8) + 1).cast("string"), F.lit("\n"))).otherwise(""), x))
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(lines, "\n\n")).alias("text"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(lines, "\n\n")).alias("text"))
 
 
 def plain(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
 _EDGE = r"'[ \t\n\r\x0B\f]+'"
@@ -67,7 +67,7 @@ _CHUNK_COLUMNS = ("source_file", "document_title", "section_title", "chunk_index
 @query("normalised_text", r"SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     dirty = F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", X.normalise(dirty).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", X.normalise(dirty).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 @query("section_titles", f"WITH {_MD} SELECT source_file, document_title, k AS section, section_title FROM b WHERE body <> ''")
@@ -79,7 +79,7 @@ def section_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("clean_body", rf"SELECT doc_id, {_strip(_CLEAN.format("replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10))"))} AS body FROM documents WHERE text IS NOT NULL")
 def clean_body(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", X.clean_body(F.replace("text", F.lit(". "), F.lit(".  \n\n\n\n"))).alias("body"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", X.clean_body(F.replace("text", F.lit(". "), F.lit(".  \n\n\n\n"))).alias("body"))
 
 
 @query("chunk_plain", _chunk_sql(_PLAIN))
@@ -94,12 +94,12 @@ def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_estimate", f"SELECT doc_id, {_TOKENS.replace('content', 'text')} AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("chunk_hash", "SELECT doc_id, sha256('文档：' || source || chr(10) || '小节：' || lang || chr(10) || chr(10) || text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def chunk_hash(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(corpus.embedding_text(F.col("source"), F.col("lang"), F.col("text")), 256).alias("content_hash"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", F.sha2(corpus.embedding_text(F.col("source"), F.col("lang"), F.col("text")), 256).alias("content_hash"))
 
 
 _DOC_HASH = "h AS (SELECT source_file, document_title, sha256(string_agg(sha256(whole), chr(10) ORDER BY chunk_index)) AS content_hash, count(*) AS chunk_count FROM e GROUP BY ALL)"
@@ -187,13 +187,13 @@ _ENRICHED = "'文档：' || source || chr(10) || '小节：' || lang || chr(10)
 def search_text(spark: SparkSession, d: str) -> DataFrame:
     title, section, body = F.col("source"), F.col("lang"), F.col("text")
     enriched = corpus.enriched_search_text(title, section, body, F.array(section, title), F.array().cast("array<string>"))
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", *[F.md5(c.cast("binary")).alias(n) for n, c in (("base", corpus.base_search_text(title, section, body)), ("enriched", enriched))])
+    return tv.documents(spark, d).where("text is not null").select("doc_id", *[F.md5(c.cast("binary")).alias(n) for n, c in (("base", corpus.base_search_text(title, section, body)), ("enriched", enriched))])
 
 
 @query("backfill_targets", "SELECT doc_id AS chunk_id, source AS document_title FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0")
 def backfill_targets(spark: SparkSession, d: str) -> DataFrame:
     base = corpus.base_search_text(F.col("source"), F.col("lang"), F.col("text"))
-    rows = tv.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_title"), F.col("lang").alias("section_title"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.concat(base, F.lit("!"))).otherwise(base).alias("search_text"))
+    rows = tv.documents(spark, d).where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_title"), F.col("lang").alias("section_title"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.concat(base, F.lit("!"))).otherwise(base).alias("search_text"))
     return corpus.backfill_targets(rows).select("chunk_id", "document_title")
 
 

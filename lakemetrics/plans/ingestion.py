@@ -145,7 +145,7 @@ def repeated(spark: SparkSession, d: str) -> DataFrame:
 def strict_utf8(spark: SparkSession, d: str) -> DataFrame:
     """Documents as bytes; every seventh has a byte more that is no UTF-8."""
     body = F.col("text").cast("binary")
-    files = tv.table(spark, d, "documents").where("text is not null").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body).alias("content"))
+    files = tv.documents(spark, d).where("text is not null").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body).alias("content"))
     good, bad = corpus.decode_utf8(files)
     return good.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).unionByName(bad.select("doc_id", F.lit(None).cast("string").alias("digest")))
 
@@ -156,7 +156,7 @@ def strict_utf8(spark: SparkSession, d: str) -> DataFrame:
 )
 def document_list(spark: SparkSession, d: str) -> DataFrame:
     stamp = lambda c: F.timestamp_seconds(c)
-    seen = tv.table(spark, d, "documents").where("source is not null").groupBy(F.col("source").alias("source_file")).agg(F.concat(F.lit("Source "), F.first("source")).alias("document_title"), F.count("*").alias("chunk_count"), stamp(F.min("doc_id")).alias("created_at"), stamp(F.max("doc_id")).alias("updated_at"))
+    seen = tv.documents(spark, d).where("source is not null").groupBy(F.col("source").alias("source_file")).agg(F.concat(F.lit("Source "), F.first("source")).alias("document_title"), F.count("*").alias("chunk_count"), stamp(F.min("doc_id")).alias("created_at"), stamp(F.max("doc_id")).alias("updated_at"))
     # A table written from sorted rows keeps their order in its parts, so the rows number themselves as files are numbered.
     where = shared.new_folder(spark, "documents")
     corpus.document_list(seen).write.parquet(where)
@@ -174,13 +174,13 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("too long")
         return [len(t) for t in texts]
 
-    docs = tv.table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = tv.documents(spark, d).where("text is not null").select("doc_id", "text")
     return corpus.enrich(docs, measure, "size", "long", batch=1, of="text").select("doc_id", "size")
 
 
 @query("backfilled_chunks", "SELECT doc_id AS chunk_id, md5(CASE WHEN doc_id % 4 = 0 THEN upper(lang) ELSE concat_ws(chr(10), source, lang, text) END) AS digest FROM documents WHERE text IS NOT NULL")
 def backfilled(spark: SparkSession, d: str) -> DataFrame:
     base = corpus.base_search_text(F.col("source"), F.col("lang"), F.col("text"))
-    rows = tv.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "lang", base.alias("search_text"))
+    rows = tv.documents(spark, d).where("text is not null").select(F.col("doc_id").alias("chunk_id"), "lang", base.alias("search_text"))
     done = rows.where("chunk_id % 4 = 0").select("chunk_id", F.upper("lang").alias("search_text"))
     return corpus.backfilled(rows.drop("lang"), done).select("chunk_id", F.md5(F.col("search_text").cast("binary")).alias("digest"))

@@ -46,12 +46,12 @@ def searchable_count(spark: SparkSession, d: str) -> DataFrame:
 
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: the source is the title, the language the section; both are keywords."""
-    return tv.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_title"), F.col("lang").alias("section_title"), F.array("lang").alias("keywords"), F.array("source").alias("aliases"), F.col("text").alias("search_text"))
+    return tv.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_title"), F.col("lang").alias("section_title"), F.array("lang").alias("keywords"), F.array("source").alias("aliases"), F.col("text").alias("search_text"))
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
     """Search terms: the passages of the benchmark and, once each, the sources in capitals."""
-    sources = tv.table(spark, d, "documents").where("source is not null").select(F.upper("source").alias("term")).distinct().select((F.regexp_extract("term", "([0-9]+)$", 1).cast("long") + 100000).alias("query_id"), "term")
+    sources = tv.documents(spark, d).where("source is not null").select(F.upper("source").alias("term")).distinct().select((F.regexp_extract("term", "([0-9]+)$", 1).cast("long") + 100000).alias("query_id"), "term")
     return tv.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term")).unionByName(sources)
 
 
@@ -134,7 +134,14 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), "rrf_score", *[F.col(c).cast("string").alias(c) for c in ("vector_rank", "keyword_rank")], "distance", "keyword_score", F.array_join("matched_queries", ",").alias("matched_queries"))
 
 
-@query("hybrid_search")
+@query(
+    "hybrid_search",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    n AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - list_cosine_similarity(q.e, c.e), 9) AS distance FROM v q JOIN benchmark ON item_id = q.vec_id, v c JOIN documents ON doc_id = c.vec_id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM n) WHERE rank <= 10), {_WORDS},
+    ranked AS (SELECT query_id, 0 AS list_no, 'vector' AS side, chunk_id, rank, distance AS value, '' AS query FROM near UNION ALL SELECT query_id, 1, 'keyword', chunk_id, rank, keyword_score, '' FROM found WHERE query_id < 100000), {_FUSED}
+    SELECT query_id, chunk_id, position, rrf_score, CAST(vector_rank AS VARCHAR) AS vector_rank, CAST(keyword_rank AS VARCHAR) AS keyword_rank FROM fused""",
+)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages as queries, with vectors from the table of embeddings, against documents with vectors."""
     items = tv.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original_query"), F.array().cast("array<string>").alias("rewritten_queries"), F.array().cast("array<string>").alias("keywords"))
@@ -143,7 +150,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     asked = plan.join(embedded, plan.query_id == embedded.vec_id).select("query_id", F.col("original_query").alias("query"), "embedding")
     chunks = text_chunks(spark, d).join(embedded, F.col("chunk_id") == F.col("vec_id"), "left").drop("vec_id")
     out = R.hybrid_search(plan, asked, chunks)
-    return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), "rrf_score", "vector_rank", "keyword_rank")
+    return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), "rrf_score", *[F.col(c).cast("string").alias(c) for c in ("vector_rank", "keyword_rank")])
 
 
 # Rerank scores: every third query has none, every fifth a bad one.
@@ -168,7 +175,7 @@ def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rerank_input", "SELECT doc_id, md5('文档：' || source || chr(10) || '小节：' || lang || chr(10) || chr(10) || text) AS digest FROM documents WHERE text IS NOT NULL")
 def rerank_input(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(R.rerank_input(F.col("source"), F.col("lang"), F.col("text")).cast("binary")).alias("digest"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", F.md5(R.rerank_input(F.col("source"), F.col("lang"), F.col("text")).cast("binary")).alias("digest"))
 
 
 _FLAT = _STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")
@@ -176,7 +183,7 @@ _FLAT = _STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")
 
 @query("source_preview", f"WITH t AS (SELECT doc_id, {_FLAT} AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN length(x) > 120 THEN x[1:120] || '…' ELSE x END AS preview FROM t")
 def source_preview(spark: SparkSession, d: str) -> DataFrame:
-    return tv.table(spark, d, "documents").where("text is not null").select("doc_id", X.preview(F.col("text")).alias("preview"))
+    return tv.documents(spark, d).where("text is not null").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
 
 @query(
@@ -204,6 +211,6 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     SELECT t.query_id, bool_or(rank IS NOT NULL) AS hit, CAST(min(rank) AS VARCHAR) AS best_rank, count(DISTINCT t.chunk_id) AS expected FROM truth t LEFT JOIN found f ON f.query_id = t.query_id AND f.chunk_id = t.chunk_id AND rank <= 5 GROUP BY t.query_id""",
 )
 def probe_hits(spark: SparkSession, d: str) -> DataFrame:
-    items = (tv.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    truth = tv.table(spark, d, "documents").join(items, F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
+    items = tv.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    truth = R.holders(items, tv.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
     return R.probe_hits(_found(spark, d), truth).withColumn("best_rank", F.col("best_rank").cast("string"))

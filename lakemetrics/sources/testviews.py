@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a small table in fewer parts than the session has cores is dealt to all of them."""
+    found, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+
+
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviour events: a line of an order is an action of its customer on its part at its supplier."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")

@@ -1,5 +1,7 @@
 """Text, corpus and retrieval on what the given tables lack: marks, headings, CJK, odd input."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,25 @@ def test_catalogue_refuses_unknown_dimensions(spark):
     for name, dim in (("nope", "all"), ("active_user_count", "merchant")):
         with pytest.raises(ValueError):
             gold.metric({}, name, dim)
+
+
+def test_long_runs_of_white_space(spark):
+    body = "a" + " \t" * 100_000 + "b" + " " * 200_000 + "\n" + "c\u3000\u00a0"
+    began = time.perf_counter()
+    got = spark.createDataFrame([(body,)], "t string").select(X.clean_body(F.col("t"))).head()[0]
+    assert got == "a" + " \t" * 100_000 + "b\nc" and time.perf_counter() - began < 20
+
+
+def test_keyword_terms_of_any_length(spark):
+    chunks = spark.createDataFrame([(1, "T", "s", None, ["Ab"], "x ab, c%_d"), (2, "ab", "x", ["q"], None, "cab12 3"), (3, None, None, None, None, None)], "chunk_id long, document_title string, section_title string, keywords array<string>, aliases array<string>, search_text string")
+    terms = spark.createDataFrame([(1, "ab"), (2, "%_"), (3, "CAB12 3"), (3, None), (4, "zzz")], "query_id long, term string")
+    got = {(r["query_id"], r["chunk_id"]): (r["matched_terms"], r["keyword_score"]) for r in retrieval.keyword_search(terms, chunks).collect()}
+    assert got[1, 2] == (["document_title_exact", "document_title_contains", "search_text_contains"], 90.0)
+    assert got[1, 1] == (["aliases_exact", "search_text_contains", "search_text_trigram"], 70.0) and got[2, 1] == (["search_text_contains"], 40.0)
+    assert got[3, 2] == (["search_text_contains", "search_text_trigram"], 40.0) and set(got) == {(1, 1), (1, 2), (2, 1), (3, 2)}
+
+
+def test_holders_of_passages(spark):
+    passages = spark.createDataFrame([(1, "one two three"), (2, "b, the a"), (3, "none of these")], "query_id long, passage string")
+    chunks = spark.createDataFrame([(1, "someone two threes"), (2, "ab, the apple"), (3, None), (4, "two of these")], "chunk_id long, text string")
+    assert {tuple(r) for r in retrieval.holders(passages, chunks).collect()} == {(1, 1), (2, 2)}
