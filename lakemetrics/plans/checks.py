@@ -35,12 +35,20 @@ def orphan_check(spark: SparkSession, d: str) -> DataFrame:
     return quality.union([quality.orphans(orders, tv.table(spark, d, "customer"), "o_custkey", "orders", "c_custkey"), quality.orphans(tv.table(spark, d, "lineitem"), orders, "l_orderkey", "lines", "o_orderkey")])
 
 
+#: The groups of the metric tables, to sum their events in SQL.
+_GROUPS = {"daily_metrics": "event_date, action_type", "merchant_metrics": "merchant_id", "category_metrics": "category_id", "user_metrics": "user_id", "funnel_metrics": "action_type"}
+
+
+def _same_sql(name: str, actual: str, expected: str) -> str:
+    return f"SELECT '{name}' AS \"check\", ({actual}) = {expected} AS passed, CAST(({actual}) AS VARCHAR) AS actual, CAST({expected} AS VARCHAR) AS expected, '' AS detail FROM s"
+
+
 @query(
     "gold_silver_consistency",
     f"WITH {tv.BEHAVIOUR}, s AS (SELECT count(*) AS n, count(DISTINCT user_id) AS u, count(DISTINCT merchant_id) AS m FROM e) "
     + " UNION ALL ".join(
-        [f"SELECT '{t} events' AS \"check\", true AS passed, CAST(n AS VARCHAR) AS actual, CAST(n AS VARCHAR) AS expected, '' AS detail FROM s" for t in ("daily_metrics", "merchant_metrics", "category_metrics", "user_metrics", "funnel_metrics")]
-        + [f"SELECT '{t}', true, CAST({c} AS VARCHAR), CAST({c} AS VARCHAR), '' FROM s" for t, c in (("user_metrics users", "u"), ("merchant_metrics merchants", "m"))]
+        [_same_sql(f"{t} events", f"SELECT CAST(sum(c) AS BIGINT) FROM (SELECT {g}, count(*) AS c FROM e GROUP BY {g})", "n") for t, g in _GROUPS.items()]
+        + [_same_sql(f"{t}_metrics {t}s", f"SELECT count(*) FROM (SELECT {t}_id FROM e GROUP BY {t}_id)", c) for t, c in (("user", "u"), ("merchant", "m"))]
     ),
 )
 def gold_silver(spark: SparkSession, d: str) -> DataFrame:
@@ -226,3 +234,36 @@ def asset_match(spark: SparkSession, d: str) -> DataFrame:
 @query("knowledge_flag", f"WITH {_ROUTED}, z AS (SELECT question_id, CASE WHEN trim(q) = '' THEN NULL WHEN intent = 'system' THEN 'intent system' ELSE 'word ' || {_hits_sql(_SECOND)}[1] END AS reason FROM t) SELECT question_id, reason, reason IS NOT NULL AS needs_knowledge FROM z")
 def knowledge_flag(spark: SparkSession, d: str) -> DataFrame:
     return questions.knowledge_flag(_questions(spark, d), _SECOND, ("system",)).select("question_id", "reason", "needs_knowledge")
+
+
+_Q = questions
+_WORDS = tuple(dict.fromkeys((*_Q.BEHAVIOUR_WORDS, *_Q.RETAIL_WORDS, *_Q.SHARED_WORDS, *_Q.KNOWLEDGE_WORDS, *(w for *_, words in _Q.CATALOGUE for w in words))))
+
+
+def _words_sql(words: tuple[str, ...]) -> str:
+    return f"[{', '.join(f"'{w}'" for w in words)}]"
+
+
+#: Conversation turns with two words of the engine's lists behind them.
+_ASKED = f"""q AS (SELECT conv_id * 1000 + turn AS question_id, text || {_words_sql(_WORDS)}[conv_id % {len(_WORDS)} + 1] || ' ' || {_words_sql(_WORDS)}[(conv_id * 7 + turn) % {len(_WORDS)} + 1] AS q, CASE turn % 3 WHEN 0 THEN 'funnel' ELSE 'other' END AS intent FROM conversations),
+    t AS (SELECT *, CASE WHEN len({_hits_sql(_Q.BEHAVIOUR_WORDS)}) > len({_hits_sql(_Q.RETAIL_WORDS)}) THEN 'behaviour' ELSE 'retail' END AS area FROM q)"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    words, c, t = F.array(*map(F.lit, _WORDS)), F.col("conv_id"), F.col("turn")
+    pick = lambda i: F.get(words, (i % len(_WORDS)).cast("int"))
+    return tv.table(spark, d, "conversations").select((c * 1000 + t).alias("question_id"), F.concat("text", pick(c), F.lit(" "), pick(c * 7 + t)).alias("question"), F.when(t % 3 == 0, "funnel").otherwise("other").alias("intent"))
+
+
+@query(
+    "catalogue_questions",
+    f"""WITH {_ASKED}, z AS (SELECT *, CASE WHEN trim(q) = '' THEN NULL WHEN intent = 'funnel' THEN 'intent funnel' ELSE 'word ' || {_hits_sql(_Q.KNOWLEDGE_WORDS)}[1] END AS reason FROM t),
+    m AS ({" UNION ALL ".join(f"SELECT question_id, '{n}' AS name, {i} AS i, array_to_string({_hits_sql(w)}, ',') AS matched FROM t WHERE area = '{a}' AND len({_hits_sql(w)}) > 0" for i, (a, _, n, w) in enumerate(_Q.CATALOGUE))}),
+    n AS (SELECT question_id, string_agg(name || '=' || matched, ';' ORDER BY i) AS assets FROM m GROUP BY ALL)
+    SELECT question_id, area, reason, assets FROM z LEFT JOIN n USING (question_id)""",
+)
+def catalogue_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Area, reason for documents and matching assets of questions, by the engine's own word lists."""
+    routed = questions.knowledge_flag(questions.route(_asked(spark, d)))
+    found = questions.match_assets(routed).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", F.concat("name", F.lit("="), F.array_join("matched", ",")).alias("s")))).alias("_a"))
+    return routed.select("question_id", "area", "reason").join(found, "question_id", "left").select("question_id", "area", "reason", F.array_join("_a.s", ";").alias("assets"))
