@@ -35,10 +35,14 @@ def count(docs: DataFrame, text: str, most: int = MOST) -> tuple[int, int]:
 
 
 def deal(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """_block, _key, _text and _rest (all other columns) of every row."""
+    """_block, _key, _text and _rest (all other columns) of every row.
+
+    Equal rows (say of a null key and a common text) go to as many blocks as there are partitions that hold them, so
+    they never meet in one task. A row's partition doesn't change when it is computed again; its place in it may.
+    """
     rest = [c for c in docs.columns if c not in (key, text)]
     return docs.select(
-        F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("_block"),
+        F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(n)).cast("int").alias("_block"),
         F.col(key).cast("long").alias("_key"),
         F.col(text).alias("_text"),
         (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("int")).alias("_rest"),
@@ -82,7 +86,7 @@ def answers(table: pa.Table, kind: int, dtype: type) -> np.ndarray:
     """The answers of one kind to a block, in the order in which it asked."""
     mine = table.filter(pc.equal(table.column("_kind"), kind))
     rows = sorted(zip(mine.column("_bin").to_pylist(), mine.column("_data").to_pylist()))
-    return np.concatenate([np.empty(0, dtype), *[pickle.loads(d) for _, d in rows]])
+    return np.concatenate([pickle.loads(d) for _, d in rows]) if rows else np.empty(0, dtype)
 
 
 def rounds(blocks: DataFrame, ask_first: Callable, ask_second: Callable, kinds: dict[int, Callable], finish: Callable, schema: str) -> DataFrame:

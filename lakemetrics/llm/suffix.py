@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -18,10 +20,13 @@ LENGTH, ANCHOR = 400, 100
 BLOCK_BYTES = 4 << 20
 #: Bytes of a block whose hashes are in memory at a time.
 SEGMENT = 1 << 19
-#: Neighbours in suffix order that a suffix is compared with, on either side, before its group is settled by window hashes.
-NEIGHBOURS = 64
+#: Places that an anchor may have in different texts for its contexts to meet in one bin. Of an anchor with more of them the
+#: bins are asked about every string through it, each distinct one of a block once, so that no bin gathers its contexts.
+GROUP = 1024
 #: Kinds of questions.
-ANCHORS, COPIES, CONTEXTS = 1, 2, 3
+ANCHORS, COPIES, CONTEXTS, STRINGS = 1, 2, 3, 4
+#: What is said of an anchor: it stands once, its contexts are compared, its strings are asked about.
+ALONE, FEW, MANY = 0, 1, 2
 
 
 class Prefix:
@@ -85,26 +90,49 @@ class Block:
         at = at[(at >= first - low) & (at < last - low)]
         return at + low, mix(gram[at])  # the smallest hashes are all small; mixed again they spread over all bins
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of the anchors, whether each has several places in the block, and each anchor's hash's place among them."""
+    @cached_property
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of the anchors, how many places each has in the block, how many in different texts, and each
+        anchor's hash's place among them."""
         values, place, count = np.unique(self.hash, return_inverse=True, return_counts=True)
-        return values, count > 1, place
+        speaks = np.zeros(len(self.texts), bool)
+        speaks[np.unique(self.digests[3], return_index=True)[1]] = True
+        return values, count, np.bincount(place[speaks[self.doc]], minlength=len(values)), place
 
+    @cached_property
     def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct digests of the texts in two halves, whether several texts have it, and each text's place among them."""
         both = np.array([np.frombuffer(blake2b(t, digest_size=16).digest(), np.uint64) for t in self.texts], np.uint64).reshape(-1, 2)
         values, place, count = np.unique(both, axis=0, return_inverse=True, return_counts=True)
         return values[:, 0].copy(), values[:, 1].copy(), count > 1, place.ravel()
 
-    def contexts(self, shared: np.ndarray, copied: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
-        """What surrounds the anchors with a shared hash, as far as a string through the anchor reaches: distinct (hash, bytes
-        before the anchor, bytes), whether each has several places, and of each such anchor its place among them and itself.
+    def among(self, said: np.ndarray, copied: np.ndarray) -> np.ndarray:
+        """Which anchors have a hash of which `said` is true, in texts that aren't copies."""
+        return np.flatnonzero(said[self.anchors[3]] & ~copied[self.doc]) if len(self.at) else np.empty(0, np.int64)
 
-        Texts that are copies are left out, but for the copy that speaks for all; so are contexts too short for any string.
-        """
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every string through the given anchors: the distinct digests in two halves, whether each has several places, and
+        of each place its string's number among them and where it starts. A digest of 128 bits stands for the bytes."""
+        reach = self.length - self.anchor
+        low = np.maximum(self.begin[self.doc[at]], self.at[at] - reach)
+        high = np.minimum(self.end[self.doc[at]] - self.length, self.at[at])
+        step = np.zeros(len(self.data) + 2, np.int32)
+        np.add.at(step, low[high >= low], 1)
+        np.add.at(step, high[high >= low] + 1, -1)
+        start = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        data, n = self.data, self.length
+        both = np.frombuffer(b"".join([blake2b(data[i : i + n], digest_size=16).digest() for i in start.tolist()]), np.uint64).reshape(-1, 2)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        one, two = both[order, 0], both[order, 1]
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(order) else np.empty(0, bool)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return one[new], two[new], np.bincount(place, minlength=new.sum()) > 1, place, start
+
+    def contexts(self, at: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+        """What surrounds the given anchors, as far as a string through the anchor reaches: distinct (hash, bytes before the
+        anchor, bytes), whether each has several places, and of each anchor its place among them and itself."""
         reach = self.length - self.anchor
-        keep = shared[self.anchors()[2]] & ~copied[self.doc] if len(self.at) else np.empty(0, bool)
-        at = np.flatnonzero(keep)
         low = np.maximum(self.begin[self.doc[at]], self.at[at] - reach).tolist()
         high = np.minimum(self.end[self.doc[at]], self.at[at] + self.length).tolist()
         named = [(h, p - a, self.data[a:b]) for h, p, a, b in zip(self.hash[at].tolist(), self.at[at].tolist(), low, high)]
@@ -176,17 +204,16 @@ class Contexts:
         return all(data[i : i + n] == data[j : j + n] for i, j, n in zip(a.tolist(), b.tolist(), (left + right).tolist()))
 
 
-def _by_windows(c: Contexts, members: np.ndarray, length: int, left: np.ndarray, right: np.ndarray) -> None:
-    """For a large group: every string through the anchor that another member has too, by equal hashes at each distance."""
-    for o in range(int(c.before[members].max()) + 1):
-        able = members[(c.before[members] >= o) & (c.after[members] >= length - o)]
-        if len(able) < 2:
-            continue
-        start = c.at[able] - o
-        _, place, n = np.unique(c.prefix.of(start, start + length), return_inverse=True, return_counts=True)
-        hit = able[n[place] > 1]
-        left[hit] = np.maximum(left[hit], o)
-        right[hit] = np.maximum(right[hit], length - o)
+def _by_bytes(c: Contexts, length: int, left: np.ndarray, right: np.ndarray) -> None:
+    """Fills in left and right by the bytes of all strings, group by group: where both hashes proved wrong."""
+    for g in np.unique(c.group).tolist():
+        members = np.flatnonzero(c.group == g).tolist()
+        starts = [(i, a) for i in members for a in range(int(c.at[i] - c.before[i]), int(c.at[i] + c.after[i]) - length + 1)]
+        count = Counter(c.data[a : a + length] for _, a in starts)
+        for i, a in starts:
+            if count[c.data[a : a + length]] > 1:
+                o = int(c.at[i]) - a
+                left[i], right[i] = max(left[i], o), max(right[i], length - o)
 
 
 def repeated(anchor: np.ndarray, before: np.ndarray, multiple: np.ndarray, parts: np.ndarray, length: int) -> np.ndarray:
@@ -207,7 +234,9 @@ def repeated(anchor: np.ndarray, before: np.ndarray, multiple: np.ndarray, parts
             break
     else:
         if len(some):
-            raise RuntimeError("both hashes gave equal values for different strings")
+            to_left, to_right = left[some], right[some]
+            _by_bytes(c, length, to_left, to_right)
+            left[some], right[some] = to_left, to_right
     return np.where(left < 0, -1, (left << 32) + right)
 
 
@@ -218,7 +247,6 @@ def _extend(c: Contexts, left: np.ndarray, right: np.ndarray, length: int) -> bo
     on either side that gives `length` bytes in all reaches furthest to the right; that in the order of the reversed
     prefixes reaches furthest to the left.
     """
-    late: set[int] = set()
     some = np.flatnonzero((left < c.before) | (right < c.after))
     for to_right, best in ((True, right), (False, left)):
         order = c.sort(to_right)
@@ -230,30 +258,39 @@ def _extend(c: Contexts, left: np.ndarray, right: np.ndarray, length: int) -> bo
             # open_: places in the order; reach: what stands there shares with the neighbour t places away
             open_ = place[some]
             reach = np.full(len(open_), np.iinfo(np.int64).max)
-            for t in range(1, NEIGHBOURS + 1):
+            t = 0
+            while len(open_):
+                t += 1
                 edge = open_ + (t - 1 if side > 0 else -t)
                 ok = (edge >= 0) & (edge < n - 1)
                 ok[ok] = follows[edge[ok]]
                 open_, reach = open_[ok], np.minimum(reach[ok], shared[edge[ok]])
-                if not len(open_):
-                    break
                 x, y = order[open_], order[open_ + side * t]
                 back = c.common(x, y, not to_right)
                 hit = back + reach >= length
                 if not c.same_bytes(x[hit], y[hit], *((back[hit], reach[hit]) if to_right else (reach[hit], back[hit]))):
                     return False
                 best[x[hit]] = np.maximum(best[x[hit]], reach[hit])
-                open_, reach = open_[~hit], reach[~hit]
-            else:
-                late |= set(c.group[order[open_]].tolist())
-    for g in late:
-        _by_windows(c, np.flatnonzero(c.group == g), length, left, right)
+                # A neighbour that shares less to this side than the anchor and the other side can make up for ends the walk.
+                more = ~hit & (reach + (c.before if to_right else c.after)[x] >= length)
+                open_, reach = open_[more], reach[more]
     return True
 
 
-def _shared(anchors: np.ndarray) -> np.ndarray:
-    _, place, n = np.unique(anchors, return_inverse=True, return_counts=True)
-    return n[place] > 1
+def _spread(anchors: np.ndarray, places: np.ndarray, texts: np.ndarray, group: int) -> np.ndarray:
+    """Of each anchor whether it stands once, in few or in many places."""
+    _, place = np.unique(anchors, return_inverse=True)
+    many = np.bincount(place, texts)[place] > group
+    return np.where(np.bincount(place, places)[place] < 2, ALONE, np.where(many, MANY, FEW))
+
+
+def _twice(one: np.ndarray, two: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which strings have several places, in one block or in several."""
+    order = np.lexsort((two, one))
+    new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+    place = np.empty(len(one), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return (np.bincount(place)[place] > 1) | several
 
 
 def _copies(one: np.ndarray, two: np.ndarray, several: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -267,7 +304,7 @@ def _copies(one: np.ndarray, two: np.ndarray, several: np.ndarray, block: np.nda
     return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """Removes from every text each byte that lies in a string of `length` bytes which also starts anywhere else.
 
     Every such string holds an anchor: its `anchor` bytes of the smallest hash. Anchors that occur once in the corpus are
@@ -276,8 +313,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     the common extension by binary search on prefix polynomial hashes. Neighbours in suffix order share the longest
     extensions to the right, those in the order of the reversed prefixes to the left; where both sides reach `length`
     bytes, they are verified byte by byte and mark a range.
-    A hash that proves wrong is replaced by another one. Groups with so many different contexts that 64 neighbours don't
-    settle them are settled by the hashes of all strings through the anchor. Copies of whole texts are found by digests.
+    A hash that proves wrong is replaced by another one. Copies of whole texts are found by digests. The contexts of an
+    anchor with more than GROUP places in different texts don't meet: the bins are asked about the digests of all strings
+    through it instead, each distinct one of a block once, so a passage that very many texts share costs a bin a question
+    a block for each of its strings.
 
     Returns key, bytes (what is left, as binary), n_bytes, n_removed, n_spans (maximal removed runs), spans (their starts
     and ends) and, as struct `rest`, all other columns of docs. A null text is empty. Rows with null or equal keys are
@@ -292,34 +331,38 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         block = Block(table, length, anchor)
-        one, two, several, _ = block.digests()
-        return pa.concat_tables([B.ask(number(table), n, ANCHORS, block.anchors()[0]), B.ask(number(table), n, COPIES, one, two, several, np.full(len(one), number(table)))])
+        one, two, several, _ = block.digests
+        return pa.concat_tables([B.ask(number(table), n, ANCHORS, *block.anchors[:3]), B.ask(number(table), n, COPIES, one, two, several, np.full(len(one), number(table)))])
 
     def candidates(block: Block, told: pa.Table) -> tuple:
         state = B.answers(told, COPIES, np.int64)
-        place = block.digests()[3]
+        place = block.digests[3]
         first = np.zeros(len(block.texts), bool)
         first[np.unique(place, return_index=True)[1]] = True
         copied = (state[place] == 2) | ((state[place] == 1) & ~first)
-        return state[place] > 0, *block.contexts(block.anchors()[1] | B.answers(told, ANCHORS, bool), copied)
+        said = B.answers(told, ANCHORS, np.int64)
+        return state[place] > 0, block.contexts(block.among(said == FEW, copied)), block.strings(block.among(said == MANY, copied))
 
     def ask_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return B.ask(0, n, CONTEXTS, np.empty(0, np.uint64))
-        _, first, distinct, several, _, _ = candidates(Block(table, length, anchor), told)
+        _, (first, distinct, several, _, _), (one, two, twice, _, _) = candidates(Block(table, length, anchor), told)
         before, parts = np.array([c[1] for c in distinct], np.int64), np.empty(len(distinct), object)
         parts[:] = [c[2] for c in distinct]
-        return B.ask(number(table), n, CONTEXTS, first, before, several, parts)
+        return pa.concat_tables([B.ask(number(table), n, CONTEXTS, first, before, several, parts), B.ask(number(table), n, STRINGS, one, two, twice)])
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(table, length, anchor)
-        whole, _, _, _, place, at = candidates(block, told)
+        whole, (_, _, _, place, at), (_, _, _, string, start) = candidates(block, told)
         found = B.answers(told, CONTEXTS, np.int64)[place]
         hit = found >= 0
         left, right, middle = found[hit] >> 32, found[hit] & 0xFFFFFFFF, block.at[at[hit]]
         step = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(step, middle - left, 1)
         np.add.at(step, middle + right, -1)
+        twice = start[B.answers(told, STRINGS, bool)[string]]
+        step[twice] += 1
+        step[twice + length] -= 1
         for i in np.flatnonzero(whole & (block.end - block.begin >= length)):
             step[block.begin[i]] += 1
             step[block.end[i]] -= 1
@@ -338,6 +381,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kind), "_rest": table.column("_rest"),
         })
 
-    kinds = {ANCHORS: _shared, COPIES: _copies, CONTEXTS: lambda *asked: repeated(*asked, length)}
+    kinds = {ANCHORS: lambda *asked: _spread(*asked, group), COPIES: _copies, CONTEXTS: lambda *asked: repeated(*asked, length), STRINGS: _twice}
     found = B.rounds(dealt, ask_anchors, ask_contexts, kinds, finish, f"_key long, bytes binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, _rest {rest}")
     return found.select(F.col("_key").alias(key), "bytes", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", F.col("_rest").alias("rest"))
