@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi, sqrt
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions, through_pandas
+from .common import cut, mix, partitions, through_pandas, written
 from .components import components
 
 SHINGLE = 3
@@ -21,10 +21,15 @@ SEED = 42
 TASK_ROWS = 50_000
 #: Pairs (query, tree node) that are looked at in one step of the search.
 STEP_PAIRS = 1_000_000
-#: For documents of a given similarity: fingerprints of PARTS * 64 bits, dealt by TABLES samples of SAMPLED of their bits.
-NEAR_SHINGLE, SIMILARITY, PARTS, TABLES, SAMPLED = 5, 0.8, 4, 48, 16
-#: How many times as many partners as before a document names in the next search of its shards.
-MORE = 4
+#: For documents of a given similarity: fingerprints of PARTS * 64 bits, dealt by samples of at least SAMPLED of their bits, so
+#: many that a shard holds about ROWS_A_SHARD unrelated fingerprints, and by as many samples as give RECALL.
+NEAR_SHINGLE, SIMILARITY, PARTS, SAMPLED, ROWS_A_SHARD, RECALL = 5, 0.8, 4, 16, 100, 0.97
+#: Samples, and bits of each, by which a document first finds a leader of its family.
+LEADER_TABLES, LEADER_BITS = 12, 32
+#: Fingerprints that a shard may hold in one task; a shard with more is searched in pairs of blocks of that size.
+MOST_SHARD, MOST_BLOCKS = 250_000, 1 << 10
+#: Nearest partners that a document names over all its shards; what is beyond them is left to the join.
+NAMED = 8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -161,21 +166,33 @@ def shard_links(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
     return order[linked], order[label[linked]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = MOST_SHARD) -> DataFrame:
     """Links (u, v) between the distinct fingerprints in column fp that connect all those at most radius bits apart.
 
     Two fingerprints that differ in at most `radius` bits agree in at least one of radius + 1 equal parts. So each part
     with its value names a shard; a fingerprint is dealt to one shard of each part, and every shard has a BK-tree of its
     own. The trees stay where their shard is and its queries come to them (broadcasting all trees would grow with the
-    corpus). A shard returns a spanning forest of its pairs, so never more rows than it has members.
+    corpus). A shard with more than `shard_rows` fingerprints is dealt once more, by equal parts of the bits that are left,
+    and for the same reason loses no pair. A shard returns a spanning forest of its pairs, so never more rows than it has
+    members.
     """
     parts = radius + 1
     width = 64 // parts
     distinct = fps.select("fp").distinct()
-    spark = fps.sparkSession
-    tasks = max(4 * partitions(spark), distinct.count() * parts // TASK_ROWS)
-    shard = F.array(*[F.lit(i << 32) + F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1) for i in range(parts)])
-    dealt = distinct.select("fp", F.explode(shard).alias("shard")).withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(tasks)))
+    spark, n = fps.sparkSession, distinct.count()
+    tasks = max(4 * partitions(spark), n * parts // TASK_ROWS)
+    pieces = [F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1) for i in range(parts)]
+    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), p.alias("value")) for i, p in enumerate(pieces)])).alias("s")).select("fp", "s.*")
+    whole = dealt.withColumn("shard", F.xxhash64("part", "value"))
+    if n > shard_rows:
+        hot = cut(dealt.groupBy("part", "value").count().where(F.col("count") > shard_rows).drop("count"))
+        if not hot.isEmpty():
+            sub = 64 - width
+            left = F.aggregate(F.filter(F.array(*pieces), lambda _, i: i != F.col("part")), F.lit(0).cast("long"), lambda a, p: F.shiftleft(a, width) + p)
+            again = [F.struct(F.lit(i).alias("sub"), F.shiftrightunsigned(left, i * (sub // parts)).bitwiseAND((1 << sub // parts) - 1).alias("rest")) for i in range(parts)]
+            deep = dealt.join(hot, ["part", "value"], "left_semi").select("fp", "part", "value", F.explode(F.array(*again)).alias("s")).select("fp", F.xxhash64("part", "value", "s.sub", "s.rest").alias("shard"))
+            whole = dealt.join(hot, ["part", "value"], "left_anti").select("fp", F.xxhash64("part", "value").alias("shard")).unionByName(deep)
+    dealt = whole.select("fp", "shard", F.pmod(F.xxhash64("shard"), F.lit(tasks)).alias("task"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64)
@@ -210,12 +227,19 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * p + 2 * sqrt(bits * p * (1 - p)))
 
 
+def tables_for(similarity: float, sampled: int, recall: float = RECALL) -> int:
+    """How many samples of `sampled` bits are needed for a pair of that similarity to meet in one of them with probability `recall`."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(log(1 - recall) / log(1 - (1 - p) ** sampled))
+
+
 def shard_pairs(groups: np.ndarray, values: np.ndarray, parts: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of places that each value names, and the places of pairs that are left for a later search.
 
-    Pairs are of the same group, of different parts and within radius. A value names `most` of its partners: first the
-    nearest one of every part, then the second nearest ones, and so on (ties: the first). Of a pair that neither end
-    names, both ends are left. The largest part of a group doesn't name, as the other end of its pairs does.
+    Pairs are of the same group, of different parts and within radius. Of each part of a group `most` values ask, but for
+    the largest part, as the other end of its pairs asks. A value that asks names `most` of its partners: first the
+    nearest one of every part, then the second nearest ones, and so on (ties: the first). Of a pair that was found and
+    isn't named, both ends are left; so are all values that didn't ask, if those of a group are of several parts.
     """
     order = np.lexsort((parts, groups))
     of, part = groups[order], parts[order]
@@ -226,15 +250,21 @@ def shard_pairs(groups: np.ndarray, values: np.ndarray, parts: np.ndarray, radiu
     if not len(order):
         return order, order, order
     _, group, size = np.unique(of, return_inverse=True, return_counts=True)
-    run = np.cumsum(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])))) - 1
-    in_part = np.bincount(run)
+    new_part = np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])))
+    run = np.cumsum(new_part) - 1
+    in_part, of_run = np.bincount(run), group[new_part]
     largest = np.full(len(size), -1)
     by_size = np.argsort(in_part, kind="stable")
-    largest[group[np.unique(run, return_index=True)[1]][by_size]] = by_size
-    asks = np.flatnonzero((run != largest[group]) | (in_part[run] == 1))
+    largest[of_run[by_size]] = by_size
+    within = np.arange(len(order)) - np.flatnonzero(new_part)[run]
+    asking = (within < most) & ((run != largest[group]) | (in_part[run] == 1))
+    asks = np.flatnonzero(asking)
+    silent = np.unique(run[~asking])
+    silent_parts = np.bincount(of_run[silent], minlength=len(size))
+    left = ~asking & (silent_parts[group] > 1)
     forest = Forest(of, values[order].view(np.uint64))
     step = int(np.clip(STEP_PAIRS // 4 // size.max(), 1, 20_000))  # what a step finds is held at once
-    left, named = np.zeros(len(order), bool), []
+    named = []
     for at in range(0, len(asks), step):
         met = [(q[other], f[other]) for q, f in forest.near(asks[at : at + step], radius) if (other := run[q] != run[f]).any()]
         if not met:
@@ -254,13 +284,13 @@ def shard_pairs(groups: np.ndarray, values: np.ndarray, parts: np.ndarray, radiu
         named.append((q[kept], f[kept]))
         left[q[~kept]] = left[f[~kept]] = True
     if not named:
-        return order[:0], order[:0], order[:0]
+        return order[:0], order[:0], order[left]
     u, v = (np.concatenate(x) for x in zip(*named))
     return order[u], order[v], order[left]
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of keys whose sets of shingles have the similarity, by the exact sets (as 32-bit hashes)."""
+    """The pairs (u, v) of keys whose sets of shingles have the similarity, by the whole sets of their hashes, cut to 32 bits."""
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -282,16 +312,69 @@ def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, sim
     return joined.select("u", "v", "held_u", "held_v").mapInPandas(verified, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, tables: int = TABLES, sampled: int = SAMPLED) -> DataFrame:
+def _leaders(nodes: DataFrame, names: list[str], tables: int = LEADER_TABLES, bits: int = LEADER_BITS) -> DataFrame:
+    """(u, v): of each node the smallest node that has the same bits in one of `tables` samples, where that is another one.
+
+    Copies that differ little nearly all find the same leader, whose verified followers are a part from the beginning. So
+    however large a family is, it gives a pair for each member, and its members aren't compared with each other.
+    """
+    samples = np.random.default_rng(11)
+    places = [np.sort(samples.choice(64 * len(names), bits, replace=False)) for _ in range(tables)]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            all_bits = np.unpackbits(np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint8), axis=1, bitorder="little")
+            for i, at in enumerate(places):
+                yield pd.DataFrame({"sample": (i << bits) + all_bits[:, at].astype(np.int64) @ (1 << np.arange(bits)), "node": pdf["node"]})
+
+    dealt = nodes.select("node", *names).mapInPandas(deal, "sample long, node long")
+    least = dealt.groupBy("sample").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return dealt.join(least, "sample").where("node <> leader").groupBy(F.col("node").alias("u")).agg(F.min("leader").alias("v"))
+
+
+def _joined(docs: DataFrame, members: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
+    """All pairs (u, v) of members (node, part) of different parts that may have the similarity, by an exact join of their sets.
+
+    Shingles are ordered by the number of members that hold them. Of two sets with the similarity each has one of the
+    other's shingles among the first n - ceil(similarity * n) + 1 of its own n in this order (prefix filter), neither is
+    much larger (length filter), and behind the first shingle that both hold enough are left in both (positional filter).
+    What a single member holds comes first and pairs nothing, so a member that differs from all others by enough words of
+    its own is out, however many of its shingles it shares with a large family.
+    """
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                sets = [np.unique(shingle_hashes(t, k).astype(np.uint32)).astype(np.int64) for t in part["text"]]
+                size = [len(s) for s in sets]
+                yield pd.DataFrame({"node": np.repeat(part["key"].to_numpy(np.int64), size), "token": np.concatenate(sets), "n": np.repeat(size, size)})
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(members.select(F.col("node").alias("key")), "key", "left_semi")
+    tokens = written(rows.mapInPandas(shingled, "node long, token long, n long").distinct(), "shingles")
+    several = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = tokens.join(several, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("_held"))
+    alone = F.col("n") - F.size("_held")
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - alone
+    prefix = held.where(first > 0).join(members, "node").select("node", "part", "n", alone.alias("alone"), F.posexplode(F.slice("_held", F.lit(1), first.cast("int"))["token"]).alias("at", "token"))
+    prefix = prefix.select("node", "part", "n", "token", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    other = prefix.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "part", "n", "rest")])
+    able = F.expr(f"node > _node and part <> _part and n >= {similarity}D * _n - 1e-9D and _n >= {similarity}D * n - 1e-9D and least(rest, _rest) >= {similarity / (1 + similarity)}D * (n + _n) - 1e-6D")
+    return prefix.join(other, "token").where(able).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct()
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, sampled: int = SAMPLED, shard_rows: int = MOST_SHARD) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of `similarity` or more.
 
-    Candidates have fingerprints of parts * 64 bits that differ in no more bits than radius_of() gives. Each of `tables`
-    fixed samples of `sampled` bits deals them to shards with BK-trees; at the least similarity a pair meets in one of
-    them with a probability of 0.97, more similar ones almost surely, and what is linked through a third document needn't
-    meet. In each shard a document first names the nearest other one; these pairs are verified by the exact similarity of
-    their sets, and the verified ones are contracted to parts. Then the shards are searched again, each document naming
-    the nearest ones of other parts, `MORE` times as many as before, until no pair of different parts is left that isn't
-    verified. So a family of copies gives few pairs, and one that has none gives all.
+    Candidates have fingerprints of parts * 64 bits that differ in no more bits than radius_of() gives. Fixed samples of
+    their bits deal them to shards with BK-trees; at the least similarity a pair meets in one of them with a probability of
+    RECALL, more similar ones almost surely, and what is linked through a third document needn't meet. The bits of a
+    sample grow with the logarithm of the corpus, so that shards don't grow with it. First every document names a leader
+    (see _leaders()), then the nearest ones of other parts in its shards, NAMED in all; these pairs are verified by the
+    similarity of their whole sets, and the verified ones are contracted to parts. Documents that have further partners in a shard (of
+    other parts, within the radius) are left over; among these all similar pairs of different parts are found by an exact
+    set-similarity join (see _joined()). So a family of copies gives few pairs, and no candidate is given up. A shard with
+    more than `shard_rows` fingerprints is searched in pairs of blocks, so no task holds it whole.
 
     Returns key and component_id, the smallest key that can be reached. Words are those of near_duplicates(). Texts
     without shingle (null, empty, blank) have the same fingerprint and are one group. Rows with a null key
@@ -310,44 +393,70 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fps = cut(docs.select(sent.alias("key"), F.col(text).alias("text")).mapInPandas(measure, schema).withColumn("_key", F.col("_key").cast(kind)))
     # A distinct fingerprint is named by its smallest key, so the smallest name of a component is its id.
     nodes = cut(fps.groupBy(*names).agg(F.min("_key").cast("long").alias("_least")).withColumn("node", F.coalesce("_least", F.lit(1 << 62) + F.abs(F.xxhash64(*names) % (1 << 60)))))
-    radius, chosen = radius_of(similarity, 64 * parts), np.random.default_rng(7)
+    n = nodes.count()
+    sampled = max(sampled, ceil(log2(max(n, 1) / ROWS_A_SHARD)))
+    tables, radius, chosen = tables_for(similarity, sampled), radius_of(similarity, 64 * parts), np.random.default_rng(7)
     bits = [np.sort(chosen.choice(64 * parts, sampled, replace=False)).tolist() for _ in range(tables)]
+    tasks = max(4 * partitions(docs.sparkSession), n * tables // TASK_ROWS)
 
-    tasks = max(4 * partitions(docs.sparkSession), nodes.count() * tables // TASK_ROWS)
+    def shards(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+        all_bits = np.unpackbits(np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint8), axis=1, bitorder="little")
+        for i, places in enumerate(bits):
+            yield (i << sampled) + all_bits[:, places].astype(np.int64) @ (1 << np.arange(sampled))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def only_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = np.ascontiguousarray(pdf[names].to_numpy(np.int64))
-            all_bits = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little")
-            for i, places in enumerate(bits):
-                shard = (i << sampled) + all_bits[:, places].astype(np.int64) @ (1 << np.arange(sampled))
-                yield pdf.assign(shard=shard, task=shard * 0x9E3779B1 % tasks)
+            yield from (pd.DataFrame({"shard": s}) for s in shards(pdf))
 
-    def search(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    def search(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of the members (node, fingerprint, part): the pairs (u, v) that they name, and the nodes with pairs that are left."""
+        blocks = {}
+        if n > shard_rows:
+            held = members.select(*names).mapInPandas(only_shards, "shard long").groupBy("shard").count().where(F.col("count") > shard_rows)
+            blocks = {r["shard"]: min(MOST_BLOCKS, -(-r["count"] // shard_rows)) for r in held.collect()}  # at most tables * n / shard_rows
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for shard in shards(pdf):
+                    out = pdf.assign(shard=shard * MOST_BLOCKS * MOST_BLOCKS)
+                    if blocks:
+                        n_blocks = out["shard"].floordiv(MOST_BLOCKS * MOST_BLOCKS).map(blocks).fillna(1).to_numpy(np.int64)
+                        block = pdf["node"].to_numpy(np.int64) * 0x9E3779B1 % 0x7FFFFFFF % n_blocks
+                        copy = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)  # the other block
+                        block, out = np.repeat(block, n_blocks), out.loc[out.index.repeat(n_blocks)]
+                        out["shard"] += np.minimum(block, copy) * MOST_BLOCKS + np.maximum(block, copy)
+                    yield out.assign(task=out["shard"].to_numpy(np.int64) % 0x7FFFFFFF * 0x9E3779B1 % tasks)
 
         def name(pdf: pd.DataFrame) -> pd.DataFrame:
             node = pdf["node"].to_numpy(np.int64)
-            u, v, left = shard_pairs(pdf["shard"].to_numpy(np.int64), np.ascontiguousarray(pdf[names].to_numpy(np.int64)), pdf["part"].to_numpy(np.int64), radius, most)
+            values = np.ascontiguousarray(pdf[names].to_numpy(np.int64))
+            u, v, left = shard_pairs(pdf["shard"].to_numpy(np.int64), values, pdf["part"].to_numpy(np.int64), radius, 1)
+            d = np.bitwise_count(values[u] ^ values[v]).sum(1, dtype=np.int64)
             # A node that is left comes as a pair with itself.
-            return pd.DataFrame({"u": np.concatenate((np.maximum(node[u], node[v]), node[left])), "v": np.concatenate((np.minimum(node[u], node[v]), node[left]))}).drop_duplicates()
+            return pd.DataFrame({"u": np.concatenate((node[u], node[left])), "v": np.concatenate((node[v], node[left])), "d": np.concatenate((d, np.zeros(len(left), np.int64)))}).drop_duplicates()
 
         columns = ", ".join(f"{n} long" for n in ("node", *names, "part", "shard", "task"))
         dealt = members.select("node", *names, "part").mapInPandas(deal, columns)
-        found = cut(dealt.groupBy("task").applyInPandas(name, "u long, v long").distinct())
-        return found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
-
-    tried, left = search(nodes.withColumn("part", F.col("node")), 1)
-    roots, most = components(_similar(tried, docs, key, text, k, similarity)), 1
-    while not left.isEmpty():
-        most *= MORE
-        named, left = search(nodes.join(left, "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")), most)
+        found = cut(dealt.groupBy("task").applyInPandas(name, "u long, v long, d long").distinct())
+        ranked = found.where("u <> v").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v")))  # a row for each table at most
+        beyond = ranked.where(F.col("rank") > NAMED)
+        left = found.where("u = v").select(F.col("u").alias("node")).unionByName(beyond.select(F.col("u").alias("node"))).unionByName(beyond.select(F.col("v").alias("node")))
+        named = ranked.where(F.col("rank") <= NAMED).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        return named.distinct(), left.distinct()
+
+    tried = cut(_leaders(nodes, names))
+    alike = cut(_similar(tried, docs, key, text, k, similarity))
+    roots = components(alike)
+    of_parts = lambda: nodes.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    named, left = search(of_parts())
+    for step in range(2):
         fresh = cut(named.join(tried, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            continue
         alike, tried = cut(_similar(fresh, docs, key, text, k, similarity)), tried.unionByName(fresh)
         if not alike.isEmpty():
             roots = components(alike.unionByName(roots.toDF("u", "v")))
+        if step or left.isEmpty():
+            break
+        named = _joined(docs, of_parts().join(left, "node").select("node", "part"), key, text, k, similarity)
     roots = roots.withColumnRenamed("root", "component")
     root = F.coalesce("component", "node")
     named = nodes.join(roots, "node", "left").select(*names, F.when(root < (1 << 62), root).cast(kind).alias("component_id"))

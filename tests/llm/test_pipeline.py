@@ -105,6 +105,8 @@ def test_families_of_near_copies_are_linked(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
     assert [found[i] for i in range(len(texts))] == brute_near(texts) and len(set(found.values())) == 8
+    # Shards in blocks of 30 fingerprints.
+    assert found == {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame, shard_rows=30).collect()}
 
 
 def test_pairs_amid_decoys_are_verified(spark):
