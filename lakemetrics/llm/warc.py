@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import shared_dir
+from .common import cut, shared_dir
 
 #: A file holds records up to about this many compressed bytes; a read partition takes up about CHUNK of them.
 FILE_BYTES, CHUNK = 256 << 20, 16 << 20
 #: Shortest payload that a revisit record may stand for.
 LEAST_SHARED = 100
+#: Payloads with several rows whose digests (about 100 bytes each) may be broadcast.
+MOST_GROUPS = 500_000
 MANIFEST = "_manifest-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, refers_to string, content_type string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
@@ -304,13 +306,18 @@ def as_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     Of the rows with an equal payload of at least `least` bytes, that with the smallest key is the response and the
     others revisit it. Rows that share the smallest key are all responses, and so are rows of a payload without any
     key. Shorter payloads, and null ones (no bytes), are always responses.
+
+    Only digests and keys are shuffled to find the groups. Their table is broadcast where it has no more than MOST_GROUPS
+    rows, so no payload is shuffled; beyond that payloads are joined by digest, and Spark splits digests that very many
+    rows share, as the other side has one row for each.
     """
     rows = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_group"), "_first")
     # Rows that can't be a revisit get keys of their own, which spread over all tasks and meet nothing.
     group = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("_key", "target_uri").cast("string")))
-    rows = rows.withColumn("_group", group).join(first, "_group", "left")
+    first = cut(first)
+    rows = rows.withColumn("_group", group).join(F.broadcast(first) if first.count() <= MOST_GROUPS else first, "_group", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
     name = lambda c: F.concat(F.lit("<urn:x-key:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     return rows.select(
