@@ -13,6 +13,8 @@ ROUNDS = 4
 MOST_WALKS = 64
 ROWS_A_BUCKET = 250
 MOST_BUCKETS = 1 << 20
+#: Equal rows that are numbered together.
+RUN = 1000
 
 
 def _once(x: Column, side: int, seed: int) -> Column:
@@ -34,25 +36,26 @@ def permuted(x: Column, n: int, seed: int = 7) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the permutation left its range")).cast("long"))
 
 
-def row_numbers(df: DataFrame, key: str, order: list[str], n: int, name: str = "row_number") -> DataFrame:
-    """Adds global row numbers 0 to n - 1 that depend on the rows alone and not on how they are partitioned.
+def row_numbers(df: DataFrame, n: int, name: str = "row_number") -> DataFrame:
+    """Gives the n rows of df global row numbers 0 to n - 1, which depend on the rows alone and not on their partitioning.
 
-    Rows are dealt to buckets by a hash of key, numbered within each bucket by key and order, and shifted by the sizes
-    of the buckets before. Only the bucket sizes (at most 2**20 of them) are broadcast. Rows that are equal in key and
-    order are interchangeable; null keys are a key of their own.
+    Equal rows are interchangeable, so they are counted first (with partial counts before the shuffle) and carried as one
+    row for each RUN of them. These are dealt to buckets by a hash of all columns, numbered within each bucket in the
+    order of all columns, and shifted by the sizes of the buckets before; in the end each is repeated as often as it
+    counts. So a bucket never holds more than its share, even if all rows are equal. Only the bucket sizes (at most
+    2**20 of them) are broadcast. Nulls are equal to each other.
     """
+    columns = df.columns
     buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_A_BUCKET)))
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-    sizes = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *order))
-    return (
-        df.withColumn("_bucket", bucket)
-        .withColumn("_within", within)
-        .join(F.broadcast(before), "_bucket")
-        .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_within") - 1)
-        .drop("_bucket", "_within", "_before")
-    )
+    runs = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_n") - 1, F.lit(RUN)))
+    counted = df.groupBy(*columns).agg(F.count("*").alias("_n")).select(*columns, "_n", F.explode(runs).alias("_run"))
+    counted = counted.withColumn("_size", F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN)).withColumn("_bucket", F.pmod(F.xxhash64(*columns, "_run"), F.lit(buckets)).cast("int"))
+    sizes = counted.groupBy("_bucket").agg(F.sum("_size").alias("_total"))
+    before = sizes.select("_bucket", F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.sum("_size").over(Window.partitionBy("_bucket").orderBy(*columns, "_run").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce("_before", F.lit(0)) + F.coalesce("_within", F.lit(0))
+    placed = counted.withColumn("_within", within).join(F.broadcast(before), "_bucket")
+    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_size") - 1)).alias(name))
 
 
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
@@ -71,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).alias(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     place = permuted(F.col("_number"), n, seed)
     return (
-        row_numbers(rows, key, ["text_crc32", "size"], n, "_number")
+        row_numbers(rows, n, "_number")
         .withColumn("_place", place)
         .select(
             key,
