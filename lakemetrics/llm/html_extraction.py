@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import through_pandas
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments (also the bogus ones of `<!`, `<?` and `</` without a name), and tags with name and attributes. As in browsers a
+#: quote begins a value only behind an equals sign and is an ordinary character elsewhere; a tag that isn't closed ends where
+#: the next one begins. Nothing is ever read twice, so any page takes linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/[^a-zA-Z>])[^>]*+(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|(?=<)|\Z)", re.S)
 #: Words that name a part of the page in class, id or role attributes.
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -36,33 +39,41 @@ UNLIKELY = {
     "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "outbrain", "taboola", "breadcrumb", "breadcrumbs",
     "menu", "nav", "navbar", "navigation", "pagination", "pager", "toolbar", "footer", "header", "masthead", "topbar", "search", "complementary", "contentinfo", "legal", "disclaimer", "skip", "tags",
 }
+#: Of these, words that also name parts of an article: they say nothing beside a word of LIKELY.
+WEAK = {"header", "masthead", "banner", "side", "widget", "widgets", "notice", "notices", "alert", "legal", "disclaimer", "search", "tags"}
 LIKELY = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+#: Words of reader comments, which may be longer than the article.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+#: An element with a word of UNLIKELY is the article all the same if it has this share of the page's points.
+ARTICLE_SHARE = 0.5
 #: Characters of own text that make an element a paragraph.
 SCORED_FROM = 3
 SIBLING_SHARE = 0.2
 
 
-def _unlikely(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
-    names = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & UNLIKELY) and not names & LIKELY
+def _names(attributes: str) -> set[str]:
+    return {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+
+
+def _unlikely(names: set[str]) -> bool:
+    return bool(names & UNLIKELY - (WEAK if names & LIKELY else set()))
 
 
 class Page:
-    """The element tree of a page: tag, parent and whether it is dropped, and the text runs in page order."""
+    """The element tree of a page: tag, parent, whether it is dropped or unlikely, and the text runs in page order."""
 
     def __init__(self, source: str):
-        self.tags, self.parent, self.out = ["#root"], [0], [False]
+        self.tags, self.parent, self.out, self.unlikely = ["#root"], [0], [False], [False]
         self.runs: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self._read(source)
 
     def _push(self, stack: list[int], tag: str, attributes: str) -> None:
         up = stack[-1]
-        drop = self.out[up] or tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(attributes) and _unlikely(attributes))
+        names = _names(attributes) if attributes and tag not in ("html", "body", "article", "main") else set()
         self.tags.append(tag)
         self.parent.append(up)
-        self.out.append(drop)
+        self.out.append(self.out[up] or tag in DROPPED or bool(names & COMMENTS) or (bool(attributes) and tag not in ("html", "body", "article", "main") and bool(HIDDEN.search(attributes))))
+        self.unlikely.append(_unlikely(names))
         stack.append(len(self.tags) - 1)
 
     def _read(self, source: str) -> None:
@@ -79,8 +90,6 @@ class Page:
             if m is None or m.start() > at:
                 end = size if m is None else m.start()
                 text = source[at:end]
-                if m is None:  # a tag that the page's end cuts off is no text
-                    text = re.sub(r"<[/!?a-zA-Z][^<>]*\Z", "", text)
                 if not self.out[stack[-1]]:
                     runs.append((stack[-1], entities.unescape(text) if "&" in text else text))
                 if m is None:
@@ -141,7 +150,8 @@ def main_text(source: str | None) -> str:
 
     Every element with text of its own is a paragraph. It passes points (one, one for each comma, and up to three for
     its length) to its parent, half of them to the grandparent, a third of that and so on to the three elements above.
-    A container's score is discounted by its link density. The best container is kept, grown to the article or main
+    An element whose class, id or role names another part of the page goes, unless it has half of all points. A
+    container's score is discounted by its link density. The best container is kept, grown to the article or main
     element that it stands in; so are its siblings that score a fifth of it, or are paragraphs with few links.
     """
     if not source:
@@ -149,27 +159,49 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     tags, parent = page.tags, page.parent
     n = len(tags)
-    own, linked = [0] * n, [0] * n  # characters of text, and of those in links
     commas = [0] * n
+    own, linked = [0] * n, [0] * n  # characters of text, and of those in links
     holder = [0] * n  # nearest block of each element
     in_link = [False] * n
     for i in range(1, n):
         holder[i] = i if tags[i] in BLOCKS else holder[parent[i]]
         in_link[i] = tags[i] == "a" or in_link[parent[i]]
+    # An unlikely inline element is judged like a block, so its text counts for itself.
+    for i in range(1, n):
+        if page.unlikely[i] and tags[i] not in BLOCKS:
+            holder[i] = i
+        elif tags[i] not in BLOCKS:
+            holder[i] = holder[parent[i]]
     for i, text in page.runs:
         if text and (k := len(" ".join(text.split()))):
             b = holder[i]
             own[b] += k
             commas[b] += text.count(",") + text.count("，")
             linked[b] += k * in_link[i]
-    score = [0.0] * n
+    points = [0.0] * n
     for b in range(n):
         if own[b] >= SCORED_FROM and tags[b] not in ("body", "html", "#root") or own[b] >= 25:
-            points = (1 + commas[b] + min(own[b] / 100, 3)) * (1 - linked[b] / own[b])
+            points[b] = (1 + commas[b] + min(own[b] / 100, 3)) * (1 - linked[b] / own[b])
+    if any(page.unlikely):
+        below = points[:]
+        for i in range(n - 1, 0, -1):
+            below[parent[i]] += below[i]
+        gone = page.out[:]
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[parent[i]] or (page.unlikely[i] and below[i] < ARTICLE_SHARE * below[0])
+        page.runs = [(i, t) for i, t in page.runs if t is None or not gone[i]]
+        page.out = gone
+        for i in range(n):
+            if gone[i]:
+                own[i] = linked[i] = commas[i] = 0
+                points[i] = 0.0
+    score = [0.0] * n
+    for b in range(n):
+        if points[b]:
             up, part = (parent[b] if tags[b] in ("p", "pre", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "caption") else b), 1.0
             up = holder[up]
             for level in range(1, 6):
-                score[up] += points * part
+                score[up] += points[b] * part
                 if up == 0:
                     break
                 up, part = holder[parent[up]], 0.5 if level == 1 else 1 / (3 * level)
