@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rolling, through_pandas, word_hashes, word_spans
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Items that are broadcast together; a larger benchmark is searched for block by block.
-ITEM_BLOCK = 20_000
+#: Bytes of items that are broadcast together (one longer item goes alone); a larger benchmark is searched for block by block.
+BLOCK_BYTES = 16 << 20
 #: Bins of a signature: so many for each shingle that a window of the class can hold, and never fewer than LEAST_BINS. A
 #: contained shingle is lost only if a smaller hash falls into its bin, which happens to one in BINS_A_SHINGLE at most;
 #: the item is lost only if that happens to all its contained shingles.
@@ -106,8 +107,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     The items are partitioned by size. For each size class a document is cut into windows of about that size, so that a
     short item inside a long document still has a high resemblance to one of the windows; an item is a candidate if
     the MinHash signatures of both agree in some bin. Candidates are verified by the exact containment of the item's
-    distinct shingles in the whole document. The benchmark is broadcast in blocks of ITEM_BLOCK items; documents are
-    scanned once for each block and never shuffled.
+    distinct shingles in the whole document. The benchmark is broadcast in blocks of BLOCK_BYTES, whose index is built in
+    the tasks; documents are scanned once for each block and never shuffled.
 
     Returns key, item, n_shingles, n_found and containment. Words are lower-cased and cut at white space. Texts
     that are null, empty or shorter than k words have no shingles: such a document holds nothing, such an item is never
@@ -120,32 +121,57 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     schema = f"`{key}` {as_}, `{item}` {kinds[1]}, n_shingles long, n_found long, containment double"
     rows = docs.select(sent_key.alias("key"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
-    for block in batched(benchmark.select(item, F.col(text).alias("text")).toLocalIterator(), ITEM_BLOCK):
-        sent = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in block], k))
+    for sent in _sent(benchmark, item, text):
         out = out.unionByName(rows.mapInPandas(_search(sent, key, item, k, threshold), schema))
     return out.withColumn(key, F.col(key).cast(kinds[0]))
 
 
+def _sent(benchmark: DataFrame, item: str, text: str) -> Iterator[Broadcast]:
+    """Blocks of (item, text), each with a name of its own."""
+    context = benchmark.sparkSession.sparkContext
+    block, size = [], 0
+    for name, body in benchmark.select(F.col(item), F.col(text)).toLocalIterator():
+        if block and size + len(body or "") > BLOCK_BYTES:
+            yield context.broadcast((uuid4().hex, block))
+            block, size = [], 0
+        block.append((name, body))
+        size += len(body or "")
+    if block:
+        yield context.broadcast((uuid4().hex, block))
+
+
+_built: dict[tuple[str, int], Index] = {}
+
+
+def _index(sent: Broadcast, k: int) -> Index:
+    """The index of a block, kept by the worker while its tasks ask for no other one."""
+    name, items = sent.value
+    if (name, k) not in _built:
+        _built.clear()
+        _built[name, k] = Index(items, k)
+    return _built[name, k]
+
+
 def _search(sent, key: str, item: str, k: int, threshold: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _index(sent, k)
         for pdf in batches:
             found = [
                 (None if pd.isna(name) else name, which, wanted, n, n / wanted)
                 for name, text in zip(pdf["key"], pdf["text"])
-                for which, wanted, n in _held(sent.value, text, k, threshold)
+                for which, wanted, n in _held(index, text, k, threshold)
             ]
             yield pd.DataFrame(found, columns=[key, item, "n_shingles", "n_found", "containment"])
 
     return search
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", k: int = SHINGLE, threshold: float = CONTAINMENT) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = SHINGLE, threshold: float = CONTAINMENT) -> DataFrame:
     """The rows of docs that hold no benchmark item (see contained()), with all their columns; nothing is shuffled.
 
     Only the texts go through Python, once for each block of the benchmark. Null and empty texts are clean.
     """
-    for block in batched(benchmark.select(item, F.col("text").alias("text")).toLocalIterator(), ITEM_BLOCK):
-        sent = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in block], k))
+    for sent in _sent(benchmark, item, item_text):
         docs = docs.where(~_dirty(sent, k, threshold)(F.col(text)))
     return docs
 
@@ -153,7 +179,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def _dirty(sent, k: int, threshold: float):
     @F.pandas_udf("boolean")
     def dirty(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(_held(sent.value, text, k, threshold)) for text in texts], dtype=bool)
+        index = _index(sent, k)
+        return pd.Series([bool(_held(index, text, k, threshold)) for text in texts], dtype=bool)
 
     return dirty
 
