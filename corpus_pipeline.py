@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemetrics.llm import decontamination, packing, quality_rules, simhash, substring
-from lakemetrics.llm.common import shared_dir, table
+from lakemetrics.llm.common import shared_dir, spread, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage but the last is written as Parquet to the shared folder and read again."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, license_scan, packing, quality_rules, sharding, simhash, substring, suffix, warc
-from .common import table
+from .common import spread, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.extract(table(spark, sf_dir, "pages"))
+    return html_extraction.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contained(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
