@@ -57,6 +57,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_sized(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, share: int = 10_000) -> DataFrame:
+    """rows joined with a table that has one row for each value of `on` and says in the column `size` how many of the
+    `total` rows have it.
+
+    Values with more than one in `share` of all rows are fewer than `share`, so their rows of the table are broadcast;
+    the rest is shuffled, and no value of it is frequent.
+    """
+    often = table.where(F.col(size) * share > total)
+    rest = rows.join(F.broadcast(often.select(on)), on, "left_anti").join(table.where(F.col(size) * share <= total), on)
+    return rows.join(F.broadcast(often), on).unionByName(rest)
+
+
 def through_pandas(name: str, kind: str) -> tuple[Column, str]:
     """A column as it goes through pandas, and its type there: an integer as text, as pandas would make numbers with nulls
     doubles, which are exact up to 2**53 only."""
