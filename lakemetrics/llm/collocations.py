@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,8 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 CHUNK = 4 << 20
 #: Counters that a task holds before it sends them off.
 HELD = 1 << 21
+#: Phrases that a task holds as text before it sends their counts off.
+PHRASES = 1 << 18
 #: n-gram occurrences of a hash partition, about.
 MOST_MASS = 1 << 23
 #: Bits of a hash that address a bitmap of survivors (16 MB, whatever the size of the corpus).
@@ -80,28 +83,45 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             yield Chunk(texts, langs)
 
 
-def counted(chunk: Chunk, size: int, mask: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """Each distinct run of `size` words under the mask as (lang, phrase, size, hash), and how often it occurs there.
-
-    Runs are the same when 128 bits of hash are.
-    """
-    at = np.flatnonzero(mask)
-    a, b = chunk.grams(size)[at], chunk.grams(size, "check")[at]
-    order = np.lexsort((b, a))
-    a, b, at = a[order], b[order], at[order]
-    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[: len(a)]
-    found = [(chunk.langs[chunk.doc[i]], chunk.phrase(i, size), size, h) for i, h in zip(at[head].tolist(), a[head].view(np.int64).tolist())]
-    return found, np.diff(np.append(head, len(a)).astype(np.int64))
-
-
-def _rows(found: list[tuple], n: np.ndarray) -> pa.RecordBatch:
-    columns = list(zip(*found)) or [[]] * 4
-    return pa.record_batch([pa.array(c, t) for c, t in zip([*columns, n], _WORDS.types)], schema=_WORDS)
+class Tally:
+    """Counts of the phrases of one task, each decoded when it is first met; two runs are the same when 128 bits of hash are."""
+
+    def __init__(self):
+        self.count: dict[tuple[int, int], int] = {}
+        self.phrase: dict[tuple[int, int], tuple[str, str, int]] = {}
+
+    def add(self, chunk: Chunk, size: int, mask: np.ndarray) -> None:
+        """Counts the runs of `size` words under the mask."""
+        at = np.flatnonzero(mask)
+        a, b = chunk.grams(size)[at], chunk.grams(size, "check")[at]
+        order = np.lexsort((b, a))
+        a, b, at = a[order], b[order], at[order]
+        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[: len(a)]
+        n = np.diff(np.append(head, len(a)).astype(np.int64))
+        for i, key, more in zip(at[head].tolist(), zip(a[head].tolist(), b[head].tolist()), n.tolist()):
+            if key in self.count:
+                self.count[key] += more
+            else:
+                self.count[key] = more
+                self.phrase[key] = (chunk.langs[chunk.doc[i]], chunk.phrase(i, size), size)
+
+    def rows(self) -> pa.RecordBatch:
+        """WORDS of all phrases, in the order of their hashes; the tally is empty then."""
+        keys = sorted(self.count)
+        columns = list(zip(*[self.phrase[k] for k in keys])) or [[]] * 3
+        hashes = np.array([k[0] for k in keys], np.uint64).view(np.int64)
+        out = pa.record_batch([pa.array(c, t) for c, t in zip([*columns, hashes, [self.count[k] for k in keys]], _WORDS.types)], schema=_WORDS)
+        self.count, self.phrase = {}, {}
+        return out
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = Tally()
     for chunk in chunks(batches):
-        yield _rows(*counted(chunk, 1, np.ones(len(chunk.starts), bool)))
+        tally.add(chunk, 1, np.ones(len(chunk.starts), bool))
+        if len(tally.count) > PHRASES:
+            yield tally.rows()
+    yield tally.rows()
 
 
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -220,12 +240,11 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, longest: in
     """(lang, phrase, size, f) of all phrases of 1 to `longest` words that occur `least` times or more in their language,
     and (lang, n) of all languages."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    exact = lambda found: found.groupBy("lang", "phrase", "size", "hash").agg(F.sum("n").alias("f"))
-    words = written(exact(texts.mapInArrow(count_words, WORDS)), "words")
+    words = written(texts.mapInArrow(count_words, WORDS).groupBy("lang", "phrase", "size", "hash").agg(F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     if longest < 2:
-        return frequent, totals
+        return frequent.drop("hash"), totals
     mass = words.agg(F.sum("f")).first()[0] or 0
     parts = lambda sizes: max(partitions(docs.sparkSession), -(-mass * sizes // MOST_MASS))
     single = bitmap(frequent)
@@ -241,14 +260,37 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, longest: in
 
     long = bitmap(survivors(texts.mapInArrow(summarise(more, parts(longest - 2)), CELLS), least)) if longest > 2 else two
 
+    n_parts = parts(longest - 1)
+
+    def cells(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at = cuts(rows.column("hash").to_numpy().view(np.uint64), n_parts)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        return pa.record_batch([pa.array(full, pa.int32()), pa.array([_packed(rows.slice(at[p], at[p + 1] - at[p])) for p in full], pa.binary())], names=["part", "rows"])
+
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for chunk in chunks(batches):
             for size in range(2, longest + 1):
                 bits = two if size == 2 else long
-                yield _rows(*counted(chunk, size, possible_longer(chunk, size, two.value) & has(bits.value, chunk.grams(size))))
+                tally.add(chunk, size, possible_longer(chunk, size, two.value) & has(bits.value, chunk.grams(size)))
+            if len(tally.count) > PHRASES:
+                yield cells(tally.rows())
+        yield cells(tally.rows())
+
+    def add_up(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")])
+        sums = rows.group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "size", "f"])
+        return sums.filter(pc.greater_equal(sums.column("f"), least))
+
+    grams = texts.mapInArrow(count_grams, "part int, rows binary").groupBy("part").applyInArrow(add_up, "lang string, phrase string, size int, f long")
+    return written(frequent.drop("hash").unionByName(grams), "phrases"), totals
+
 
-    grams = exact(texts.mapInArrow(count_grams, WORDS)).where(F.col("f") >= least)
-    return written(frequent.unionByName(grams).drop("hash"), "phrases"), totals
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100) -> DataFrame:
