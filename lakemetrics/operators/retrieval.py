@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as X
+from .keyword_index import FIELDS, LEAST_SIMILARITY, TEXT, KeywordIndex
 
 MOST_VECTOR, MOST_KEYWORD, MOST_FUSED, MOST_TERMS = 10, 20, 20, 2
 RRF_K = 60
-LEAST_SIMILARITY = 0.3
 #: Weights of the keyword signals, in the order of their tiers.
 WEIGHTS = {
     "section_title_exact": 100,
@@ -27,8 +27,6 @@ WEIGHTS = {
     "search_text_contains": 40,
     "search_text_trigram": 30,
 }
-#: Columns of a chunk that may hold a term.
-FIELDS = ("section_title", "document_title", "search_text")
 #: Queries that are broadcast together; more are searched for block by block.
 QUERY_BLOCK = 2_000
 
@@ -83,20 +81,18 @@ def searchable_count(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.count(vector).alias("searchable"))
 
 
-def keyword_search(terms: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
+def keyword_search(terms: DataFrame, chunks: DataFrame, limit: int = 10, index: KeywordIndex | None = None) -> DataFrame:
     """Tiered keyword matches of each term (query_id, term) among chunks, the best `limit` by score, then chunk_id.
 
     The score is the largest weight of the signals that match (that of trigrams times the similarity); all of them are
     listed in tier order. Titles are compared exactly in their case, everything else in any case, and no character of a
-    term is a wildcard. Every signal is an equi-join: exact ones on the term, the others on trigrams. A text that holds a
-    term holds the trigrams inside the term's words, so only chunks with one of these are searched for it, and the
-    similarity is a count of shared trigrams by chunk and term, where their numbers allow the least similarity. Terms without three letters or digits in a row have no
-    such trigram and are looked for in all chunks.
+    term is a wildcard. Exact signals are equi-joins on the term; the others are searched for in a KeywordIndex of the
+    same chunks, which is built here unless one is given. Terms that are null are left out; an empty term is in every text.
     """
     _within(limit, MOST_KEYWORD, "limit")
     asked = terms.where(F.col("term").isNotNull()).select("query_id", "term")
     rows = chunks.select("chunk_id", "document_title", "section_title", "keywords", "aliases", "search_text")
-    found = _signals(asked.select("term").distinct(), rows)
+    found = _signals(asked.select("term").distinct(), rows, index or KeywordIndex.build(rows))
     hits = F.filter(F.array(*[F.when(F.array_contains("_names", name), F.lit(name)) for name in WEIGHTS]), lambda x: x.isNotNull())
     weight = lambda name: F.col("_similarity") * WEIGHTS[name] if name == "search_text_trigram" else F.lit(float(WEIGHTS[name]))
     score = F.greatest(*[F.when(F.array_contains("_names", name), weight(name)).otherwise(0.0) for name in WEIGHTS])
@@ -106,40 +102,23 @@ def keyword_search(terms: DataFrame, chunks: DataFrame, limit: int = 10) -> Data
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "term", "chunk_id", "matched_terms", "keyword_score", "rank")
 
 
-def _signals(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+def _signals(terms: DataFrame, chunks: DataFrame, index: KeywordIndex) -> DataFrame:
     """(term, chunk_id, name, similarity) of every signal that matches; similarity is that of trigrams, else null."""
     none = F.lit(None).cast("double").alias("similarity")
     signal = lambda df, name: df.select("term", "chunk_id", F.lit(name).alias("name"), none)
     low = terms.withColumn("_low", F.lower("term"))
     out = [signal(terms.join(chunks.select("chunk_id", F.col(c).alias("term")), "term"), f"{c}_exact") for c in ("section_title", "document_title")]
     out += [signal(low.join(chunks.select("chunk_id", F.explode(F.array_distinct(F.transform(c, F.lower))).alias("_low")), "_low"), f"{c}_exact") for c in ("keywords", "aliases")]
-    low = low.withColumn("_t", F.unhex(F.md5(F.col("term").cast("binary"))))  # counted rows carry this instead of the term
-    grams = low.select("_t", "term", "_low", X.trigrams(F.col("term")).alias("_grams"), X.inner_trigrams(F.col("term")).alias("_inner"))
-    held = chunks.select("chunk_id", *[X.trigrams(F.col(c)).alias(c) for c in FIELDS])
-    index = grams.select("_t", F.size("_grams").alias("_a"), F.explode("_grams").alias("_gram"))
-    seen = held.select("chunk_id", F.size("search_text").alias("_b"), F.explode("search_text").alias("_gram"))
-    able = F.expr(f"_a >= {LEAST_SIMILARITY} * _b and _b >= {LEAST_SIMILARITY} * _a")
-    met = seen.join(index, "_gram").where(able).groupBy("chunk_id", "_t", "_a", "_b").agg(F.count("*").alias("_h"))
-    near = met.withColumn("similarity", F.col("_h") / (F.col("_a") + F.col("_b") - F.col("_h"))).where(F.col("similarity") >= LEAST_SIMILARITY)
-    named = low.select("_t", "term", "_low")
-    out.append(near.join(named, "_t").select("term", "chunk_id", F.lit("search_text_trigram").alias("name"), "similarity"))
-    needles = grams.where(F.size("_inner") > 0).select("term", "_low", F.array_max("_inner").alias("_gram"))
-    fields = F.flatten(F.array(*[F.transform(c, _in_field(c)) for c in FIELDS]))
-    able = held.select("chunk_id", F.explode(fields).alias("_f")).select("chunk_id", "_f.field", F.col("_f.gram").alias("_gram")).join(needles, "_gram")
+    keyed = low.select(F.unhex(F.md5(F.col("term").cast("binary"))).alias("key"), "term", "_low")  # counted rows carry this instead of the term
+    out.append(index.similar(keyed).join(keyed, "key").select("term", "chunk_id", F.lit("search_text_trigram").alias("name"), "similarity"))
     lowered = chunks.select("chunk_id", *[F.lower(c).alias(c) for c in FIELDS])
-    of_field = reduce(lambda a, c: a.when(F.col("field") == c, F.col(c)), FIELDS, F)
-    out.append(able.join(lowered, "chunk_id").where(F.contains(of_field, F.col("_low"))).select("term", "chunk_id", F.concat("field", F.lit("_contains")).alias("name"), none))
-    short = grams.where(F.size("_inner") == 0).select("term", "_low")
-    if not short.isEmpty():
-        pairs = short.join(lowered, on=F.lit(True))
-        out += [signal(pairs.where(F.contains(c, "_low")), f"{c}_contains") for c in FIELDS]
+    of_field = reduce(lambda a, i: a.when(F.col("field") == i, F.col(FIELDS[i])), range(len(FIELDS)), F)
+    name = F.concat(F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1), F.lit("_contains"))
+    held = index.may_contain(keyed).join(keyed, "key").join(lowered, "chunk_id").where(F.contains(of_field, F.col("_low")))
+    out.append(held.select("term", "chunk_id", name.alias("name"), none))
     return reduce(DataFrame.unionByName, out)
 
 
-def _in_field(name: str):
-    return lambda g: F.struct(F.lit(name).alias("field"), g.alias("gram"))
-
-
 def query_plan(queries: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """query_id, original_query, rewritten_queries, keywords: trimmed and deduplicated in any case; rewrites that repeat the
     original are dropped, and at most two stay. A blank original is an error."""
@@ -250,20 +229,14 @@ def summary(lists: DataFrame, candidates: DataFrame, final: DataFrame) -> DataFr
     return asked.join(seen, "query_id", "left").join(last, "query_id", "left").na.fill(zero)
 
 
-def holders(passages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) where the chunk's text holds the passage literally (passages of three words or more).
+def holders(passages: DataFrame, chunks: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(query_id, chunk_id) where the chunk's search_text holds the passage (query_id, passage) literally, in its case.
 
-    The words between a passage's first and last one stand in the text as whole words, so passages meet the chunks that
-    have the rarest of these words, and only there are they looked for.
+    The index of the chunks gives the candidates, whatever the length of a passage. Null passages are left out.
     """
-    words = lambda c: F.split(c, r"\s+")
-    inner = passages.select("query_id", "passage", words("passage").alias("_w")).select("query_id", "passage", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
-    held = chunks.select("chunk_id", F.explode(F.array_distinct(words("text"))).alias("_word"))
-    asked = inner.select("_word").distinct()
-    met = held.join(asked, "_word", "left_semi")
-    rarest = inner.join(met.groupBy("_word").agg(F.count("*").alias("_n")), "_word").groupBy("query_id", "passage").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
-    pairs = met.join(rarest, "_word").join(chunks, "chunk_id").where(F.contains("text", "passage"))
-    return pairs.select("query_id", "chunk_id").distinct()
+    asked = passages.select(F.col("query_id").alias("key"), F.col("passage").alias("term"))
+    pairs = index.may_contain(asked).where(F.col("field") == TEXT).join(asked, "key").join(chunks.select("chunk_id", "search_text"), "chunk_id")
+    return pairs.where(F.contains("search_text", "term")).select(F.col("key").alias("query_id"), "chunk_id").distinct()
 
 
 def probe_hits(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

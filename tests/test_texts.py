@@ -1,5 +1,6 @@
 """Text, corpus and retrieval on what the given tables lack: marks, headings, CJK, odd input."""
 
+import random
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakemetrics.functions import texts as X
 from lakemetrics.operators import corpus, history, questions, retrieval
+from lakemetrics.operators.keyword_index import KeywordIndex
 
 
 def one(spark, column, **values):
@@ -150,6 +152,35 @@ def test_keyword_terms_of_any_length(spark):
 
 
 def test_holders_of_passages(spark):
-    passages = spark.createDataFrame([(1, "one two three"), (2, "b, the a"), (3, "none of these")], "query_id long, passage string")
-    chunks = spark.createDataFrame([(1, "someone two threes"), (2, "ab, the apple"), (3, None), (4, "two of these")], "chunk_id long, text string")
-    assert {tuple(r) for r in retrieval.holders(passages, chunks).collect()} == {(1, 1), (2, 2)}
+    passages = spark.createDataFrame([(1, "one two three"), (2, "b, the a"), (3, "none of these"), (4, "two"), (5, "of these"), (6, None), (7, ",")], "query_id long, passage string")
+    chunks = spark.createDataFrame([(1, "s", "t", "someone two threes"), (2, "s", "t", "ab, the apple"), (3, None, None, None), (4, "two", "t", "Two of these")], "chunk_id long, section_title string, document_title string, search_text string")
+    index = KeywordIndex.build(chunks)
+    assert {tuple(r) for r in retrieval.holders(passages, chunks, index).collect()} == {(1, 1), (2, 2), (4, 1), (5, 4), (7, 2)}
+
+
+def test_the_keyword_index_misses_nothing(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcÉü1") for _ in range(rng.randint(1, 4)))
+    text = lambda most: " ".join(word() + rng.choice(["", ",", "-"]) for _ in range(rng.randint(0, most)))
+    texts = [(i, text(40), text(3), text(2)) for i in range(150)] + [(150, None, None, None), (151, "", "", ""), (152, "abc " * 3000, "abc", "a")]
+    asked = [(i, text(20)) for i in range(60)] + [(60, ""), (61, "a"), (62, "-"), (63, "zzz"), (64, None)] + [(70 + i, t[1][3:15]) for i, t in enumerate(texts[:40])]
+    chunks = spark.createDataFrame(texts, "chunk_id long, search_text string, section_title string, document_title string")
+    terms = spark.createDataFrame(asked, "key long, term string")
+    index = KeywordIndex.build(chunks)
+    again = KeywordIndex(spark, index.path, index.buckets)
+    pairs = terms.crossJoin(chunks).withColumn("s", X.trigram_similarity(F.col("term"), F.col("search_text"))).where("s >= 0.3")
+    near = {(r["key"], r["chunk_id"]): round(r["similarity"], 9) for r in again.similar(terms).collect()}
+    assert len(near) > 50 and near == {(r["key"], r["chunk_id"]): round(r["s"], 9) for r in pairs.collect()}
+    may = {tuple(r) for r in again.may_contain(terms).collect()}
+    place = {"section_title": 0, "document_title": 1, "search_text": 2}
+    held = {(k, place[c], r["chunk_id"]) for r in chunks.collect() for k, t in asked for c in place if t is not None and r[c] is not None and t.lower() in r[c].lower()}
+    assert len(held) > 200 and held <= may
+
+
+def test_keyword_search_has_no_cross_join(spark):
+    chunks = spark.createDataFrame([(1, "t", "s", ["k"], ["a"], "some text")], "chunk_id long, document_title string, section_title string, keywords array<string>, aliases array<string>, search_text string")
+    terms = spark.createDataFrame([(1, "te"), (2, "some text")], "query_id long, term string")
+    found = retrieval.keyword_search(terms, chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and found.count() == 2
+
