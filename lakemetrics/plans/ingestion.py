@@ -108,13 +108,25 @@ def published(spark: SparkSession, d: str) -> DataFrame:
     return store.table("category_metrics").drop("buy_user_count", "buy_user_rate")
 
 
+def _copy_files(spark: SparkSession, folder: str) -> None:
+    """Copies each Parquet file of a folder to another name in it."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    system = fs.Path(folder).getFileSystem(conf)
+    for found in system.globStatus(fs.Path(folder, "*.parquet")):
+        path = found.getPath()
+        fs.FileUtil.copy(system, path, system, fs.Path(folder, f"copy-of-{path.getName()}"), False, conf)
+
+
 @query("arriving_files", f"SELECT * REPLACE (CAST(metric_date AS VARCHAR) AS metric_date) FROM ({_daily_sql(tv.STREAM)})")
 def arriving(spark: SparkSession, d: str) -> DataFrame:
-    """Daily metrics after files arrived three times; at the third time there was nothing new."""
+    """Daily metrics after files arrived four times: twice new ones, then nothing, then a copy of each under another name."""
     root, stream = shared.new_folder(spark, "arrivals"), tv.stream_events(spark, d)
     folder, schema = f"{root}/in", ", ".join(f"{n} {k}" for n, k in stream.dtypes)
-    for part in (stream.where("item_id % 2 = 0"), stream.where("item_id % 2 <> 0"), None):
-        if part is not None:
+    for part in (stream.where("item_id % 2 = 0"), stream.where("item_id % 2 <> 0"), None, "copies"):
+        if part == "copies":
+            _copy_files(spark, folder)
+        elif part is not None:
             part.write.mode("append").parquet(folder)
         ingest_arrivals(spark, folder, schema, f"{root}/events", f"{root}/metrics", f"{root}/checkpoint")
     return doubles(spark.read.parquet(f"{root}/metrics/daily_metrics"))

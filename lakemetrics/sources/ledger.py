@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from datetime import datetime, timezone
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,76 +21,129 @@ IMPORT, SKIP, REFUSE = "import", "skip", "refuse"
 FAN = 4096
 
 
-def fingerprint(spark: SparkSession, folder: str) -> str:
-    """SHA-256 of the input: of the sorted hashes of its files, so that names don't matter.
+def _now() -> str:
+    return datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ", timespec="microseconds")
+
+
+def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, hash) of every file with a byte or more in the given folders and files: a hash of its bytes, not of its name.
 
-    A file's hash is a tree over its lines: FAN hashes in a row are hashed together, level by level. So a file may have
-    any size, and no task holds more than FAN hashes of it at a time.
+    It is a tree over the file's lines, as bytes, and its size: FAN hashes in a row are hashed together, level by level.
+    The lines and the size together tell every byte (also whether there is a last line break, or a mark of byte order,
+    which readers drop). So a file may have any size and be read in any splits, and no task holds more than FAN
+    hashes of it at a time.
     """
-    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(folder)
-    level = ingest.numbered(lines.select("value", F.col("_metadata.file_path").alias("_path"), "_metadata"), "_i", each_file=True).select("_path", (F.col("_i") - 1).alias("_i"), F.sha2("value", 256).alias("_h"))
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"), "_metadata"]
+    level = ingest.numbered(lines.select("value", *meta), "_i", each_file=True).select("path", "_size", (F.col("_i") - 1).alias("_i"), F.sha2(F.col("value").cast("binary"), 256).alias("_h"))
     most = level.agg(F.coalesce(F.max("_i"), F.lit(0)).alias("n")).head()["n"]
     while most > 0:
         hashes = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"])
-        level, most = level.groupBy("_path", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.sha2(F.array_join(hashes, ""), 256).alias("_h")), most // FAN
-    return level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), "\n"), 256).alias("h")).head()["h"]
+        level, most = level.groupBy("path", "_size", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.sha2(F.array_join(hashes, ""), 256).alias("_h")), most // FAN
+    return level.select("path", F.sha2(F.concat_ws(":", "_size", "_h"), 256).alias("hash"))
 
 
-class Store:
-    """A folder of run directories; a pointer names the published one.
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """SHA-256 of the input: of the sorted hashes of its files, so that names don't matter."""
+    return fingerprints(spark, folder).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "\n"), 256).alias("h")).head()["h"]
+
 
-    A run writes its tables to a directory of its own, and publishing is one small write after all of them. Readers go
-    through the pointer, so a run that fails leaves what they see untouched.
+class Log:
+    """Numbered entries in a folder, each one JSON file that no other writer can have written too.
+
+    An entry is written under a temporary name and renamed to its number, which fails if that number is taken. A writer
+    that comes too late reads the log again and tries the next number, so entries are in one order for all, and what a
+    writer has read is still true when its entry counts.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, f"entry long, {schema}"
 
-    def _read(self, path: str, schema: str) -> DataFrame:
+    def rows(self) -> DataFrame:
+        try:
+            found = self.spark.read.schema(self.schema).option("pathGlobFilter", "*.json").json(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = self.spark.createDataFrame([], self.schema)
+        return found
+
+    def append(self, row: Callable[[DataFrame], dict], tries: int = 100) -> dict:
+        """Adds row(all entries so far), and returns it with its number; computed anew when another writer was faster."""
+        for _ in range(tries):
+            rows = self.rows()
+            number = (rows.agg(F.max("entry")).head()[0] or 0) + 1
+            new = {"entry": number} | row(rows)
+            if self._create(f"{number:012d}.json", json.dumps({k: v for k, v in new.items() if v is not None}, default=str)):
+                return new
+        raise RuntimeError(f"{self.path} is written to all the time")
+
+    def _create(self, name: str, text: str) -> bool:
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        folder, options = fs.Path(self.path), self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        conf = self.spark._jsc.hadoopConfiguration()
+        system, context = folder.getFileSystem(conf), fs.FileContext.getFileContext(folder.toUri(), conf)
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
+        draft = fs.Path(folder, f".{name}-{uuid4().hex}")
+        system.mkdirs(folder)
+        with_bytes = system.create(draft, False)
         try:
-            return self.spark.read.schema(schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            with_bytes.write(bytearray(text.encode()))
+        finally:
+            with_bytes.close()
+        try:
+            context.rename(draft, fs.Path(folder, name), none)
+        except Py4JJavaError as e:
+            system.delete(draft, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return False
+        return True
+
+
+class Store:
+    """A folder of run directories, and a log of what became of each run; the last success names the published directory.
+
+    A run writes its tables to a directory of its own. One entry of the log then says that it has succeeded and is
+    published, so there is no moment at which only one of both holds. Readers go through the log; a run that fails, or
+    whose writer dies, leaves what they see untouched, and its input can be ingested again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = Log(spark, f"{self.root}/log", f"{RUNS}, directory string")
 
     def published(self) -> str | None:
-        """Directory of the published run: that of the pointer with the largest number."""
-        last = self._read(f"{self.root}/pointers", "run_id long, seq long, directory string").orderBy(F.desc("seq")).head()
-        return last["directory"] if last else None
+        """Directory of the published run: that of the last success in the log."""
+        return self.log.rows().where("directory is not null").agg(F.max_by("directory", "entry")).head()[0]
 
     def table(self, name: str) -> DataFrame | None:
         where = self.published()
         return self.spark.read.parquet(f"{where}/{name}") if where else None
 
-    def publish(self, run_id: int, directory: str) -> None:
-        seq = self._read(f"{self.root}/pointers", "run_id long, seq long, directory string").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).head()["s"] + 1
-        self.spark.createDataFrame([(run_id, seq, directory)], "run_id long, seq long, directory string").coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
-
     def ledger(self) -> DataFrame:
         """All rows ever written; failed attempts stay."""
-        return self._read(f"{self.root}/runs", RUNS)
+        return self.log.rows().select(*[c.split()[0] for c in RUNS.split(", ")])
 
     def runs(self) -> DataFrame:
         """The current state of every run: its last row."""
         last = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("seq")))
         return self.ledger().withColumn("_k", last).where("_k = 1").drop("_k")
 
-    def _append(self, **row) -> None:
-        names = [c.split()[0] for c in RUNS.split(", ")]
-        self.spark.createDataFrame([tuple(row.get(n) for n in names)], RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
-
     def open(self, file_name: str, sha256: str, modulus: int, residue: int) -> dict:
-        run_id = self.ledger().agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("m")).head()["m"] + 1
-        row = {"run_id": run_id, "seq": 1, "file_name": file_name, "sha256": sha256, "sample_modulus": modulus, "sample_residue": residue, "status": RUNNING, "started_at": datetime.now(timezone.utc).replace(tzinfo=None)}
-        self._append(**row)
-        return row
+        """A new run, with a number that no other run has."""
+        run = {"seq": 1, "file_name": file_name, "sha256": sha256, "sample_modulus": modulus, "sample_residue": residue, "status": RUNNING, "started_at": _now()}
+        new = self.log.append(lambda rows: {"run_id": (rows.agg(F.max("run_id")).head()[0] or 0) + 1} | run)
+        return {k: v for k, v in new.items() if k != "entry"}
 
-    def succeed(self, run: dict, raw_rows: int, imported_rows: int) -> None:
-        self._append(**run | {"seq": 2, "status": SUCCEEDED, "raw_row_count": raw_rows, "imported_row_count": imported_rows, "finished_at": datetime.now(timezone.utc).replace(tzinfo=None)})
+    def succeed(self, run: dict, raw_rows: int, imported_rows: int, directory: str) -> None:
+        """Publishes the run's directory and closes the run."""
+        done = {"seq": 2, "status": SUCCEEDED, "raw_row_count": raw_rows, "imported_row_count": imported_rows, "finished_at": _now(), "directory": directory}
+        self.log.append(lambda _: run | done)
 
     def fail(self, run: dict, category: str, message: str) -> None:
-        self._append(**run | {"seq": 2, "status": FAILED, "error_category": category, "error_message": message[:500], "finished_at": datetime.now(timezone.utc).replace(tzinfo=None)})
+        self.log.append(lambda _: run | {"seq": 2, "status": FAILED, "error_category": category, "error_message": message[:500], "finished_at": _now()})
 
     def last_success(self, sha256: str, modulus: int, residue: int) -> DataFrame:
         """One row: the last successful run of this input and sample, or null."""
@@ -133,10 +191,9 @@ def ingest_folder(store: Store, folder: str, modulus: int = 1, residue: int = 0,
     try:
         silver = ingest.read_silver(store.spark, folder, modulus, residue, year)
         where, counts = write_run(store, run, silver)
-        store.publish(run["run_id"], where)
+        imported = sum(counts[n] for n in ("users", "user_events", "repurchase_samples"))
+        store.succeed(run, sum(o.get["rows"] for o in silver.raw_counts.values()), imported, where)
     except Exception as e:
         store.fail(run, getattr(e, "category", "other"), str(e))
         raise
-    imported = sum(counts[n] for n in ("users", "user_events", "repurchase_samples"))
-    store.succeed(run, sum(o.get["rows"] for o in silver.raw_counts.values()), imported)
     return {"action": IMPORT, "run_id": run["run_id"], "counts": counts}

@@ -123,6 +123,60 @@ def test_fingerprint_ignores_names(spark, tmp_path, monkeypatch):
     assert fingerprint(spark, a) != small
 
 
+def test_every_byte_changes_the_fingerprint(spark, tmp_path):
+    forms = [b"a\nb", b"a\nb\n", b"a\r\nb", b"\xef\xbb\xbfa\nb", b"a\nb\n\n", b"a\n\xffb", b"a\n\xfeb", b"ab\n", b"a\nb ", b"a\x00\nb", b"\na\nb"]
+    for i, data in enumerate(forms):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}" / "f.bin").write_bytes(data)
+    found = [fingerprint(spark, str(tmp_path / f"{i}")) for i in range(len(forms))]
+    assert len(set(found)) == len(forms)
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "f").write_bytes(b"".join(b"%d\n" % i for i in range(5000)))
+    whole = fingerprint(spark, str(tmp_path / "big"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert fingerprint(spark, str(tmp_path / "big")) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_two_writers_get_two_numbers(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    real, late = one.log._create, []
+
+    def slow(name, text):
+        if not late:
+            late.append(two.open("b", "h2", 1, 0))
+        return real(name, text)
+
+    one.log._create = slow
+    first = one.open("a", "h1", 1, 0)
+    assert {first["run_id"], late[0]["run_id"]} == {1, 2} and one.runs().count() == 2
+    one.succeed(first, 1, 1, "here")
+    two.succeed(late[0], 1, 1, "there")
+    assert one.published() == "there" and one.runs().where("status = 'succeeded'").count() == 2
+    assert one.log.rows().select("entry").distinct().count() == 4
+
+
+def test_a_crash_before_publishing_leaves_nothing_half_done(spark, tmp_path, monkeypatch):
+    store, folder = Store(spark, str(tmp_path / "store")), write(tmp_path / "raw")
+
+    class Killed(BaseException):
+        pass
+
+    def dies(*_):
+        raise Killed
+
+    monkeypatch.setattr(store, "succeed", dies)
+    with pytest.raises(Killed):
+        ingest_folder(store, folder, 5, 0)
+    assert store.published() is None and [r["status"] for r in store.runs().collect()] == ["running"]
+    after = Store(spark, store.root)
+    assert after.decide(fingerprint(spark, folder), 5, 0).head()["action"] == "import"
+    assert ingest_folder(after, folder, 5, 0)["run_id"] == 2 and after.table("user_events").count() == 7
+    assert ingest_folder(after, folder, 5, 0)["action"] == "skip"
+
+
 def test_row_numbers_over_many_partitions(spark, tmp_path):
     (tmp_path / "n.csv").write_text("user_id,age_range,gender\n" + "\n".join(f"{i},1,1" for i in range(1, 5001)) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
@@ -145,12 +199,25 @@ def test_arrivals_load_each_file_once(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1, 1, day, "click"), (1, 1, 1, 1, day, "buy")], schema).write.parquet(folder)
     assert ingest_arrivals(spark, folder, schema, **paths) == [0]
     assert ingest_arrivals(spark, folder, schema, **paths) == []
-    spark.createDataFrame([(1, 1, 1, 1, day, "buy")], schema).write.mode("append").parquet(folder)
+    spark.createDataFrame([(1, 2, 1, 1, day, "buy")], schema).write.mode("append").parquet(folder)
     assert ingest_arrivals(spark, folder, schema, **paths) == [1]
+    for i, part in enumerate(sorted((tmp_path / "in").glob("part-*.parquet"))):
+        for copy in ("x", "y"):
+            (tmp_path / "in" / f"{copy}{i}.parquet").write_bytes(part.read_bytes())
+    assert ingest_arrivals(spark, folder, schema, **paths) == []
     row = spark.read.parquet(f"{paths['metrics']}/user_metrics").head()
     assert (row["event_count"], row["buy_count"], row["repeat_buy_flag"]) == (3, 2, True)
 
 
+def test_one_content_twice_in_a_batch_is_loaded_once(spark, tmp_path):
+    schema, folder = "user_id long, item_id long, category_id long, merchant_id long, event_date date, action_type string", tmp_path / "in"
+    spark.createDataFrame([(1, 1, 1, 1, datetime.date(2024, 1, 1), "click")], schema).coalesce(1).write.parquet(str(folder))
+    (part,) = folder.glob("part-*.parquet")
+    (folder / "other.parquet").write_bytes(part.read_bytes())
+    assert ingest_arrivals(spark, str(folder), schema, **{k: str(tmp_path / k) for k in ("events", "metrics", "checkpoint")}) == [0]
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 1
+
+
 def test_two_refreshes_are_equal(spark):
     from lakemetrics.sources import testviews as tv
 
