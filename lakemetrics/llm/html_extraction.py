@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,9 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "template", "svg", "math", "canvas", "object", "dialog", "menu", "label", "fieldset", "audio", "video"}
+DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "button", "select", "option", "input", "template", "svg", "math", "canvas", "object", "dialog", "menu", "label", "audio", "video"}
+#: Of a page these may be any part, also the frame of all of it: their points decide, as those of unlikely names do.
+FRAMES = {"form", "fieldset"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -44,15 +47,20 @@ WEAK = {"header", "masthead", "banner", "side", "widget", "widgets", "notice", "
 LIKELY = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 #: Words of reader comments, which may be longer than the article.
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+#: Beside these, a word of COMMENTS tells a state of the page ("comments-open", "no-reply") and not what the element holds.
+STATES = {"no", "not", "has", "with", "without", "open", "opened", "close", "closed", "on", "off", "enabled", "disabled", "allowed", "count", "link", "links"}
 #: An element with a word of UNLIKELY is the article all the same if it has this share of the page's points.
 ARTICLE_SHARE = 0.5
 #: Characters of own text that make an element a paragraph.
 SCORED_FROM = 3
 SIBLING_SHARE = 0.2
+#: Lists of links within the article: elements of these tags with so many links at least, which hold this share of their text.
+LISTS, LEAST_LINKS, LINK_SHARE = {"ul", "ol", "dl", "div", "section", "table"}, 3, 0.9
 
 
-def _names(attributes: str) -> set[str]:
-    return {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+def _names(attributes: str) -> list[set[str]]:
+    """The words of each name in class, id and role."""
+    return [set(re.split(r"[^a-z0-9]+", name)) for m in NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
 
 
 def _unlikely(names: set[str]) -> bool:
@@ -62,28 +70,37 @@ def _unlikely(names: set[str]) -> bool:
 class Page:
     """The element tree of a page: tag, parent, whether it is dropped or unlikely, and the text runs in page order."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, comments: bool = True):
+        """comments: whether an element that is named like reader comments is dropped, whatever its points."""
+        self.comments, self.commented = comments, False
         self.tags, self.parent, self.out, self.unlikely = ["#root"], [0], [False], [False]
         self.runs: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self._read(source)
 
     def _push(self, stack: list[int], tag: str, attributes: str) -> None:
         up = stack[-1]
-        names = _names(attributes) if attributes and tag not in ("html", "body", "article", "main") else set()
+        named = _names(attributes) if attributes and tag not in ("html", "body", "article", "main") else []
+        names = set().union(*named)
+        comments = any(words & COMMENTS and not words & STATES for words in named)
+        self.commented |= comments
         self.tags.append(tag)
         self.parent.append(up)
-        self.out.append(self.out[up] or tag in DROPPED or bool(names & COMMENTS) or (bool(attributes) and tag not in ("html", "body", "article", "main") and bool(HIDDEN.search(attributes))))
-        self.unlikely.append(_unlikely(names))
+        self.out.append(self.out[up] or tag in DROPPED or comments and self.comments or (bool(attributes) and tag not in ("html", "body", "article", "main") and bool(HIDDEN.search(attributes))))
+        self.unlikely.append(_unlikely(names) or tag in FRAMES)
         stack.append(len(self.tags) - 1)
 
     def _read(self, source: str) -> None:
         stack, at, size, low = [0], 0, len(source), None
         tags, runs = self.tags, self.runs
-        open_: Counter[str] = Counter()  # tags on the stack: what isn't there needn't be looked for
+        at_: defaultdict[str, list[int]] = defaultdict(list)  # places of each tag on the stack, and of all blocks
+        blocks: list[int] = []
 
         def close(k: int) -> None:
-            open_.subtract(tags[i] for i in stack[k:])
+            for i in stack[k:]:
+                at_[tags[i]].pop()
             del stack[k:]
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
 
         while at < size:
             m = TOKEN.search(source, at)
@@ -99,35 +116,27 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if open_[tag] > 0:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] == tag:
-                            if tag in BLOCKS:
-                                runs.append((self.parent[stack[k]], None))
-                            elif any(tags[i] in BLOCKS for i in stack[k + 1 :]):
-                                break  # an inline end tag doesn't close blocks
-                            close(k)
-                            break
+                if at_[tag]:
+                    k = at_[tag][-1]
+                    if tag in BLOCKS:
+                        runs.append((self.parent[stack[k]], None))
+                    elif blocks and blocks[-1] > k:
+                        continue  # an inline end tag doesn't close blocks
+                    close(k)
                 continue
             if tag in BLOCKS:
                 runs.append((stack[-1], None))
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name == "p":
-                        close(k)
-                        break
-                    if name in BLOCKS:
-                        break
-            if tag in CLOSES and any(open_[t] > 0 for t in CLOSES[tag][0]):
+                if blocks and tags[stack[blocks[-1]]] == "p":
+                    close(blocks[-1])
+            if tag in CLOSES:
                 closed, within = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name in within:
-                        break
-                    if name in closed:
-                        close(k)
-                        if tag != "tr":
-                            break
+                edge = max((at_[t][-1] for t in within if at_[t]), default=0)
+                above = [k for t in closed if at_[t] and (k := at_[t][-1]) > edge]
+                if above and tag == "tr":
+                    above = [at_[t][bisect_right(at_[t], edge)] for t in closed if at_[t] and at_[t][-1] > edge]
+                    close(min(above))
+                elif above:
+                    close(max(above))
             if tag in VOID:
                 if tag in ("br", "hr"):
                     runs.append((stack[-1], None))
@@ -135,7 +144,9 @@ class Page:
             if tag == "body":  # whatever is open belongs to the head
                 close(1)
             self._push(stack, tag, m[3])
-            open_[tag] += 1
+            at_[tag].append(len(stack) - 1)
+            if tag in BLOCKS:
+                blocks.append(len(stack) - 1)
             if tag in RAW:
                 if low is None:
                     low = source.lower()
@@ -152,14 +163,21 @@ def main_text(source: str | None) -> str:
     its length) to its parent, half of them to the grandparent, a third of that and so on to the three elements above.
     An element whose class, id or role names another part of the page goes, unless it has half of all points. A
     container's score is discounted by its link density. The best container is kept, grown to the article or main
-    element that it stands in; so are its siblings that score a fifth of it, or are paragraphs with few links.
+    element that it stands in; so are its siblings that score a fifth of it, or are paragraphs with few links. What is
+    named like reader comments goes whatever its points, unless nothing else is left; lists of links go from within.
     """
     if not source:
         return ""
     page = Page(source)
+    text = _text_of(page)
+    return _text_of(Page(source, comments=False)) if not text and page.commented else text
+
+
+def _text_of(page: Page) -> str:
     tags, parent = page.tags, page.parent
     n = len(tags)
     commas = [0] * n
+    links = [int(t == "a") for t in tags]  # here and below
     own, linked = [0] * n, [0] * n  # characters of text, and of those in links
     holder = [0] * n  # nearest block of each element
     in_link = [False] * n
@@ -209,6 +227,7 @@ def main_text(source: str | None) -> str:
     for i in range(n - 1, 0, -1):
         text_all[parent[i]] += text_all[i]
         links_all[parent[i]] += links_all[i]
+        links[parent[i]] += links[i]
     density = lambda i: links_all[i] / text_all[i] if text_all[i] else 0.0
     if not text_all[0]:
         return ""
@@ -229,7 +248,8 @@ def main_text(source: str | None) -> str:
                     kept.add(i)
     inside = [i in kept for i in range(n)]
     for i in range(1, n):
-        inside[i] = inside[i] or inside[parent[i]]
+        listed = tags[i] in LISTS and links[i] >= LEAST_LINKS and density(i) >= LINK_SHARE
+        inside[i] = (inside[i] or inside[parent[i]]) and not listed
     parts: list[str] = []
     for i, text in page.runs:
         if text is None:
