@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from itertools import batched
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as X
-from .keyword_index import FIELDS, LEAST_SIMILARITY, TEXT, KeywordIndex
+from .keyword_index import FIELDS, TEXT, KeywordIndex
+from .vectors import VectorCells
 
 MOST_VECTOR, MOST_KEYWORD, MOST_FUSED, MOST_TERMS = 10, 20, 20, 2
 RRF_K = 60
@@ -27,8 +24,6 @@ WEIGHTS = {
     "search_text_contains": 40,
     "search_text_trigram": 30,
 }
-#: Queries that are broadcast together; more are searched for block by block.
-QUERY_BLOCK = 2_000
 
 
 def _within(n: int, most: int, what: str) -> None:
@@ -37,44 +32,14 @@ def _within(n: int, most: int, what: str) -> None:
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
-    """The k chunks nearest to each query by cosine distance, exactly; ties by chunk_id.
+    """The k chunks nearest to each query (query_id, embedding) by cosine distance, exactly; ties by chunk_id.
 
-    Queries (query_id, embedding) are broadcast in blocks of QUERY_BLOCK; each batch of chunks gives its own k nearest
-    by a matrix product, so k rows a batch and query are shuffled. Chunks and queries without vector are left out; vectors
-    of different sizes are an error. Distances are rounded to 9 digits before they are compared.
+    Chunks are read once and put into cells around pivots; queries go to the tasks of the cells that can hold one of their
+    nearest (see VectorCells). Chunks and queries without vector are left out; vectors of different sizes are an error.
+    Distances are rounded to 9 digits before they are compared.
     """
     _within(k, MOST_VECTOR, "k")
-    spark = chunks.sparkSession
-    schema = "query_id long, chunk_id long, distance double"
-    rows = chunks.where(F.col(vector).isNotNull()).select("chunk_id", F.col(vector).cast("array<double>").alias("v"))
-    found = spark.createDataFrame([], schema)
-    for block in batched(queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).cast("array<double>").alias("v")).toLocalIterator(), QUERY_BLOCK):
-        ids, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block], float)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        found = found.unionByName(rows.mapInPandas(_nearest(spark.sparkContext.broadcast((ids, matrix)), k), schema))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.round(1 - F.col("distance"), 9))
-
-
-def _nearest(sent, k: int):
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = sent.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                part = pdf.iloc[at : at + 4096]
-                v = np.stack(part["v"].to_numpy())
-                if v.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"chunks have {v.shape[1]} dimensions, queries {matrix.shape[1]}")
-                norm = np.linalg.norm(v, axis=1)
-                distance = np.round(1 - matrix @ (v / np.maximum(norm, 1e-300)[:, None]).T, 9)
-                if len(part) > k:
-                    edge = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]  # ties at the edge stay, Spark decides them
-                    q, c = np.nonzero(distance <= edge)
-                else:
-                    q, c = np.nonzero(np.ones_like(distance, bool))
-                yield pd.DataFrame({"query_id": ids[q], "chunk_id": part["chunk_id"].to_numpy()[c], "distance": distance[q, c]})
-
-    return nearest
+    return VectorCells(chunks, vector).topk(queries, k, vector).withColumn("similarity", F.round(1 - F.col("distance"), 9))
 
 
 def searchable_count(chunks: DataFrame, vector: str = "embedding") -> DataFrame:

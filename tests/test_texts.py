@@ -3,11 +3,12 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakemetrics.functions import texts as X
-from lakemetrics.operators import corpus, history, questions, retrieval
+from lakemetrics.operators import corpus, history, questions, retrieval, vectors
 from lakemetrics.operators.keyword_index import KeywordIndex
 
 
@@ -184,3 +185,31 @@ def test_keyword_search_has_no_cross_join(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and found.count() == 2
 
+
+@pytest.mark.parametrize("spreading", [0.05, 1.0])
+def test_nearest_vectors_equal_plain_search(spark, monkeypatch, spreading):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8))
+    v = (centres[rng.integers(0, 20, 700)] + spreading * rng.normal(size=(700, 8))).astype(np.float32)
+    v[5] = v[6] = v[7]
+    v[[8, 300]] = 0
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "chunk_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 40)] + [(50, None)], "query_id long, embedding array<float>")
+    cells = vectors.VectorCells(chunks)
+    got = {}
+    for r in cells.topk(queries, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["distance"]))
+    unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    assert set(got) == set(range(40))
+    for q in range(40):
+        distance = np.round(1 - unit @ unit[q], 9)
+        order = sorted(range(700), key=lambda i: (distance[i], i))[:5]
+        found = sorted(got[q])
+        assert [c for _, c, _ in found] == order and [d for *_, d in found] == pytest.approx(distance[order].tolist(), abs=1e-8)
+    share = cells.visited(queries, 5)
+    assert 0 < share <= 1 and (spreading > 0.5 or share < 0.5)
+    none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    assert vectors.VectorCells(none).topk(queries, 5).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        cells.topk(spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>"), 5).count()
