@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +32,7 @@ def _characters(c: Column) -> Column:
 
 
 class KeywordIndex:
-    """Postings (gram, size band, field, size, chunk) bucketed and sorted by gram and band, and the trigrams of each text.
+    """Postings (gram, size band, field, size, chunk) bucketed and sorted by gram, and the trigrams of each text.
 
     A gram is a trigram of a padded word (length 3) or a single character (length 1, for terms without a trigram). The
     index is built by one pass over the chunks and one shuffle; a search reads it in its buckets.
@@ -42,7 +42,7 @@ class KeywordIndex:
         """The index at `path`, as another session may have written it."""
         self.spark, self.path, self.buckets = spark, path, buckets
         self._postings, self._sets = (f"keyword_{name}_{uuid4().hex}" for name in ("postings", "sets"))
-        spark.sql(f"CREATE TABLE {self._postings} ({_POSTINGS}) USING parquet CLUSTERED BY (gram, band) SORTED BY (gram, band) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+        spark.sql(f"CREATE TABLE {self._postings} ({_POSTINGS}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
         spark.sql(f"CREATE TABLE {self._sets} ({_SETS}) USING parquet LOCATION '{path}/sets'")
 
     @classmethod
@@ -51,10 +51,15 @@ class KeywordIndex:
         spark = chunks.sparkSession
         index = cls(spark, path or new_folder(spark, "keyword-index"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         chunks.select("chunk_id", X.trigrams(F.col("search_text")).alias("grams")).where("grams is not null").select("chunk_id", F.size("grams").alias("size"), "grams").write.insertInto(index._sets)
-        titles = [F.struct(F.lit(i).alias("field"), X.trigrams(F.col(c)).alias("grams"), _characters(F.col(c)).alias("characters")) for i, c in enumerate(FIELDS)]
-        held = chunks.select("chunk_id", F.inline(F.array(*titles)))
-        rows = held.select(F.explode(F.concat("grams", "characters")).alias("gram"), _band(F.size("grams")).alias("band"), "field", F.size("grams").alias("size"), F.col("chunk_id").cast("long").alias("chunk_id"))
-        rows.repartition(index.buckets, "gram", "band").write.insertInto(index._postings)
+        size = F.size("grams")
+        posting = lambda df, field: df.select("chunk_id", F.lit(field).alias("field"), size.alias("size"), F.explode("grams").alias("gram"))
+        rows = posting(index.sets, TEXT)
+        for i, c in enumerate(FIELDS):
+            held = chunks.select("chunk_id", X.trigrams(F.col(c)).alias("grams")) if i != TEXT else None
+            rows = rows.unionByName(posting(held, i)) if held is not None else rows
+            # Characters stand under the size 0: a term without a trigram asks for no size.
+            rows = rows.unionByName(chunks.select("chunk_id", F.lit(i).alias("field"), F.lit(0).alias("size"), F.explode(_characters(F.col(c))).alias("gram")))
+        rows.select("gram", _band(F.col("size")).alias("band"), "field", "size", F.col("chunk_id").cast("long").alias("chunk_id")).repartition(index.buckets, "gram").write.insertInto(index._postings)
         return index
 
     @property
@@ -80,8 +85,7 @@ class KeywordIndex:
         inner = X.inner_trigrams(F.col("term"))
         grams = terms.where(F.col("term").isNotNull()).select("key", F.size(inner).alias("_inner"), F.when(F.size(inner) > 0, inner).otherwise(_characters(F.col("term"))).alias("_grams"))
         rarest = self._counted(grams.select("key", "_inner", F.explode("_grams").alias("gram"))).groupBy("key", "_inner").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-        bands = F.sequence(_band(F.col("_inner")), F.lit(LAST_BAND))
-        return self.postings.join(rarest.select("key", "gram", "_inner", F.explode(bands).alias("band")), ["gram", "band"]).where(F.col("size") >= F.col("_inner")).select("key", "field", "chunk_id")
+        return self.postings.join(rarest, "gram").where(F.col("size") >= F.col("_inner")).select("key", "field", "chunk_id")
 
     def similar(self, terms: DataFrame) -> DataFrame:
         """(key, chunk_id, similarity) of terms(key, term) and texts that share LEAST_SIMILARITY of all their trigrams or more.
@@ -96,11 +100,11 @@ class KeywordIndex:
         asked = terms.where(F.col("term").isNotNull()).select("key", X.trigrams(F.col("term")).alias("_grams")).withColumn("_a", F.size("_grams")).where("_a > 0")
         ranked = self._counted(asked.select("key", "_a", F.explode("_grams").alias("gram"))).withColumn("_place", F.row_number().over(Window.partitionBy("key").orderBy("n", "gram")))
         least, most = F.ceil(F.col("_a") * LEAST_SIMILARITY - 1e-9), F.floor(F.col("_a") / LEAST_SIMILARITY + 1e-9)
-        banded = ranked.withColumn("band", F.explode(F.sequence(_band(least), _band(most))))
-        smallest = F.greatest(least, F.ceil(F.pow(F.lit(BAND), F.col("band")) - 1e-6))
-        rarer = banded.withColumn("_skip", needed(smallest) - 1).where(F.col("_place") <= F.col("_a") - F.col("_skip")).select("key", "_a", "_skip", "gram", "band")
-        able = F.expr(f"_a >= {LEAST_SIMILARITY} * size and size >= {LEAST_SIMILARITY} * _a")
-        met = self.postings.where(F.col("field") == TEXT).join(rarer, ["gram", "band"]).where(able)
+        edges = F.array(*[F.lit(ceil(BAND**i - 1e-6)).cast("long") for i in range(LAST_BAND + 1)])
+        smallest = F.greatest(F.col("_from"), F.element_at(edges, F.col("band") + 1))
+        rarer = ranked.where(F.col("_place") <= F.col("_a") - needed(least) + 1).select("key", "_a", "_place", "gram", least.alias("_from"), most.alias("_to"))
+        met = self.postings.where(F.col("field") == TEXT).join(rarer, "gram").where("size between _from and _to")
+        met = met.withColumn("_skip", needed(smallest) - 1).where(F.col("_place") <= F.col("_a") - F.col("_skip"))
         enough = met.select("key", "chunk_id", (needed(F.col("size")) - F.col("_skip")).alias("_least"))
         counted = enough.groupBy("key", "chunk_id", "_least").agg(F.count("*").alias("_n")).where("_n >= _least")
         pairs = counted.select("key", "chunk_id").join(asked, "key").join(self.sets, "chunk_id")

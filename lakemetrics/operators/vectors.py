@@ -100,7 +100,7 @@ class VectorCells:
         place = F.array_position(F.array(*[F.lit(c["cell"]) for c in self.cells]), F.col("cell")).cast("int") - 1
         own = self.chunks.withColumn("place", place).select((start + F.pmod(F.xxhash64("id"), blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
         asks = asks.select(F.explode(F.sequence(start, start + blocks - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v")
-        n, dims = max(self.first[-1], int(self.spark.conf.get("spark.sql.shuffle.partitions"))), self.dims
+        n, dims = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.dims
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, ids, units = None, [], []
