@@ -39,15 +39,18 @@ class Coder:
 
     The pre-tokenizer of byte-level BPE begins a new piece at every space that is followed by anything but white space
     (a run of white space gives its last space to what follows). So a text is cut at these spaces and encoded word by
-    word, each with the space before it; a word may hold other white space, also spaces that don't begin a piece.
+    word, each with the space before it; a word may hold other white space, also spaces that don't begin a piece. A text
+    with the string of a special token is encoded whole.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
-        """path: a file of the tokenizers library; ranks: the same vocabulary as a tiktoken file, which encodes new words faster."""
+    def __init__(self, path: str, ranks: str | None = None, special: bool = True):
+        """path: a file of the tokenizers library; ranks: the same vocabulary as a tiktoken file, which encodes new words faster;
+        special: the string of a special token is that token, as the library reads it, else ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bulk = _fast(ranks) if ranks else self._whole
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, bool)
@@ -93,11 +96,12 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > MEMORY or self.n_ids > MEMORY_IDS:
             self._forget()
-        split = [t.split(" ") for t in texts]
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.strings)}
+        split = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
         at = self._places(split)
         if (at < 0).any():
             if any(UNCUT.search(t) for t in texts):
-                split = [CUT.split(t) if UNCUT.search(t) else s for t, s in zip(texts, split)]
+                split = [CUT.split(t) if i not in whole and UNCUT.search(t) else s for i, (t, s) in enumerate(zip(texts, split))]
                 at = self._places(split)
             new = np.flatnonzero(at < 0)
             rest = list(chain.from_iterable(s[1:] for s in split))
@@ -107,9 +111,9 @@ class Coder:
         ids = self.ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ends = np.concatenate(([0], np.cumsum(n)))
         out, done = [], 0
-        for s in split:
+        for i, s in enumerate(split):
             k = len(s) - 1
-            out.append(np.concatenate((self._whole(s[0]), ids[ends[done] : ends[done + k]])))
+            out.append(whole[i] if i in whole else np.concatenate((self._whole(s[0]), ids[ends[done] : ends[done + k]])))
             done += k
         return out
 
@@ -124,14 +128,14 @@ def _fast(ranks: str) -> Callable[[str], np.ndarray]:
 
 
 @cache
-def coder(path: str | None) -> Coder:
+def coder(path: str | None, special: bool = True) -> Coder:
     """The coder of a worker process, which its tasks share; of the installed byte-level BPE where path is None."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
     if path is not None:
-        return Coder(path)
+        return Coder(path, special=special)
     import public_tokenizers
 
-    return Coder(public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
+    return Coder(public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), special)
 
 
 class Packer:
@@ -139,10 +143,14 @@ class Packer:
 
     An item is (document number, first token, tokens, prompt tokens left): all tokens but those of the prompt bear loss.
     Of the items that fit, the one whose demand vector has the largest dot product with the room that is left goes in
-    (all in parts of the limits). Where none fits whole, the item with the largest product is cut.
+    (all in parts of the limits). Where none fits whole, or the last segment is due, the item with the largest product is
+    cut. Where the items are so short that segments run out first, the sequence is made for a power of two tokens that
+    they can fill, and one that loss-bearing tokens end early is taken back to such a length, so that neither is padded.
     """
 
     def __init__(self, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
+        if min(length, segments, loss) < 1:
+            raise ValueError("every limit of a sequence must be at least 1")
         self.limits = np.array([length, segments, loss], float)
         self.length, self.pool = length, pool
         self.items: list[tuple[int, int, int, int]] = []
@@ -163,19 +171,24 @@ class Packer:
     def _fill(self, length: int) -> None:
         """Makes one sequence of at most length tokens."""
         pool = np.array([x[2:] for x in self.items], float)
+        most = int(np.sort(pool[:, 0])[::-1][: int(self.limits[1])].sum())  # tokens that the segments can hold
+        if 0 < most < length:
+            length = 1 << (most.bit_length() - 1)
         alive = np.ones(len(pool), bool)
         limits = np.array([length, *self.limits[1:]])
-        room, offset = limits.copy(), 0
+        room, offset, placed = limits.copy(), 0, []
         while room[0] >= 1 and room[1] >= 1 and alive.any():
             need = np.stack([pool[:, 0], np.ones(len(pool)), np.maximum(pool[:, 0] - pool[:, 1], 0)], 1)
             score = (need / limits) @ (room / limits)
             fits = alive & (need <= room).all(1)
+            if room[1] < 2 and (alive & (need[:, 0] >= room[0])).any():  # the last segment: fill what is left
+                fits = alive & (need[:, 0] >= room[0])
             i = int(np.argmax(np.where(fits if fits.any() else alive, score, -1.0)))
             doc, start, tokens, prompt = self.items[i]
-            n = tokens if fits[i] else int(min(tokens, room[0], prompt + room[2]))
+            n = int(min(tokens, room[0], prompt + room[2]))
             if n <= 0:
                 break
-            self.out.append((doc, start, n, self.sequence, offset))
+            placed.append((i, doc, start, n, prompt))
             offset += n
             room -= [n, 1, max(n - prompt, 0)]
             if n == tokens:
@@ -183,6 +196,17 @@ class Packer:
             else:
                 self.items[i] = (doc, start + n, tokens - n, max(0, prompt - n))
                 pool[i] = self.items[i][2:]
+        full = offset if offset == self.length else 1 << max(offset.bit_length() - 1, 0)
+        at = 0
+        for i, doc, start, n, prompt in placed:
+            stay = min(n, max(0, full - at))
+            if stay:
+                self.out.append((doc, start, stay, self.sequence, at))
+            if stay < n:  # its end waits again; an item is cut in one place, so what follows it is joined to it
+                back = self.items[i] if alive[i] else (doc, start + n, 0, 0)
+                self.items[i] = (doc, start + stay, n - stay + back[2], max(0, prompt - stay))
+                alive[i] = True
+            at += stay
         self.items = [x for x, a in zip(self.items, alive) if a]
         self.sequence += 1
 
@@ -197,24 +221,25 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS, prompt: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS, prompt: str | None = None, with_ids: bool = False, special: bool = True) -> DataFrame:
     """Tokenizes every whole text and packs the documents into sequences of at most `length` tokens.
 
     Each document is its ids and the end id 1. Documents are cut freely, at the end of a sequence; each id lies in
     exactly one piece. `prompt` names a column with the number of leading tokens that bear no loss (null or absent: 0).
     Every task packs the rows of its own partition, in order, and holds at most POOL remainders, so nothing is shuffled
-    and memory is bounded. Only the last few sequences of a task are shorter than `length`, and those have a power of
-    two tokens; a sequence that is full in segments or loss before it is full in tokens is padded.
+    and memory is bounded. A sequence has `length` tokens or a power of two, so none is padded: shorter are the last few
+    of a task, and those that are full in segments or loss before they are full in tokens.
 
     Returns a row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id (task number * 2**40 + number
     in the task) and offset, and the ids where with_ids. A null or empty text is the end id alone; null keys and
     repeated rows are packed like any other; an empty table gives an empty result; other columns are ignored.
-    `tokenizer` is the path of a tokenizers file that all executors can read (the installed byte-level BPE if None).
+    `tokenizer` is the path of a tokenizers file that all executors can read (the installed byte-level BPE if None);
+    `special`: the string of a special token in a text is that token, as the library has it, else ordinary text.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = coder(tokenizer).encode, Packer(length, segments, loss)
+        encode, packer = coder(tokenizer, special).encode, Packer(length, segments, loss)
         task = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, np.ndarray, int]] = {}  # documents with tokens that have no place yet
         number = 0

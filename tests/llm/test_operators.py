@@ -498,7 +498,6 @@ def test_packing(spark, docs, pairs, odd, empty):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, None), (5001, ""), (5002, "a  b   c \n\n d "), (5003, "x " * 9000), (5004, " x<|endoftext|>")], "doc_id long, text string"))
     rows = packing.pack(frame, with_ids=True).collect()
     pieces, fill = {}, Counter()
@@ -522,7 +521,6 @@ def test_ids_of_odd_white_space(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     rng, coder = random.Random(1), packing.coder(None)
     parts = ["a", "b", "the", " ", " ", " ", "\n", "\t", "\xa0", "\u2003", "\x0b", "\r", "\x1c", "\u200b", "\x85", "\u3000", "22", "'s", "'", "!", "é", "漢", "Ġ", "<|endoftext|>", "\ufeff"]
     for _ in range(3000):
@@ -548,3 +546,36 @@ def test_packer_keeps_all_limits():
         seen[doc] += n
     assert seen == {i: n for i, (n, _) in docs.items()}
     assert all(a <= 100 and b <= 3 and c <= 60 for a, b, c in use.values())
+    assert all(a == 100 or a & (a - 1) == 0 for a, _, _ in use.values())
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (3, 3), (20, 20), (1, 30), (1, 400), (30, 3000), (1500, 1), (33, 1)])
+def test_packer_pads_nothing(sizes):
+    rng = random.Random(5)
+    p = packing.Packer()
+    docs = [rng.randint(*sizes) if sizes[0] < sizes[1] else sizes[i % 50 > 1] for i in range(3000)]
+    for i, n in enumerate(docs):
+        p.add(i, n)
+    p.close()
+    use, seen, full = Counter(), Counter(), Counter()
+    for doc, start, n, sequence, offset in p.taken():
+        assert start == seen[doc] and offset == use[sequence]
+        use[sequence] += n
+        seen[doc] += n
+        full[sequence] += 1
+    assert [seen[i] for i in range(3000)] == docs and max(full.values()) <= packing.SEGMENTS
+    assert all(n & (n - 1) == 0 and n <= 2048 for n in use.values())
+    longest = min(2048, 1 << (sum(sorted(docs)[-64:]).bit_length() - 1))
+    assert sum(n for n in use.values() if n >= min(longest, 64)) > 0.9 * sum(docs)
+
+
+def test_special_strings(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, text = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), "a <|endoftext|> b"
+    for special in (True, False):
+        whole.encode_special_tokens = not special
+        row = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True, special=special)
+        assert [i for r in sorted(row.collect(), key=lambda r: r["start"]) for i in r["ids"]] == [*whole.encode(text, add_special_tokens=False).ids, 1]
+    assert 50256 not in whole.encode(text).ids
