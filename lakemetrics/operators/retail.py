@@ -20,7 +20,7 @@ def catalogue() -> dict[str, tuple[Column, tuple[str, ...]]]:
     return {
         "sales_amount": (_sales(), every),
         "order_count": (F.countDistinct("order_no"), every),
-        "average_order_value": (F.round(_sales() / F.countDistinct("order_no"), 2).cast("decimal(18,2)"), ("month", "region", "level")),
+        "average_order_value": (F.round(_sales() / F.nullif(F.countDistinct("order_no"), F.lit(0)), 2).cast("decimal(18,2)"), ("month", "region", "level")),
         "units": (F.sum("quantity"), every),
         "customer_count": (F.countDistinct("customer_id"), ("month", "region", "level")),
     }
@@ -53,16 +53,66 @@ def product_ranking(df: DataFrame, n: int = 10) -> DataFrame:
     return df.groupBy("product_id", "product").agg(_sales().alias("net_sales")).orderBy(F.desc("net_sales"), "product_id").limit(n)
 
 
+def _rates(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({
+        "average_order_value": F.round(F.col("net_sales") / F.nullif("order_count", F.lit(0)), 2).cast("decimal(18,2)"),
+        "discount_rate": F.round((F.col("gross_sales") - F.col("net_sales")) / F.nullif("gross_sales", F.lit(0)), 4).cast("decimal(10,4)"),
+        "orders_per_customer": rate("order_count", "customer_count", 4),
+    })
+
+
 def breakdown(df: DataFrame, *dims: str) -> DataFrame:
-    """Sales, orders, customers, order value, discount rate and orders per customer by any dimensions."""
+    """Sales, orders, customers, order value, discount rate and orders per customer by any dimensions; a rate of nothing is null."""
     out = with_month(df).groupBy(*dims).agg(
         _sales().alias("net_sales"), F.sum("gross_amount").cast("decimal(18,2)").alias("gross_sales"), F.countDistinct("order_no").alias("order_count"), F.countDistinct("customer_id").alias("customer_count"), F.sum("quantity").alias("units")
     )
-    return out.withColumns({
-        "average_order_value": F.round(F.col("net_sales") / F.col("order_count"), 2).cast("decimal(18,2)"),
-        "discount_rate": F.round((F.col("gross_sales") - F.col("net_sales")) / F.nullif("gross_sales", F.lit(0)), 4).cast("decimal(10,4)"),
-        "orders_per_customer": rate("order_count", "customer_count", 4),
-    })
+    return _rates(out)
+
+
+def breakdowns(df: DataFrame, *sets: tuple[str, ...]) -> DataFrame:
+    """breakdown() by several sets of dimensions in one pass: the star is read and shuffled once for all of them.
+
+    `dimensions` names the set of a row, comma-joined in the order in which the dimensions are first given; dimensions
+    outside the set are null. A set given twice counts once. Each set is grouped with order_no and with customer_id, so
+    that distinct orders and customers are counts of rows, a hot value of a dimension is spread over its orders, and only
+    the rows of orders carry the sums.
+    """
+    dims = list(dict.fromkeys(d for s in sets for d in s))
+    within = [[*s, of] for s in dict.fromkeys(tuple(d for d in dims if d in s) for s in sets) for of in ("order_no", "customer_id")]
+    names = F.concat_ws(",", *[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims])
+    added = ("net_amount", "gross_amount", "quantity")
+    details = with_month(df).groupingSets([[F.col(c) for c in w] for w in within], *dims, "order_no", "customer_id").agg(names.alias("dimensions"), (F.grouping("order_no") == 0).alias("_order"), *[F.sum(c).alias(c) for c in added])
+    net, gross, units = (F.sum(F.when(F.col("_order"), F.col(c))) for c in added)
+    sums = details.groupBy("dimensions", *dims).agg(
+        net.cast("decimal(18,2)").alias("net_sales"), gross.cast("decimal(18,2)").alias("gross_sales"), F.count("order_no").alias("order_count"), F.count("customer_id").alias("customer_count"), units.alias("units")
+    )
+    return _rates(sums)
+
+
+#: The columns of breakdowns() that are metrics of the catalogue.
+_BROKEN_DOWN = {"sales_amount": "net_sales", "order_count": "order_count", "average_order_value": "average_order_value", "units": "units", "customer_count": "customer_count"}
+
+
+def metrics(df: DataFrame, requests: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """Several metrics of the catalogue, each by its own legal dimensions, in one pass: metric, dimensions, keys and value.
+
+    keys maps each dimension to its value (null where that is null); unknown names and dimensions are errors, as in metric().
+    """
+    known = catalogue()
+    for name, dims in requests:
+        if name not in known:
+            raise ValueError(f"no metric {name}")
+        if wrong := [d for d in dims if d not in known[name][1]]:
+            raise ValueError(f"{name} has no dimension {', '.join(wrong)}")
+    every = list(dict.fromkeys(d for _, dims in requests for d in dims))
+    asked: dict[str, list[str]] = {}
+    for name, dims in dict.fromkeys((name, tuple(d for d in every if d in dims)) for name, dims in requests):
+        asked.setdefault(",".join(dims), []).append(name)
+    value = lambda name: F.struct(F.lit(name).alias("metric"), F.col(_BROKEN_DOWN[name]).cast("double").alias("value"))
+    rows = F.coalesce(*[F.when(F.col("dimensions") == label, F.array(*map(value, names))) for label, names in asked.items()])
+    keys = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(d).alias("k"), F.col(d).cast("string").alias("v")) for d in every]), lambda x: F.array_contains(F.split("dimensions", ","), x["k"])))
+    wide = breakdowns(df, *[dims for _, dims in requests])
+    return wide.select("dimensions", keys.alias("keys"), F.inline(rows)).select("metric", "dimensions", "keys", "value")
 
 
 def repurchase_rate(df: DataFrame, *dims: str) -> DataFrame:
@@ -73,7 +123,7 @@ def repurchase_rate(df: DataFrame, *dims: str) -> DataFrame:
 
 
 def average_order_value(df: DataFrame, *dims: str) -> DataFrame:
-    return df.groupBy(*dims).agg(_sales().alias("net_sales"), F.countDistinct("order_no").alias("order_count")).withColumn("average_order_value", F.round(F.col("net_sales") / F.col("order_count"), 2).cast("decimal(18,2)"))
+    return df.groupBy(*dims).agg(_sales().alias("net_sales"), F.countDistinct("order_no").alias("order_count")).withColumn("average_order_value", F.round(F.col("net_sales") / F.nullif("order_count", F.lit(0)), 2).cast("decimal(18,2)"))
 
 
 def member_contribution(df: DataFrame, level: str = "level") -> DataFrame:

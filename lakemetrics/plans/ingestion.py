@@ -146,9 +146,8 @@ def repeated(spark: SparkSession, d: str) -> DataFrame:
     """Row counts of the metric tables after a refresh, and after a second one over it."""
     where, counts = shared.new_folder(spark, "refresh"), []
     for k in range(2):
-        for name, df in gold.all_tables(tv.behaviour(spark, d), tv.samples(spark, d)).items():
-            df.write.mode("overwrite").parquet(f"{where}/{name}")
-        _counted({n: spark.read.parquet(f"{where}/{n}") for n in gold.all_tables(tv.behaviour(spark, d), tv.samples(spark, d))}).write.parquet(f"{where}/counts-{k}")
+        gold.write_tables(tv.behaviour(spark, d), tv.samples(spark, d), where)
+        _counted({n: spark.read.parquet(f"{where}/{n}") for n in gold.TABLES}).write.parquet(f"{where}/counts-{k}")
         counts.append(spark.read.parquet(f"{where}/counts-{k}"))
     return quality.same_counts(*counts)
 

@@ -211,6 +211,31 @@ def region_level(spark: SparkSession, d: str) -> DataFrame:
     return doubles(retail.breakdown(tv.retail(spark, d), "region", "level"))
 
 
+_SETS = {"region,month": ("NULL AS category, NULL AS level", f"region, {_MONTH}"), "region,category": ("NULL AS month, NULL AS level", "region, category"), "region,level": ("NULL AS month, NULL AS category", "region, level")}
+
+
+@query("region_breakdowns", " UNION ALL BY NAME ".join(f"SELECT '{name}' AS dimensions, {rest}, * FROM ({_breakdown_sql(dims, name)})" for name, (rest, dims) in _SETS.items()))
+def region_breakdowns(spark: SparkSession, d: str) -> DataFrame:
+    """The three breakdowns of a region from one job."""
+    return doubles(retail.breakdowns(tv.retail(spark, d), ("region", "month"), ("region", "category"), ("region", "level")))
+
+
+_ASKED = [("sales_amount", ("month",)), ("sales_amount", ("region", "category")), ("order_count", ("region",)), ("average_order_value", ("region", "level")), ("units", ("product",)), ("customer_count", ("region", "month")), ("customer_count", ("level",))]
+_VALUES = {"sales_amount": "CAST(sum(net_amount) AS DOUBLE)", "order_count": "CAST(count(DISTINCT order_no) AS DOUBLE)", "average_order_value": f"CAST({_aov()} AS DOUBLE)", "units": "CAST(sum(quantity) AS DOUBLE)", "customer_count": "CAST(count(DISTINCT customer_id) AS DOUBLE)"}
+
+
+def _asked_sql(name: str, dims: tuple[str, ...]) -> str:
+    key = " || '|' || ".join(f"'{d}=' || {d}" for d in sorted(dims))
+    return f"SELECT '{name}' AS metric, {key} AS key, {_VALUES[name]} AS value FROM m GROUP BY {', '.join(dims)}"
+
+
+@query("catalogue_metrics", f"WITH {tv.RETAIL}, m AS (SELECT *, {_MONTH} FROM o) " + " UNION ALL ".join(_asked_sql(*a) for a in _ASKED))
+def catalogue_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the catalogue by several sets of dimensions, from one pass over the star."""
+    key = F.array_join(F.transform(F.array_sort(F.map_keys("keys")), lambda k: F.concat(k, F.lit("="), F.col("keys")[k])), "|")
+    return retail.metrics(tv.retail(spark, d), _ASKED).select("metric", key.alias("key"), "value")
+
+
 @query(
     "metric_catalogue",
     f"""WITH {tv.RETAIL}, c AS (SELECT region, customer_id, count(DISTINCT order_no) AS n FROM o GROUP BY ALL),

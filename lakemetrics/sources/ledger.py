@@ -169,10 +169,8 @@ def write_run(store: Store, run: dict, silver: ingest.Silver) -> tuple[str, dict
     silver.users.write.mode("overwrite").parquet(f"{where}/users")
     silver.user_events.repartition("event_date").sortWithinPartitions("event_date", "merchant_id").write.mode("overwrite").parquet(f"{where}/user_events")
     silver.repurchase_samples.write.mode("overwrite").parquet(f"{where}/repurchase_samples")
-    tables = gold.all_tables(spark.read.parquet(f"{where}/user_events"), spark.read.parquet(f"{where}/repurchase_samples"))
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{where}/{name}")
-    return where, {n: spark.read.parquet(f"{where}/{n}").count() for n in ("users", "user_events", "repurchase_samples", *tables)}
+    gold.write_tables(spark.read.parquet(f"{where}/user_events"), spark.read.parquet(f"{where}/repurchase_samples"), where)
+    return where, {n: spark.read.parquet(f"{where}/{n}").count() for n in ("users", "user_events", "repurchase_samples", *gold.TABLES)}
 
 
 def ingest_folder(store: Store, folder: str, modulus: int = 1, residue: int = 0, replace: bool = False, year: int = ingest.EVENT_YEAR) -> dict:
