@@ -54,7 +54,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered(spark):
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
