@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,13 @@ from pyspark.sql import types as T
 
 from ..contracts import ACTIONS, EVENT_YEAR, FILES, FileSpec
 from ..functions.numbers import bad_int, bad_probability, blank, month_day, optional_int, probability
+from ..sources.shared import new_folder
 
 #: Kinds of rejects.
 HEADER, ROW_SHAPE, FIELD_TYPE, INVALID_DATE, INVALID_ACTION = "header", "row_shape", "field_type", "invalid_date", "invalid_action_type"
 CORRUPT = "_corrupt"
+#: Size of a table of blocks that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 class IngestError(ValueError):
@@ -68,41 +72,64 @@ def raw(spark: SparkSession, folder: str, spec: FileSpec) -> DataFrame:
     return spark.read.schema(schema).option("columnPruning", False).csv(f"{folder}/{spec.file}", header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
 
 
+def _offsets(placed: DataFrame, each_file: bool) -> DataFrame:
+    """One row (_file, _start, _shift) for each block that a scan reads: what the identifiers of its rows lack to their numbers.
+
+    Sums run over the blocks within each file, and over the files; only the latter, one row a file, meet in one task.
+    """
+    blocks = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = lambda n, order: F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = blocks.withColumn("_before", before("_n", Window.partitionBy("_file").orderBy("_start")))
+    if each_file:
+        return within.select("_file", "_start", (F.col("_before") - F.col("_first") + 1).alias("_shift"))
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before("_n", Window.orderBy("_file")).alias("_files"))
+    return within.join(files, "_file").select("_file", "_start", (F.col("_files") + F.col("_before") - F.col("_first") + 1).alias("_shift"))
+
+
 def numbered(df: DataFrame, name: str = "source_row_number", each_file: bool = False) -> DataFrame:
     """Numbers the rows of a file scan from 1 in the order of the files' paths and of the rows within them; with each_file
     from 1 in every file.
 
-    A scan reads a file in blocks, and keeps the order within each. The rows of the blocks are counted first; their
-    table (one row for each block, so some 10**6 for 100 TB) gives the rows before a block and its first identifier.
+    A scan reads a file in blocks, and keeps the order within each. A first pass, run here, counts the rows of the
+    blocks; the rows then meet the table of their blocks, which is written to the shared folder. It is broadcast if it
+    has at most BROADCAST_BYTES; a larger one (over 10**5 blocks) is joined by the block, and a block is bounded.
     """
-    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    spark, at = df.sparkSession, [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    where = new_folder(spark, "blocks")
+    _offsets(df.select(*at).withColumn("_id", F.monotonically_increasing_id()), each_file).write.parquet(where)
+    offsets = spark.read.schema("_file string, _start long, _shift long").parquet(where)
+    size = offsets.agg(F.coalesce(F.sum(F.length("_file") + 64), F.lit(0)).alias("n")).head()["n"]
     placed = df.select("*", *at).withColumn("_id", F.monotonically_increasing_id())
-    blocks = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    order = Window.partitionBy("_file").orderBy("_start") if each_file else Window.orderBy("_file", "_start")
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("_file", "_start", (before - F.col("_first") + 1).alias("_shift"))
-    return placed.join(F.broadcast(offsets), ["_file", "_start"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_start", "_id", "_shift")
+    found = placed.join(F.broadcast(offsets) if size <= BROADCAST_BYTES else offsets.hint("merge"), ["_file", "_start"])
+    return found.withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_start", "_id", "_shift")
 
 
 @dataclass
 class Decoded:
-    """Clean rows and classified rejects (source_row, category, column) of a file, and counters filled by the first action."""
+    """The judged rows of a file (its clean columns, and _row, _category, _column) and a counter filled by the first action.
 
-    rows: DataFrame
-    rejects: DataFrame
+    Rows outside the sample are in it only if they are rejected; a rejected row has a category and no clean column.
+    """
+
+    judged: DataFrame
     raw_count: Observation
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.judged.where("_category is null").drop("_row", "_category", "_column")
 
-def _rejects(df: DataFrame, rules: list[tuple[Column, str, str | None]]) -> DataFrame:
-    """The first rule that a row breaks."""
-    found = F.coalesce(*[F.when(bad, F.struct(F.lit(kind).alias("category"), F.lit(column).alias("column"))) for bad, kind, column in rules])
-    return df.withColumn("_reject", found)
+    @property
+    def rejects(self) -> DataFrame:
+        """Classified rejects: source_row, category, column."""
+        return self.judged.where("_category is not null").select(F.col("_row").alias("source_row"), F.col("_category").alias("category"), F.col("_column").alias("column"))
 
 
-def _decoded(df: DataFrame, rules: list[tuple[Column, str, str | None]], columns: list[Column], seen: Observation) -> Decoded:
-    judged = _rejects(df, rules)
-    rejects = judged.where("_reject is not null").select(F.col("source_row_number").alias("source_row"), "_reject.category", "_reject.column")
-    return Decoded(judged.where("_reject is null").select(*columns), rejects, seen)
+def _decoded(df: DataFrame, rules: list[tuple[Column, str, str | None]], columns: dict[str, Column], seen: Observation) -> Decoded:
+    """Judges each row by the first rule that it breaks."""
+    found = F.coalesce(*[F.when(bad, F.struct(F.lit(kind).alias("category"), F.lit(column).alias("column"))) for bad, kind, column in rules])
+    clean = [F.when(F.col("_reject").isNull(), value).alias(name) for name, value in columns.items()]
+    judged = df.withColumn("_reject", found).select(*clean, F.col("source_row_number").alias("_row"), F.col("_reject.category").alias("_category"), F.col("_reject.column").alias("_column"))
+    return Decoded(judged, seen)
 
 
 def _sample(df: DataFrame, modulus: int, residue: int) -> DataFrame:
@@ -112,14 +139,20 @@ def _sample(df: DataFrame, modulus: int, residue: int) -> DataFrame:
     return df.where(F.col(CORRUPT).isNotNull() | user.isNull() | (F.pmod(user, F.lit(modulus)) == residue))
 
 
+def _no_short(value: Column) -> Column:
+    """True for integers that a short can't hold."""
+    return optional_int(value).isNotNull() & optional_int(value).try_cast("short").isNull()
+
+
 def decode_users(df: DataFrame, modulus: int, residue: int) -> Decoded:
     """Users; every row is checked in full, whether or not it is in the sample."""
+    check_sampling(modulus, residue)
     seen = Observation()
     df = df.observe(seen, F.count("*").alias("rows"))
     c = F.col
-    rules = [(c(CORRUPT).isNotNull(), ROW_SHAPE, None), (bad_int(c("user_id"), True), FIELD_TYPE, "user_id"), (bad_int(c("age_range")), FIELD_TYPE, "age_range"), (bad_int(c("gender")), FIELD_TYPE, "gender")]
-    out = _decoded(df, rules, [optional_int(c("user_id")).alias("user_id"), optional_int(c("age_range")).cast("short").alias("age_range"), optional_int(c("gender")).cast("short").alias("gender")], seen)
-    out.rows = sampled(out.rows, modulus, residue)
+    rules = [(c(CORRUPT).isNotNull(), ROW_SHAPE, None), (bad_int(c("user_id"), True), FIELD_TYPE, "user_id"), *[(bad_int(c(n)) | _no_short(c(n)), FIELD_TYPE, n) for n in ("age_range", "gender")]]
+    out = _decoded(df, rules, {"user_id": optional_int(c("user_id"))} | {n: optional_int(c(n)).try_cast("short") for n in ("age_range", "gender")}, seen)
+    out.judged = out.judged.where(c("_category").isNotNull() | (F.pmod(c("user_id"), F.lit(modulus)) == residue))
     return out
 
 
@@ -136,7 +169,7 @@ def decode_events(df: DataFrame, modulus: int, residue: int, year: int = EVENT_Y
         (month_day(c("time_stamp"), year).isNull(), INVALID_DATE, "time_stamp"),
         (decode_action(c("action_type")).isNull(), INVALID_ACTION, "action_type"),
     ]
-    columns = [c("source_row_number"), *[optional_int(c(a)).alias(b) for a, b in needed], optional_int(c("brand_id")).alias("brand_id"), month_day(c("time_stamp"), year).alias("event_date"), decode_action(c("action_type")).alias("action_type")]
+    columns = {"source_row_number": c("source_row_number"), **{b: optional_int(c(a)) for a, b in needed}, "brand_id": optional_int(c("brand_id")), "event_date": month_day(c("time_stamp"), year), "action_type": decode_action(c("action_type"))}
     return _decoded(df, rules, columns, seen)
 
 
@@ -148,58 +181,91 @@ def decode_samples(df: DataFrame, split: str, modulus: int, residue: int) -> Dec
     third = "label" if split == "train" else "prob"
     wrong = ~F.trim(c("label")).isin("0", "1") | blank(c("label")) if split == "train" else bad_probability(c("prob"))
     rules = [(c(CORRUPT).isNotNull(), ROW_SHAPE, None), (bad_int(c("user_id"), True), FIELD_TYPE, "user_id"), (bad_int(c("merchant_id"), True), FIELD_TYPE, "merchant_id"), (wrong, FIELD_TYPE, third)]
-    columns = [
-        optional_int(c("user_id")).alias("user_id"),
-        optional_int(c("merchant_id")).alias("merchant_id"),
-        F.lit(split).alias("dataset_split"),
-        (optional_int(c("label")).cast("short") if split == "train" else F.lit(None).cast("short")).alias("label"),
-        (F.lit(None).cast("decimal(8,7)") if split == "train" else probability(c("prob"))).alias("probability"),
-    ]
+    columns = {
+        "user_id": optional_int(c("user_id")),
+        "merchant_id": optional_int(c("merchant_id")),
+        "dataset_split": F.lit(split),
+        "label": optional_int(c("label")).cast("short") if split == "train" else F.lit(None).cast("short"),
+        "probability": F.lit(None).cast("decimal(8,7)") if split == "train" else probability(c("prob")),
+    }
     return _decoded(df, rules, columns, seen)
 
 
 @dataclass
 class Silver:
-    """The three clean tables, all rejects, and the observations of raw rows by file."""
+    """The judged rows of the four files, and what follows from them: three clean tables, all rejects, and the counters."""
+
+    parts: dict[str, Decoded]
+
+    @property
+    def users(self) -> DataFrame:
+        return self.parts["users"].rows
+
+    @property
+    def user_events(self) -> DataFrame:
+        return self.parts["events"].rows
+
+    @property
+    def repurchase_samples(self) -> DataFrame:
+        return self.parts["train"].rows.unionByName(self.parts["test"].rows)
+
+    @property
+    def rejects(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.rejects.withColumn("file", F.lit(k)) for k, p in self.parts.items()])
 
-    users: DataFrame
-    user_events: DataFrame
-    repurchase_samples: DataFrame
-    rejects: DataFrame
-    raw_counts: dict[str, Observation]
+    @property
+    def raw_counts(self) -> dict[str, Observation]:
+        return {k: p.raw_count for k, p in self.parts.items()}
+
+    def staged(self, where: str) -> Silver:
+        """The same, after writing the judged rows of each file below where.
+
+        So a file is parsed twice in all, once to number its rows and once to judge them; clean rows, rejects and
+        counts are then read from Parquet, each with its own columns.
+        """
+        spark = self.parts["users"].judged.sparkSession
+        for key, part in self.parts.items():
+            part.judged.write.mode("overwrite").parquet(f"{where}/{key}")
+        return Silver({k: Decoded(spark.read.schema(p.judged.schema).parquet(f"{where}/{k}"), p.raw_count) for k, p in self.parts.items()})
 
 
 def read_silver(spark: SparkSession, folder: str, modulus: int = 1, residue: int = 0, year: int = EVENT_YEAR) -> Silver:
-    """Reads the four contracted files; nothing is written and, but for headers and row numbers, nothing runs yet."""
+    """Reads the four contracted files; but for headers and row numbers, nothing runs yet."""
     check_sampling(modulus, residue)
     check_headers(spark, folder)
     files = {s.key: numbered(raw(spark, folder, s)) for s in FILES}
     users, events = decode_users(files["users"], modulus, residue), decode_events(files["events"], modulus, residue, year)
     train, test = (decode_samples(files[k], k, modulus, residue) for k in ("train", "test"))
-    parts = {"users": users, "events": events, "train": train, "test": test}
-    rejects = None
-    for name, part in parts.items():
-        one = part.rejects.withColumn("file", F.lit(name))
-        rejects = one if rejects is None else rejects.unionByName(one)
-    return Silver(users.rows, events.rows, train.rows.unionByName(test.rows), rejects, {k: p.raw_count for k, p in parts.items()})
+    return Silver({"users": users, "events": events, "train": train, "test": test})
+
+
+def _refuse(file: str, row: int, category: str, column: str | None) -> None:
+    raise IngestError(category, f"{file}, row {row}: {category} {column or ''}".rstrip())
 
 
 def refuse_rejects(silver: Silver) -> None:
     """Strict mode: raises for the first rejected row."""
     first = silver.rejects.orderBy("file", "source_row").head()
     if first is not None:
-        raise IngestError(first["category"], f"{first['file']}, row {first['source_row']}: {first['category']} {first['column'] or ''}".rstrip())
+        _refuse(first["file"], first["source_row"], first["category"], first["column"])
 
 
 def dry_run(silver: Silver) -> dict[str, int]:
-    """Runs all checks and counts without writing; raises as strict ingest would."""
-    refuse_rejects(silver)
-    out = {}
-    for name in ("users", "user_events", "repurchase_samples"):
+    """Runs all checks and counts without writing a table; raises as strict ingest would.
+
+    One pass over each file judges, counts and finds its first reject.
+    """
+    found, row = {}, F.when(F.col("_category").isNotNull(), F.col("_row"))
+    for key, part in silver.parts.items():
         seen = Observation()
-        getattr(silver, name).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
-        out[name] = seen.get["n"]
-    return out | {f"raw_{k}": o.get["rows"] for k, o in silver.raw_counts.items()}
+        values = {"n": F.count_if(F.col("_category").isNull()), "row": F.min(row), "category": F.min_by("_category", row), "column": F.min_by("_column", row)}
+        part.judged.observe(seen, *[v.alias(k) for k, v in values.items()]).write.format("noop").mode("overwrite").save()
+        found[key] = seen.get
+    for key, first in sorted(found.items()):
+        if first["row"] is not None:
+            _refuse(key, first["row"], first["category"], first["column"])
+    counts = {"users": found["users"]["n"], "user_events": found["events"]["n"], "repurchase_samples": found["train"]["n"] + found["test"]["n"]}
+    return counts | {f"raw_{k}": o.get["rows"] for k, o in silver.raw_counts.items()}
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

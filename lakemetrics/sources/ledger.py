@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import RUNS
 from ..operators import gold, ingest
+from .shared import remove
 
 RUNNING, SUCCEEDED, FAILED = "running", "succeeded", "failed"
 IMPORT, SKIP, REFUSE = "import", "skip", "refuse"
@@ -167,7 +168,8 @@ def write_run(store: Store, run: dict, silver: ingest.Silver) -> tuple[str, dict
     spark, where = store.spark, f"{store.root}/data/run-{run['run_id']}"
     ingest.refuse_rejects(silver)
     silver.users.write.mode("overwrite").parquet(f"{where}/users")
-    silver.user_events.repartition("event_date").sortWithinPartitions("event_date", "merchant_id").write.mode("overwrite").parquet(f"{where}/user_events")
+    # Rows of a day stay together, but for a day with so many that its partition is split.
+    silver.user_events.hint("rebalance", "event_date").sortWithinPartitions("event_date", "merchant_id").write.mode("overwrite").parquet(f"{where}/user_events")
     silver.repurchase_samples.write.mode("overwrite").parquet(f"{where}/repurchase_samples")
     gold.write_tables(spark.read.parquet(f"{where}/user_events"), spark.read.parquet(f"{where}/repurchase_samples"), where)
     return where, {n: spark.read.parquet(f"{where}/{n}").count() for n in ("users", "user_events", "repurchase_samples", *gold.TABLES)}
@@ -176,7 +178,8 @@ def write_run(store: Store, run: dict, silver: ingest.Silver) -> tuple[str, dict
 def ingest_folder(store: Store, folder: str, modulus: int = 1, residue: int = 0, replace: bool = False, year: int = ingest.EVENT_YEAR) -> dict:
     """Ingests a folder of contracted files: decides, opens a ledger row, writes a run, publishes it and closes the row.
 
-    A failure is recorded with its category, and what was published before stays.
+    A failure is recorded with its category, and what was published before stays. The judged rows of the files stand in
+    a stage of the run until it has ended.
     """
     ingest.check_sampling(modulus, residue)
     sha256 = fingerprint(store.spark, folder)
@@ -186,12 +189,15 @@ def ingest_folder(store: Store, folder: str, modulus: int = 1, residue: int = 0,
     if decision["action"] == REFUSE:
         raise ingest.IngestError("existing", "other data is published; replace it explicitly")
     run = store.open(folder.rstrip("/").rpartition("/")[2], sha256, modulus, residue)
+    stage = f"{store.root}/stage/run-{run['run_id']}"
     try:
-        silver = ingest.read_silver(store.spark, folder, modulus, residue, year)
+        silver = ingest.read_silver(store.spark, folder, modulus, residue, year).staged(stage)
         where, counts = write_run(store, run, silver)
         imported = sum(counts[n] for n in ("users", "user_events", "repurchase_samples"))
         store.succeed(run, sum(o.get["rows"] for o in silver.raw_counts.values()), imported, where)
     except Exception as e:
         store.fail(run, getattr(e, "category", "other"), str(e))
         raise
+    finally:
+        remove(store.spark, stage)
     return {"action": IMPORT, "run_id": run["run_id"], "counts": counts}

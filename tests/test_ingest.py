@@ -224,3 +224,45 @@ def test_two_refreshes_are_equal(spark):
     events = tv.stream_events(spark, "/root/testdata/sf0.001")
     counts = [spark.createDataFrame([(n, df.count()) for n, df in (("daily", gold.daily_metrics(events)), ("users", gold.user_metrics(events)))], "name string, n long") for _ in range(2)]
     assert quality.same_counts(*counts).where("not passed").count() == 0
+
+
+def scans(df, kind="csv"):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"FileScan {kind}")
+
+
+def test_a_staged_file_is_parsed_once_and_numbered_once(spark, tmp_path):
+    silver = ingest.read_silver(spark, write(tmp_path / "raw", log=[*LOG, "5,1,1,1,1,0230,2"]), 5, 0)
+    assert all(scans(p.judged) == 1 for p in silver.parts.values())
+    before = (sorted(silver.rejects.collect()), sorted(map(str, silver.user_events.collect())))
+    staged = ingest.read_silver(spark, write(tmp_path / "raw", log=[*LOG, "5,1,1,1,1,0230,2"]), 5, 0).staged(str(tmp_path / "stage"))
+    assert [o.get["rows"] for o in staged.raw_counts.values()] == [5, 9, 3, 3]
+    assert all(scans(df) == 0 and scans(df, "parquet") > 0 for df in (staged.users, staged.user_events, staged.repurchase_samples, staged.rejects))
+    assert before == (sorted(staged.rejects.collect()), sorted(map(str, staged.user_events.collect())))
+    with pytest.raises(IngestError, match="events, row 9: invalid_date time_stamp"):
+        ingest.dry_run(staged)
+
+
+def test_a_large_table_of_blocks_is_joined_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "BROADCAST_BYTES", 0)
+    rows = ingest.numbered(ingest.raw(spark, write(tmp_path / "raw"), FILES[1]))
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["source_row_number"] for r in rows.orderBy("source_row_number").collect()] == list(range(1, 9))
+
+
+def test_numbers_beyond_a_short_are_rejected(spark, tmp_path):
+    silver = ingest.read_silver(spark, write(tmp_path / "raw", users=[*USERS, "5,40000,1", "x,1,1", "1,1,99999"]), 5, 0)
+    assert sorted((r["source_row"], r["column"]) for r in silver.rejects.collect()) == [(6, "age_range"), (7, "user_id"), (8, "gender")]
+    assert {r["user_id"] for r in silver.users.collect()} == {5, 10}
+
+
+def test_empty_files_give_no_rows(spark, tmp_path):
+    folder = write(tmp_path / "raw", log=[], users=[], test=[])
+    assert ingest.dry_run(ingest.read_silver(spark, folder, 5, 0)) == {"users": 0, "user_events": 0, "repurchase_samples": 2, "raw_users": 0, "raw_events": 0, "raw_train": 3, "raw_test": 0}
+
+
+def test_the_stage_of_a_run_is_removed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest_folder(store, write(tmp_path / "raw"), 5, 0)
+    with pytest.raises(IngestError):
+        ingest_folder(store, write(tmp_path / "bad", log=[*LOG, "5,1"]), 5, 0, replace=True)
+    assert not list((tmp_path / "store" / "stage").glob("*")) and store.table("user_events").count() == 7
