@@ -116,13 +116,14 @@ def action_check(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'season', q.n >= 12 AND least(a.month, b.month) = 11 AND greatest(a.month, b.month) = 12 AND b.v >= 1.3 * med, least(a.month, b.month) || ',' || greatest(a.month, b.month), '11,12', q.n || ' months' FROM q JOIN r a ON a.k = 1 JOIN r b ON b.k = 2
     UNION ALL SELECT 'top region', region = 'ASIA', region, 'ASIA', '' FROM (SELECT region, sum(net_amount) AS s FROM o GROUP BY ALL ORDER BY s DESC, region DESC LIMIT 1)
     UNION ALL SELECT 'levels rise', (SELECT r FROM l WHERE level = 'BUILDING') <= (SELECT r FROM l WHERE level = 'MACHINERY'), 'BUILDING,MACHINERY', 'repurchase rates in this order', ''
-    UNION ALL SELECT 'order value', s / c > 0 AND s / c <= 1000000, printf('%.2f', ((2 * CAST(s * 100 AS HUGEINT) + c) // (2 * c)) / 100.0), 'over 0.0, up to 1000000.0', '' FROM t""",
+    UNION ALL SELECT 'order value', s / c > 0 AND s / c <= 1000000, printf('%.2f', ((2 * CAST(s * 100 AS HUGEINT) + c) // (2 * c)) / 100.0), 'over 0.0, up to 1000000.0', '' FROM t
+    UNION ALL SELECT 'top products', p = '1,2,3', p, '1,2,3', '' FROM (SELECT string_agg(p, ',' ORDER BY p) AS p FROM (SELECT CAST(product_id AS VARCHAR) AS p FROM o GROUP BY product_id ORDER BY sum(net_amount) DESC, product_id LIMIT 3))""",
 )
 def retail_rules(spark: SparkSession, d: str) -> DataFrame:
     star = tv.retail(spark, d)
     return quality.retail_rules(
-        retail.monthly_trend(star), retail.product_ranking(star), retail.breakdown(star, "region"), retail.repurchase_rate(star, "level"), retail.average_order_value(star),
-        top_region="ASIA", level_order=("BUILDING", "MACHINERY"), value_range=(0.0, 1000000.0),
+        retail.monthly_trend(star), retail.product_ranking(star, 3), retail.breakdown(star, "region"), retail.repurchase_rate(star, "level"), retail.average_order_value(star),
+        top_products={1, 2, 3}, top_region="ASIA", level_order=("BUILDING", "MACHINERY"), value_range=(0.0, 1000000.0),
     )
 
 

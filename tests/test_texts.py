@@ -99,11 +99,43 @@ def test_questions(spark):
     routed = {r["question_id"]: r["area"] for r in questions.route(asked).collect()}
     assert routed == {1: "retail", 2: "behaviour", 3: "retail", 4: "retail"}
     found = {(r["question_id"], r["name"]): r["matched"] for r in questions.match_assets(questions.route(asked)).collect()}
-    assert found == {(1, "sales_amount"): ["销售额"], (2, "buy_user_rate"): ["转化", "漏斗转化"], (3, "sales_amount"): ["gmv"]}
+    assert found == {
+        (1, "sales_amount"): ["销售额"], (1, "orders"): ["销售额"], (2, "buy_user_rate"): ["转化", "漏斗转化"], (2, "funnel_metrics"): ["漏斗", "转化"], (3, "sales_amount"): ["gmv"],
+    }
     flags = {r["question_id"]: r["reason"] for r in questions.knowledge_flag(asked).collect()}
     assert flags == {1: None, 2: "intent funnel", 3: None, 4: None}
 
 
+WORDS = [("a", 0, "aba"), ("a", 1, "AB"), ("b", 0, "ab"), ("b", 1, "b"), ("b", 2, "dépôt"), ("c", 0, ""), ("c", 1, None), ("d", 0, "abab"), ("d", 1, "漏斗转化")]
+
+
+def test_words_are_found_as_by_contains(spark, monkeypatch):
+    rows = [(1, "xABABx"), (2, None), (3, ""), (4, "Le DÉPÔT b"), (5, "看漏斗转化率"), (6, "xABABx"), (1, "b")]
+    texts = spark.createDataFrame(rows, "question_id long, question string").withColumn("list", F.lit("clash"))
+    table = spark.createDataFrame(WORDS, "list string, position int, word string")
+    want = sorted((i, [w for w in WORDS if w[2] and t and w[2].lower() in t.lower()]) for i, t in rows)
+    for size in (questions.WORD_BYTES, 0):
+        monkeypatch.setattr(questions, "WORD_BYTES", size)
+        got = questions.find(texts, table)
+        assert got.columns == ["question_id", "question", "list", "found"]
+        assert sorted((r["question_id"], [tuple(w) for w in r["found"]]) for r in got.collect()) == want
+        assert questions.find(texts.limit(0), table).count() == 0
+        assert all(r["found"] == [] for r in questions.find(texts, table.limit(0)).collect())
+
+
+def test_a_catalogue_of_many_words_has_the_plan_of_a_small_one(spark):
+    asked = spark.createDataFrame([(i, f"what is asset{i * 7}w, please", "other") for i in range(50)], "question_id long, question string, intent string")
+    routed = questions.route(asked)
+    catalogue = lambda n: spark.range(n).select(F.col("id").alias("position"), F.lit("retail").alias("area"), F.lit("metric").alias("kind"), F.concat(F.lit("n"), "id").alias("name"), F.array(F.concat(F.lit("Asset"), "id", F.lit("w")), F.concat(F.lit("other"), "id")).alias("words"))
+    few, many = (questions.match_assets(routed, catalogue(n)) for n in (10, 10_000))
+    lines = [len(df._jdf.queryExecution().executedPlan().toString().splitlines()) for df in (few, many)]
+    assert lines[0] == lines[1]
+    assert sorted((r["question_id"], r["name"]) for r in many.collect()) == sorted((i, f"n{i * 7}") for i in range(50))
+    words = spark.createDataFrame([("retail", 0, "asset0"), ("behaviour", 0, "what"), ("behaviour", 1, "please"), ("shared", 0, "is")], "list string, position int, word string")
+    assert {r["area"] for r in questions.route(asked, words=words).collect()} == {"behaviour"}
+    assert {r["reason"] for r in questions.knowledge_flag(asked, words.where("list = 'shared'")).collect()} == {"word is"}
+
+
 def test_governed(spark):
     regions = spark.createDataFrame([(str(i), "n", "l") for i in range(3)], "region_id string, region_name string, region_level string")
     assert history.governed(regions, "regions", ["region_id"], 3).count() == 3
