@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "^﻿", ""), r"\r\n?", "\n")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, however often use refers to it and in whatever loop."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_body(c: Column) -> Column:
     """Strips white space at line ends, leaves at most one blank line in a row, strips the whole."""
     lines = F.regexp_replace(c, LINE_ENDS, "\n")
@@ -101,9 +108,11 @@ def distinct_terms(terms: Column, most: int | None = None, longest: int | None =
     Case is compared by lower(), which keeps a sharp s and a final sigma apart from their folded forms.
     """
     kept = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), strip), lambda t: t.isNotNull() & (t != "") & ((F.length(t) <= longest) if longest else F.lit(True)))
-    lowered = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    return F.slice(first, 1, most) if most is not None else first
+    # Sorted by form and place, a term is the first of its form if the one before it has another: no term is compared with all.
+    placed = F.sort_array(F.transform(kept, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("place"), t.alias("term"))))
+    first = let(placed, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["low"] != x["low"])))
+    ordered = F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["place"], x["term"]))), lambda x: x["term"])
+    return F.slice(ordered, 1, most) if most is not None else ordered
 
 
 def redact(c: Column) -> Column:
