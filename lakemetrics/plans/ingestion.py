@@ -120,14 +120,18 @@ def _copy_files(spark: SparkSession, folder: str) -> None:
 
 @query("arriving_files", f"SELECT * REPLACE (CAST(metric_date AS VARCHAR) AS metric_date) FROM ({_daily_sql(tv.STREAM)})")
 def arriving(spark: SparkSession, d: str) -> DataFrame:
-    """Daily metrics after files arrived four times: twice new ones, then nothing, then a copy of each under another name."""
+    """Daily metrics after files arrived four times: twice new ones, then nothing, then a copy of each under another name.
+
+    Each file also holds its number, so that two files of equal events aren't copies of one another.
+    """
     root, stream = shared.new_folder(spark, "arrivals"), tv.stream_events(spark, d)
     folder, schema = f"{root}/in", ", ".join(f"{n} {k}" for n, k in stream.dtypes)
-    for part in (stream.where("item_id % 2 = 0"), stream.where("item_id % 2 <> 0"), None, "copies"):
+    stream = stream.withColumn("file_number", F.spark_partition_id())
+    for part in (stream.where("item_id % 2 = 0"), stream.where("item_id % 2 <> 0 or item_id is null"), None, "copies"):
         if part == "copies":
             _copy_files(spark, folder)
         elif part is not None:
-            part.write.mode("append").parquet(folder)
+            part.write.option("maxRecordsPerFile", 0).mode("append").parquet(folder)
         ingest_arrivals(spark, folder, schema, f"{root}/events", f"{root}/metrics", f"{root}/checkpoint")
     return doubles(spark.read.parquet(f"{root}/metrics/daily_metrics"))
 
