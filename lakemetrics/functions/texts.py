@@ -68,7 +68,7 @@ def token_estimate(c: Column) -> Column:
     return (F.regexp_count(c, F.lit(CJK)) + F.rint(words * F.lit(1.3))).cast("long")
 
 
-def _distinct_words(c: Column) -> Column:
+def distinct_words(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: w != "")
 
 
@@ -79,12 +79,12 @@ def _grams(words: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the words of lower-cased text; a word is padded with two spaces before and one behind."""
-    return _grams(F.transform(_distinct_words(c), lambda w: F.concat(F.lit("  "), w, F.lit(" "))))
+    return _grams(F.transform(distinct_words(c), lambda w: F.concat(F.lit("  "), w, F.lit(" "))))
 
 
 def inner_trigrams(c: Column) -> Column:
     """Distinct trigrams inside the words of lower-cased text: every text that holds this one has them among its trigrams."""
-    return _grams(_distinct_words(c))
+    return _grams(distinct_words(c))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as X
 from ..operators import retrieval as R
-from ..operators.keyword_index import KeywordIndex
 from ..sources import testviews as tv
 
 QUERIES: dict = {}
@@ -73,8 +72,8 @@ _WORDS = f"""{_TERMS}, tg AS (SELECT *, {_grams_sql("term")} AS tt FROM terms),
     found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY keyword_score DESC, chunk_id) AS rank FROM hit WHERE matched_terms <> '') WHERE rank <= 10)"""
 
 
-def _found(spark: SparkSession, d: str, index: KeywordIndex | None = None) -> DataFrame:
-    return R.keyword_search(terms(spark, d), text_chunks(spark, d), 10, index)
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return R.keyword_search(terms(spark, d), text_chunks(spark, d), 10)
 
 
 @query("keyword_search", f"WITH {_WORDS} SELECT query_id, chunk_id, matched_terms, keyword_score, rank FROM found")
@@ -214,5 +213,4 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
 def probe_hits(spark: SparkSession, d: str) -> DataFrame:
     items = tv.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     chunks = text_chunks(spark, d)
-    index = KeywordIndex.build(chunks)
-    return R.probe_hits(_found(spark, d, index), R.holders(items, chunks, index)).withColumn("best_rank", F.col("best_rank").cast("string"))
+    return R.probe_hits(_found(spark, d), R.holders(items, chunks)).withColumn("best_rank", F.col("best_rank").cast("string"))

@@ -6,8 +6,10 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lakemetrics.functions import texts as X
-from lakemetrics.operators import retrieval
-from lakemetrics.plans import ingestion
+from lakemetrics.operators import retrieval, term_scan
+from lakemetrics.operators.keyword_index import KeywordIndex
+from lakemetrics.plans import checks, documents, ingestion
+from lakemetrics.sources import ledger, shared
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,3 +40,38 @@ def test_files_of_equal_events_are_not_copies(spark, tmp_path):
     names = [c[0] for c in duck.description]
     want = sorted((r["metric_date"], r["action_type"], r["event_count"]) for r in (dict(zip(names, row)) for row in duck.fetchall()))
     assert sorted((r["metric_date"], r["action_type"], r["event_count"]) for r in got.collect()) == want
+
+
+CHUNKS = "chunk_id long, document_title string, section_title string, keywords array<string>, aliases array<string>, search_text string"
+
+
+def test_bounded_terms_are_scanned_for_without_index(spark, monkeypatch):
+    rows = [(1, "T", "s", None, ["Ab"], "x ab, c%_d"), (2, "ab", "x", ["q"], None, "cab12 3"), (3, None, None, None, None, None), (4, "É t", "S", [], [], "Élan Élan ÜBER 12"), (5, "", "", [], [], "")]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = spark.createDataFrame([(1, "ab"), (2, "%_"), (3, "CAB12 3"), (3, None), (4, "zzz"), (5, "élan über"), (6, ""), (7, "S")], "query_id long, term string")
+    passages = asked.withColumnRenamed("term", "passage")
+    built = []
+    build = KeywordIndex.build.__func__
+    monkeypatch.setattr(KeywordIndex, "build", classmethod(lambda cls, *a, **k: built.append(1) or build(cls, *a, **k)))
+    found = [sorted(map(str, retrieval.keyword_search(asked, chunks).collect())), sorted(map(str, retrieval.holders(passages, chunks).collect()))]
+    assert not built and len(found[0]) > 10 and len(found[1]) >= 6
+    monkeypatch.setattr(term_scan, "TERM_BYTES", 0)
+    assert [sorted(map(str, retrieval.keyword_search(asked, chunks).collect())), sorted(map(str, retrieval.holders(passages, chunks).collect()))] == found
+    assert len(built) == 2
+
+
+def test_lines_are_added_up_before_they_are_shuffled(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"".join(b"%d\n" % i for i in range(20_000)))
+    hashes = ledger.fingerprints(spark, str(tmp_path)).where("path is not null")
+    plan = hashes._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.count("sum(") >= 5 and hashes.count() == 1
+
+
+def test_shared_tables_are_made_once(spark, monkeypatch):
+    made = []
+    staged = shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, name: made.append(name) or staged(df, name))
+    for query in (documents.QUERIES["sync_summary"], checks.QUERIES["gold_silver_consistency"], checks.QUERIES["retail_rules"]):
+        plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "regexp_extract(text" not in plan
+    assert made == ["chunks", "events", "star"]
