@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as X
 from ..operators import corpus
+from ..sources import shared
 from ..sources import testviews as tv
 
 QUERIES: dict = {}
@@ -122,7 +123,8 @@ _MODEL = "m"
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New chunks, the plan, and old chunks with some vectors."""
-    new = corpus.chunk(markdown(spark, d))
+    # Chunks are cut once: the plan, the old chunks and the new ones all refer to them.
+    new = shared.staged(corpus.chunk(markdown(spark, d)).select("source_file", "document_title", "chunk_index", "content_hash"), "chunks")
     hashes = corpus.document_hash(new)
     old = hashes.where(_number() % 3 != 0).select("source_file", F.when(_number() % 5 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"))
     had = new.where(_number() % 3 != 0).select("source_file", "chunk_index", "content_hash", F.when((_number() + F.col("chunk_index")) % 4 == 0, F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float"))).alias("embedding"), F.lit(_MODEL).alias("embedding_model"))

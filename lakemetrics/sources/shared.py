@@ -6,7 +6,7 @@ import re
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -19,6 +19,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to a new folder: for tables that a query refers to many times."""
+    where = new_folder(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder that this library has written."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
