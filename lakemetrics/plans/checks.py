@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import texts as X
 from ..operators import gold, history, ingest, quality, questions, retail
+from ..sources import shared
 from ..sources import testviews as tv
 from .metrics import doubles, rate_sql
 
@@ -52,7 +53,7 @@ def _same_sql(name: str, actual: str, expected: str) -> str:
     ),
 )
 def gold_silver(spark: SparkSession, d: str) -> DataFrame:
-    events = tv.behaviour(spark, d)
+    events = shared.staged(tv.behaviour(spark, d), "events")
     return quality.gold_matches_silver(events, gold.all_tables(events, tv.samples(spark, d)))
 
 
@@ -120,7 +121,7 @@ def action_check(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'top products', p = '1,2,3', p, '1,2,3', '' FROM (SELECT string_agg(p, ',' ORDER BY p) AS p FROM (SELECT CAST(product_id AS VARCHAR) AS p FROM o GROUP BY product_id ORDER BY sum(net_amount) DESC, product_id LIMIT 3))""",
 )
 def retail_rules(spark: SparkSession, d: str) -> DataFrame:
-    star = tv.retail(spark, d)
+    star = shared.staged(tv.retail(spark, d), "star")
     return quality.retail_rules(
         retail.monthly_trend(star), retail.product_ranking(star, 3), retail.breakdown(star, "region"), retail.repurchase_rate(star, "level"), retail.average_order_value(star),
         top_products={1, 2, 3}, top_region="ASIA", level_order=("BUILDING", "MACHINERY"), value_range=(0.0, 1000000.0),

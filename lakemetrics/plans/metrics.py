@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gold, retail
+from ..sources import shared
 from ..sources import testviews as tv
 
 QUERIES: dict = {}
@@ -244,7 +245,7 @@ def catalogue_metrics(spark: SparkSession, d: str) -> DataFrame:
     SELECT region, 'sales_amount' AS metric, s AS value FROM b UNION ALL SELECT region, 'order_count', n FROM b UNION ALL SELECT region, 'average_order_value', a FROM b UNION ALL SELECT region, 'repurchase_rate', v FROM r""",
 )
 def metric_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    star, out = tv.retail(spark, d), None
+    star, out = shared.staged(tv.retail(spark, d), "star"), None
     for name in ("sales_amount", "order_count", "average_order_value", "repurchase_rate"):
         one = retail.metric(star, name, ["region"]).select("region", F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
@@ -319,7 +320,7 @@ def _named_sql(name: str, dimension: str) -> str:
 
 @query("behaviour_catalogue", " UNION ALL ".join(_named_sql(*n) for n in _NAMED))
 def behaviour_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    tables, out = gold.all_tables(tv.behaviour(spark, d), tv.samples(spark, d)), None
+    tables, out = gold.all_tables(shared.staged(tv.behaviour(spark, d), "events"), tv.samples(spark, d)), None
     for name, dimension in _NAMED:
         one = gold.metric(tables, name, dimension).select(F.lit(name).alias("metric"), "key", "value")
         out = one if out is None else out.unionByName(one)
