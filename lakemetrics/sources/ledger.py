@@ -29,15 +29,20 @@ def _now() -> str:
 def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, hash) of every file with a byte or more in the given folders and files: a hash of its bytes, not of its name.
 
-    It is a tree over the file's lines, as bytes, and its size: FAN hashes in a row are hashed together, level by level.
-    The lines and the size together tell every byte (also whether there is a last line break, or a mark of byte order,
-    which readers drop). So a file may have any size and be read in any splits, and no task holds more than FAN
-    hashes of it at a time.
+    It is a tree over the file's lines, as bytes, and its size. FAN lines in a row are told by the sum of the hashes of
+    these lines with their places, in five parts of 48 bits, so each task adds up its lines and one row for FAN of them is
+    shuffled; above that, FAN hashes in a row are hashed together, level by level. The lines and the size together tell
+    every byte (also whether there is a last line break, or a mark of byte order, which readers drop). So a file may have
+    any size and be read in any splits, and no task holds more than FAN hashes of it at a time.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
     meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"), "_metadata"]
-    level = ingest.numbered(lines.select("value", *meta), "_i", each_file=True).select("path", "_size", (F.col("_i") - 1).alias("_i"), F.sha2(F.col("value").cast("binary"), 256).alias("_h"))
-    most = level.agg(F.coalesce(F.max("_i"), F.lit(0)).alias("n")).head()["n"]
+    level = ingest.numbered(lines.select("value", *meta), "_i", each_file=True).withColumn("_i", F.col("_i") - 1)
+    most = level.agg(F.coalesce(F.max("_i"), F.lit(0)).alias("n")).head()["n"] // FAN
+    place = F.concat((F.col("_i") % FAN).cast("string"), F.lit(":")).cast("binary")
+    lines = level.select("path", "_size", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i"), F.sha2(F.concat(place, F.col("value").cast("binary")), 256).alias("_h"))
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 12 * k, 12), 16, 10).cast("long")) for k in range(5)]
+    level = lines.groupBy("path", "_size", "_i").agg(F.sha2(F.concat_ws(":", *parts), 256).alias("_h"))
     while most > 0:
         hashes = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"])
         level, most = level.groupBy("path", "_size", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.sha2(F.array_join(hashes, ""), 256).alias("_h")), most // FAN
