@@ -45,13 +45,14 @@ def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("level"))
     customers = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "region", "level")  # 25 nations
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # Orders meet their customers before their lines, so that the lines aren't shuffled for it.
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product"), F.col("p_type").alias("category"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     gross = money("l_extendedprice")
     net = F.round(gross * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")), 2).cast("decimal(14,2)")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_orderkey").alias("order_no"),

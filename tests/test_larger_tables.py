@@ -9,7 +9,7 @@ from lakemetrics.functions import texts as X
 from lakemetrics.operators import retrieval, term_scan
 from lakemetrics.operators.keyword_index import KeywordIndex
 from lakemetrics.plans import checks, documents, ingestion
-from lakemetrics.sources import ledger, shared
+from lakemetrics.sources import ledger, shared, testviews
 
 DATA = "/root/testdata/sf0.001"
 
@@ -75,3 +75,10 @@ def test_shared_tables_are_made_once(spark, monkeypatch):
         plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan and "regexp_extract(text" not in plan
     assert made == ["chunks", "events", "star"]
+
+
+def test_lines_of_the_star_are_not_shuffled_by_customer(spark):
+    plan = testviews.retail(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    customers, lines = (next(i for i, x in enumerate(plan) if f"Join Inner, ({key}" in x) for key in ("o_custkey", "l_orderkey"))
+    depth = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-"))
+    assert depth(customers) > depth(lines)
