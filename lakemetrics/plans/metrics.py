@@ -149,7 +149,7 @@ def monthly_trend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("product_ranking", f"WITH {tv.RETAIL} SELECT product_id, product, CAST(s AS DOUBLE) AS net_sales FROM (SELECT product_id, product, sum(net_amount) AS s FROM o GROUP BY ALL ORDER BY s DESC, product_id LIMIT 10)")
 def product_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return doubles(retail.product_ranking(tv.retail(spark, d)))
+    return doubles(retail.product_ranking(tv.retail(spark, d, by_product=True)))
 
 
 @query("region_sales", f"WITH {tv.RETAIL} SELECT region, {_NET}, count(DISTINCT order_no) AS order_count FROM o GROUP BY ALL")

@@ -39,8 +39,11 @@ def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retail star joined to one row for each order line: region, level, product, category, date and amounts."""
+def retail(spark: SparkSession, sf_dir: str, by_product: bool = False) -> DataFrame:
+    """The retail star joined to one row for each order line: region, level, product, category, date and amounts.
+
+    Lines meet their orders last, so that those of an order are in one task, or their products last if by_product.
+    """
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("level"))
     customers = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "region", "level")  # 25 nations
@@ -51,9 +54,11 @@ def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     gross = money("l_extendedprice")
     net = F.round(gross * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")), 2).cast("decimal(14,2)")
+    of_order, of_part = (orders, F.col("l_orderkey") == F.col("o_orderkey")), (parts, F.col("l_partkey") == F.col("p_partkey"))
+    first, last = (of_order, of_part) if by_product else (of_part, of_order)
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(*first)
+        .join(*last)
         .select(
             F.col("l_orderkey").alias("order_no"),
             F.col("o_custkey").alias("customer_id"),

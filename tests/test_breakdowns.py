@@ -48,6 +48,28 @@ def test_metrics_equal_single_ones(star):
             retail.metrics(star, wrong)
 
 
+def test_metrics_meet_only_the_keys_that_they_count(star):
+    asked = [("sales_amount", ("month",)), ("units", ("product",)), ("order_count", ("region",)), ("average_order_value", ("region",)), ("customer_count", ("level",))]
+    plan = retail.metrics(star, asked)._jdf.queryExecution().optimizedPlan().toString()
+    expand = next(line for line in plan.splitlines() if "Expand [" in line)
+    assert expand.split("]], [")[0].count("], [") + 1 == 4  # not eight, each set with orders and with customers
+
+
+def test_amounts_of_any_type_are_added_exactly(spark, star):
+    many = spark.range(2_000).select(F.lit("r").alias("region"), F.lit("L").alias("level"), F.col("id").alias("order_no"), (F.col("id") % 3).alias("customer_id"), F.lit("2000-02-01").cast("date").alias("order_date"), F.lit(1).cast("long").alias("quantity"), *[F.lit(x).cast("decimal(14,2)").alias(c) for c, x in (("gross_amount", "99999999999.99"), ("net_amount", "-99999999999.98"))])
+    fine = many.withColumns({"gross_amount": F.lit("0.0049").cast("decimal(18,4)"), "net_amount": F.lit("0.005").cast("decimal(12,3)")})
+    for df in (many, fine, star):
+        assert same(retail.breakdowns(df, ("region", "month")).drop("dimensions"), retail.breakdown(df, "region", "month"))
+        for name, dims in (("sales_amount", ["level"]), ("sales_amount", []), ("average_order_value", ["region"])):
+            assert sorted(str(r["value"]) for r in retail.metrics(df, [(name, tuple(dims))]).collect()) == sorted(str(r[name] if r[name] is None else float(r[name])) for r in retail.metric(df, name, dims).collect())
+
+
+def test_lines_of_an_order_are_counted_in_one_task(spark):
+    plan = lambda **k: tv.retail(spark, DATA, **k)._jdf.queryExecution().optimizedPlan().toString()
+    last = lambda text: next(line for line in text.splitlines() if "Join Inner" in line)
+    assert "l_orderkey" in last(plan()) and "l_partkey" in last(plan(by_product=True))
+
+
 def test_one_scan_of_the_star(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     lines = "l_orderkey"
