@@ -242,6 +242,14 @@ def test_a_staged_file_is_parsed_once_and_numbered_once(spark, tmp_path):
         ingest.dry_run(staged)
 
 
+def test_clean_rows_are_judged_once_and_rows_counted_once(spark, tmp_path):
+    silver = ingest.read_silver(spark, write(tmp_path / "raw", log=[*LOG, "5,1,1,1,1,0230,2"]), 5, 0)
+    for rows, rule in ((silver.user_events, "invalid_action_type"), (silver.users, "row_shape"), (silver.rejects, "invalid_action_type")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count(rule) == 1
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")]
+    assert scans(ingest._offsets(ingest.raw(spark, str(tmp_path / "raw"), FILES[1]).select(*at), False)) == 0
+
+
 def test_a_large_table_of_blocks_is_joined_without_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "BROADCAST_BYTES", 0)
     rows = ingest.numbered(ingest.raw(spark, write(tmp_path / "raw"), FILES[1]))
