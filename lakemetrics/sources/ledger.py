@@ -31,9 +31,10 @@ def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     It is a tree over the file's lines, as bytes, and its size. FAN lines in a row are told by the sum of the hashes of
     these lines with their places, in five parts of 48 bits, so each task adds up its lines and one row for FAN of them is
-    shuffled; above that, FAN hashes in a row are hashed together, level by level. The lines and the size together tell
-    every byte (also whether there is a last line break, or a mark of byte order, which readers drop). So a file may have
-    any size and be read in any splits, and no task holds more than FAN hashes of it at a time.
+    shuffled; above that, FAN hashes in a row are hashed together, level by level, until the file has one. The lines and
+    the size together tell every byte (also whether there is a last line break, or a mark of byte order, which readers
+    drop). So a file may have any size and be read in any splits, beside any other files, and no task holds more than FAN
+    hashes of it at a time.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
     meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"), "_metadata"]
@@ -45,7 +46,8 @@ def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     level = lines.groupBy("path", "_size", "_i").agg(F.sha2(F.concat_ws(":", *parts), 256).alias("_h"))
     while most > 0:
         hashes = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"])
-        level, most = level.groupBy("path", "_size", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.sha2(F.array_join(hashes, ""), 256).alias("_h")), most // FAN
+        done = (F.count("*") == 1) & (F.max("_i") == 0)  # the file's only hash: levels that larger files need don't change it
+        level, most = level.groupBy("path", "_size", F.call_function("div", F.col("_i"), F.lit(FAN)).alias("_i")).agg(F.when(done, F.first("_h")).otherwise(F.sha2(F.array_join(hashes, ""), 256)).alias("_h")), most // FAN
     return level.select("path", F.sha2(F.concat_ws(":", "_size", "_h"), 256).alias("hash"))
 
 

@@ -10,6 +10,7 @@ from lakemetrics.operators import retrieval, term_scan
 from lakemetrics.operators.keyword_index import KeywordIndex
 from lakemetrics.plans import checks, documents, ingestion
 from lakemetrics.sources import ledger, shared, testviews
+from lakemetrics.streaming import arrivals
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,6 +43,28 @@ def test_files_of_equal_events_are_not_copies(spark, tmp_path):
     assert sorted((r["metric_date"], r["action_type"], r["event_count"]) for r in got.collect()) == want
 
 
+def test_the_hash_of_a_file_is_the_same_beside_larger_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "FAN", 4)
+    lines = {"a": 3, "b": 5, "c": 17, "d": 100}
+    for name, n in lines.items():
+        (tmp_path / name).write_bytes(b"".join(b"%d\n" % i for i in range(n)))
+    alone = [r["hash"] for name in lines for r in ledger.fingerprints(spark, [str(tmp_path / name)]).collect()]
+    assert len(set(alone)) == 4 and sorted(alone) == sorted(r["hash"] for r in ledger.fingerprints(spark, str(tmp_path)).collect())
+
+
+def test_copies_that_arrive_beside_larger_files_are_known(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "FAN", 4)
+    schema, folder = "user_id long, item_id long, category_id long, merchant_id long, event_date date, action_type string", tmp_path / "in"
+    events = testviews.stream_events(spark, DATA).coalesce(1)
+    arrive = lambda: arrivals.ingest_arrivals(spark, str(folder), schema, **{k: str(tmp_path / k) for k in ("events", "metrics", "checkpoint")})
+    events.limit(3).write.parquet(str(folder))
+    assert arrive() == [0]
+    (small,) = folder.glob("part-*.parquet")
+    events.write.mode("append").parquet(str(folder))
+    (folder / "copy.parquet").write_bytes(small.read_bytes())
+    assert arrive() == [1] and spark.read.parquet(str(tmp_path / "events")).count() == 3 + events.count()
+
+
 CHUNKS = "chunk_id long, document_title string, section_title string, keywords array<string>, aliases array<string>, search_text string"
 
 
