@@ -7,6 +7,9 @@ more merchants is breadth. Distinct users of a day can't be added up over days.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,45 @@ from ..contracts import FUNNEL
 from ..functions.numbers import rate
 
 ACTIONS = ("click", "cart", "favorite", "buy")
+#: What the metric tables need of the events in each of their clusterings.
+CLUSTERINGS = {
+    "user_id": ("user_id", "item_id", "merchant_id", "category_id", "event_date", "action_type"),
+    "merchant_id": ("user_id", "item_id", "merchant_id", "category_id", "event_date", "action_type"),
+    "item_id": ("item_id", "category_id", "event_date", "action_type"),
+}
+#: About so many events are in a bucket of a clustering.
+BUCKET_ROWS = 1 << 19
+
+
+@dataclass(frozen=True)
+class Clustered:
+    """The same events in tables bucketed by user, by merchant and by item, from which the metrics are made without shuffling
+    an event: what is counted of a user, merchant or item is in one bucket, so a task counts its distinct values by
+    itself, and only its counts by group are shuffled. See clustered()."""
+
+    by: dict[str, DataFrame]
+
+    def near(self, *columns: str) -> DataFrame:
+        """The events in the clustering by the first of these columns that has one; by item if none has."""
+        return self.by[next((c for c in columns if c in self.by), "item_id")]
+
+
+def clustered(events: DataFrame, folder: str) -> Clustered:
+    """Writes the three clusterings below folder: for events that are refreshed from several times, or are many.
+
+    A bucket is read by one task, and there are as many as the events (which are counted first) fill.
+    """
+    spark, by = events.sparkSession, {}
+    buckets = max(spark.sparkContext.defaultParallelism, events.count() // BUCKET_ROWS + 1)
+    for key, columns in CLUSTERINGS.items():
+        name = f"events_by_{key}_{uuid4().hex}"
+        events.select(*columns).repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{key}").saveAsTable(name, format="parquet")
+        by[key] = spark.table(name)
+    return Clustered(by)
+
+
+def _near(events: DataFrame | Clustered, *columns: str) -> DataFrame:
+    return events.near(*columns) if isinstance(events, Clustered) else events
 
 
 def _counts() -> list[Column]:
@@ -26,48 +68,60 @@ def _distinct(*columns: str) -> list[Column]:
     return [F.countDistinct(f"{c}_id").alias(f"{c}_count") for c in columns]
 
 
+def _distinct_by(events: DataFrame | Clustered, keys: list[str], *columns: str) -> DataFrame:
+    """Distinct values of columns by keys. Of clustered events each column is counted in the clustering by a key or by itself."""
+    names = {c: f"{c.removesuffix('_id')}_count" for c in columns}
+    if isinstance(events, DataFrame):
+        return events.groupBy(*keys).agg(*[F.countDistinct(c).alias(name) for c, name in names.items()])
+    parts = [events.near(*keys, c).select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(name)) for c, name in names.items()]
+    return reduce(lambda a, b: _with(a, b, keys), parts)
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left with the other columns of right, both one row for each value of the keys, null included."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(right, same).drop(*[f"_{k}" for k in keys])
+
+
 def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("event_count", *(f"{a}_count" for a in ACTIONS))]
 
 
-def _by_user(events: DataFrame, group: str) -> DataFrame:
+def _by_user(events: DataFrame | Clustered, group: str) -> DataFrame:
     """Events, by action too, of each group and user. Users, buyers and repeat buyers of the group are counts of these rows,
     so no event is multiplied to count distinct users, and the events are read once for all of them."""
-    return events.groupBy(group, "user_id").agg(F.count("*").alias("event_count"), *_counts())
+    return _near(events, group, "user_id").groupBy(group, "user_id").agg(F.count("*").alias("event_count"), *_counts())
 
 
-def daily_metrics(events: DataFrame) -> DataFrame:
+def daily_metrics(events: DataFrame | Clustered) -> DataFrame:
     """Counts by date and action; shares of the day's events and of the day's distinct users (taken from the detail)."""
-    keys = ["metric_date", "action_type"]
-    dated = events.withColumn("metric_date", F.col("event_date"))
-    by_user = dated.groupBy(*keys, "user_id").agg(F.count("*").alias("_n"))
+    keys = ["event_date", "action_type"]
+    by_user = _near(events, "user_id").groupBy(*keys, "user_id").agg(F.count("*").alias("_n"))
     per_action = by_user.groupBy(*keys).agg(F.sum("_n").alias("event_count"), F.count("user_id").alias("user_count"))
-    others = dated.groupBy(*keys).agg(*_distinct("item", "merchant", "category"))
-    day = by_user.groupBy("metric_date", "user_id").agg(F.sum("_n").alias("_n")).groupBy("metric_date").agg(F.sum("_n").alias("_events"), F.count("user_id").alias("_users"))
-    joined = per_action.join(others, (per_action.metric_date.eqNullSafe(others.metric_date)) & (per_action.action_type.eqNullSafe(others.action_type))).select(per_action["*"], *[others[f"{c}_count"] for c in ("item", "merchant", "category")])
+    joined = _with(per_action, _distinct_by(events, keys, "item_id", "merchant_id", "category_id"), keys).withColumnRenamed("event_date", "metric_date")
+    day = by_user.groupBy(F.col("event_date").alias("metric_date"), "user_id").agg(F.sum("_n").alias("_n")).groupBy("metric_date").agg(F.sum("_n").alias("_events"), F.count("user_id").alias("_users"))
     return joined.join(day, "metric_date").withColumns({"event_share": rate("event_count", "_events"), "user_share": rate("user_count", "_users")}).drop("_events", "_users")
 
 
-def merchant_metrics(events: DataFrame) -> DataFrame:
+def merchant_metrics(events: DataFrame | Clustered) -> DataFrame:
     """Counts, buyers and repeat buyers of every merchant; both sides are aggregated before they are joined."""
     users = _by_user(events, "merchant_id").groupBy("merchant_id").agg(*_sums(), F.count("user_id").alias("user_count"), F.count_if(F.col("user_id").isNotNull() & (F.col("buy_count") > 0)).alias("buy_user_count"), F.count_if(F.col("buy_count") >= 2).alias("repeat_buy_user_count"))
-    others = events.groupBy("merchant_id").agg(*_distinct("item", "category")).withColumnRenamed("merchant_id", "_id")
-    joined = users.join(others, F.col("merchant_id").eqNullSafe(F.col("_id"))).drop("_id")
+    joined = _with(users, _distinct_by(events, ["merchant_id"], "item_id", "category_id"), ["merchant_id"])
     return joined.withColumns({"buy_user_rate": F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)), "repeat_buy_user_rate": F.coalesce(rate("repeat_buy_user_count", "buy_user_count"), F.lit(0))})
 
 
-def category_metrics(events: DataFrame) -> DataFrame:
+def category_metrics(events: DataFrame | Clustered) -> DataFrame:
     """Counts and buyers of every category."""
     users = _by_user(events, "category_id").groupBy("category_id").agg(*_sums(), F.count("user_id").alias("user_count"), F.count_if(F.col("user_id").isNotNull() & (F.col("buy_count") > 0)).alias("buy_user_count"))
-    others = events.groupBy("category_id").agg(*_distinct("item", "merchant")).withColumnRenamed("category_id", "_id")
-    joined = users.join(others, F.col("category_id").eqNullSafe(F.col("_id"))).drop("_id")
+    joined = _with(users, _distinct_by(events, ["category_id"], "item_id", "merchant_id"), ["category_id"])
     return joined.withColumn("buy_user_rate", F.coalesce(rate("buy_user_count", "user_count"), F.lit(0)))
 
 
-def user_metrics(events: DataFrame) -> DataFrame:
+def user_metrics(events: DataFrame | Clustered) -> DataFrame:
     """Counts, active days, breadth and repeat flags, and first and last date of every user."""
     dates = [F.min("event_date").alias("first_event_date"), F.max("event_date").alias("last_event_date")]
-    by_merchant = events.groupBy("user_id", "merchant_id").agg(F.count("*").alias("event_count"), *_counts(), *dates)
+    by_merchant = _near(events, "user_id").groupBy("user_id", "merchant_id").agg(F.count("*").alias("event_count"), *_counts(), *dates)
     merchants = by_merchant.groupBy("user_id").agg(
         *_sums(),
         F.count("merchant_id").alias("merchant_count"),
@@ -76,15 +130,15 @@ def user_metrics(events: DataFrame) -> DataFrame:
         F.min("first_event_date").alias("first_event_date"),
         F.max("last_event_date").alias("last_event_date"),
     )
-    others = events.groupBy("user_id").agg(*_distinct("item", "category"), F.countDistinct("event_date").cast("int").alias("active_days")).withColumnRenamed("user_id", "_id")
-    joined = merchants.join(others, F.col("user_id").eqNullSafe(F.col("_id")))
-    return joined.withColumns({"multi_merchant_buy_flag": F.col("buy_merchant_count") >= 2, "repeat_buy_flag": F.col("_most") >= 2}).drop("_id", "_most")
+    others = _distinct_by(events, ["user_id"], "item_id", "category_id", "event_date").withColumnRenamed("event_date_count", "active_days")
+    joined = _with(merchants, others.withColumn("active_days", F.col("active_days").cast("int")), ["user_id"])
+    return joined.withColumns({"multi_merchant_buy_flag": F.col("buy_merchant_count") >= 2, "repeat_buy_flag": F.col("_most") >= 2}).drop("_most")
 
 
-def funnel_metrics(events: DataFrame, steps: dict[str, int] | None = None, base: str = "click") -> DataFrame:
+def funnel_metrics(events: DataFrame | Clustered, steps: dict[str, int] | None = None, base: str = "click") -> DataFrame:
     """Users and events by action, and their rates relative to the base action (over 1 is possible; 0 without a base)."""
     steps = steps or FUNNEL
-    by_user = events.where(F.col("action_type").isin(list(steps))).groupBy("action_type", "user_id").agg(F.count("*").alias("_n"))
+    by_user = _near(events, "user_id").where(F.col("action_type").isin(list(steps))).groupBy("action_type", "user_id").agg(F.count("*").alias("_n"))
     per = by_user.groupBy("action_type").agg(F.count("user_id").alias("user_count"), F.sum("_n").alias("event_count"))
     first = per.agg(F.max(F.when(F.col("action_type") == base, F.col("user_count"))).alias("_users"), F.max(F.when(F.col("action_type") == base, F.col("event_count"))).alias("_events"))
     order = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])
@@ -115,19 +169,19 @@ def action_distribution(events: DataFrame) -> DataFrame:
 TABLES = {"daily_metrics": daily_metrics, "merchant_metrics": merchant_metrics, "category_metrics": category_metrics, "user_metrics": user_metrics, "funnel_metrics": funnel_metrics, "repurchase_metrics": repurchase_metrics}
 
 
-def all_tables(events: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
+def all_tables(events: DataFrame | Clustered, samples: DataFrame) -> dict[str, DataFrame]:
     """The six tables of one refresh; all but the last are made of the events."""
     return {name: make(samples if name == "repurchase_metrics" else events) for name, make in TABLES.items()}
 
 
-def write_tables(events: DataFrame, samples: DataFrame, folder: str) -> None:
+def write_tables(events: DataFrame | Clustered, samples: DataFrame, folder: str) -> None:
     """Plans and writes the six tables at the same time, each to its directory of the folder, so that the last tasks of one
     leave no core idle. Waits for all; the error of any is raised."""
 
     def write(name: str) -> None:
         TABLES[name](samples if name == "repurchase_metrics" else events).write.mode("overwrite").parquet(f"{folder}/{name}")
 
-    inherit = inheritable_thread_target(events.sparkSession)  # the caller's job group and tags go with each
+    inherit = inheritable_thread_target(samples.sparkSession)  # the caller's job group and tags go with each
     with ThreadPoolExecutor(len(TABLES)) as pool:
         for done in [pool.submit(inherit(write), name) for name in TABLES]:
             done.result()

@@ -149,7 +149,8 @@ def _counted(tables: dict[str, DataFrame]) -> DataFrame:
 def repeated(spark: SparkSession, d: str) -> DataFrame:
     """Row counts of the metric tables after a refresh, and after a second one over it."""
     where, counts = shared.new_folder(spark, "refresh"), []
-    events = shared.staged(tv.behaviour(spark, d), "events")  # joined once, not by each part of each of the tables
+    # Joined once, and shuffled once for each clustering, not by each part of each of the tables.
+    events = gold.clustered(shared.staged(tv.behaviour(spark, d), "events"), f"{where}/events")
     for k in range(2):
         gold.write_tables(events, tv.samples(spark, d), where)
         _counted({n: spark.read.parquet(f"{where}/{n}") for n in gold.TABLES}).write.parquet(f"{where}/counts-{k}")

@@ -1,12 +1,14 @@
 """What larger tables and odd inputs of the third review broke."""
 
+import datetime
+import re
 import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 from lakemetrics.functions import texts as X
-from lakemetrics.operators import retrieval, term_scan
+from lakemetrics.operators import gold, retrieval, term_scan
 from lakemetrics.operators.keyword_index import KeywordIndex
 from lakemetrics.plans import checks, documents, ingestion
 from lakemetrics.sources import ledger, shared, testviews
@@ -105,3 +107,36 @@ def test_lines_of_the_star_are_not_shuffled_by_customer(spark):
     customers, lines = (next(i for i, x in enumerate(plan) if f"Join Inner, ({key}" in x) for key in ("o_custkey", "l_orderkey"))
     depth = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-"))
     assert depth(customers) > depth(lines)
+
+
+def test_refreshes_from_clustered_events_shuffle_counts_only(spark, tmp_path):
+    day = lambda k: datetime.date(2024, 1, k) if k else None
+    rows = [(i % 3 or None, i % 5 or None, i % 4 and f"c{i % 4}", i % 7 or None, f"b{i}", day(i % 6), ["click", "cart", "favorite", "buy", None, "view"][i % 11 % 6]) for i in range(300)]
+    rows += [(9, 9, "c9", 9, "b", day(9), "buy")] * 50 + [(None, None, None, None, None, None, None), (None, 1, None, 2, None, day(1), "buy")]
+    schema = "user_id long, item_id long, category_id string, merchant_id long, brand_id string, event_date date, action_type string"
+    events = spark.createDataFrame([tuple(None if v == 0 else v for v in r) for r in rows], schema)
+    samples = testviews.samples(spark, DATA)
+    near = gold.clustered(events, str(tmp_path / "events"))
+    plain, mine = gold.all_tables(events, samples), gold.all_tables(near, samples)
+    for name, table in plain.items():
+        assert mine[name].schema == table.schema
+        assert sorted(map(str, mine[name].collect())) == sorted(map(str, table.collect())), name
+    empty = gold.all_tables(gold.clustered(events.limit(0), str(tmp_path / "empty")), samples)
+    assert all(empty[name].count() == 0 for name in empty if name != "repurchase_metrics")
+    # Joins of finished counts are by coalesce(key); nothing is shuffled by a user, an item or a merchant itself.
+    detail = re.compile(r"Exchange hashpartitioning\((?:[^\n]*, )?(?:user|item|merchant)_id#")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [{n: t._jdf.queryExecution().executedPlan().toString() for n, t in gold.all_tables(e, samples).items() if n != "repurchase_metrics"} for e in (events, near)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert all(detail.search(p) for p in plans[0].values()) and not any(detail.search(p) for p in plans[1].values())
+
+
+def test_repeated_refresh_clusters_its_events_once(spark, monkeypatch):
+    made, given = [], []
+    clustered, write = gold.clustered, gold.write_tables
+    monkeypatch.setattr(gold, "clustered", lambda *a: made.append(clustered(*a)) or made[-1])
+    monkeypatch.setattr(gold, "write_tables", lambda events, *a: given.append(events) or write(events, *a))
+    assert ingestion.QUERIES["repeated_refresh"](spark, DATA).where("passed").count() == 6
+    assert len(made) == 1 and given == made * 2
