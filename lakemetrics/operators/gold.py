@@ -25,35 +25,40 @@ CLUSTERINGS = {
     "merchant_id": ("user_id", "item_id", "merchant_id", "category_id", "event_date", "action_type"),
     "item_id": ("item_id", "category_id", "event_date", "action_type"),
 }
-#: About so many events are in a bucket of a clustering.
-BUCKET_ROWS = 1 << 19
+#: About so many events are in a bucket of a clustering, and so many at most.
+BUCKET_ROWS, MOST_ROWS = 1 << 19, 1 << 21
 
 
 @dataclass(frozen=True)
 class Clustered:
-    """The same events in tables bucketed by user, by merchant and by item, from which the metrics are made without shuffling
-    an event: what is counted of a user, merchant or item is in one bucket, so a task counts its distinct values by
-    itself, and only its counts by group are shuffled. See clustered()."""
+    """Events, and the same in tables bucketed by user, by merchant and by item, from which the metrics are made without
+    shuffling an event: what is counted of a user, merchant or item is in one bucket, so a task counts its distinct values
+    by itself, and only its counts by group are shuffled. See clustered()."""
 
+    events: DataFrame
     by: dict[str, DataFrame]
 
     def near(self, *columns: str) -> DataFrame:
-        """The events in the clustering by the first of these columns that has one; by item if none has."""
-        return self.by[next((c for c in columns if c in self.by), "item_id")]
+        """The events in the clustering by the first of these columns that has one (with all of them), or as they are."""
+        return next((df for c in columns if (df := self.by.get(c)) is not None and {*columns} <= {*df.columns}), self.events)
 
 
 def clustered(events: DataFrame, folder: str) -> Clustered:
-    """Writes the three clusterings below folder: for events that are refreshed from several times, or are many.
+    """Writes the clusterings below folder: for stored events that are refreshed from several times, or are many.
 
-    A bucket is read by one task, and there are as many as the events (which are counted first) fill.
+    A bucket is read by one task, and there are as many as the events (which are counted first) fill. A key with so many
+    events that its bucket would hold over MOST_ROWS has no clustering; what needs it shuffles the events, by more than it.
     """
     spark, by = events.sparkSession, {}
     buckets = max(spark.sparkContext.defaultParallelism, events.count() // BUCKET_ROWS + 1)
     for key, columns in CLUSTERINGS.items():
+        bucket = F.pmod(F.hash(key), F.lit(buckets))  # as repartition() and bucketBy() number them
+        if (events.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0) > MOST_ROWS:
+            continue
         name = f"events_by_{key}_{uuid4().hex}"
         events.select(*columns).repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{key}").saveAsTable(name, format="parquet")
         by[key] = spark.table(name)
-    return Clustered(by)
+    return Clustered(events, by)
 
 
 def _near(events: DataFrame | Clustered, *columns: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import time
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lakemetrics.functions import texts as X
@@ -109,20 +110,24 @@ def test_lines_of_the_star_are_not_shuffled_by_customer(spark):
     assert depth(customers) > depth(lines)
 
 
-def test_refreshes_from_clustered_events_shuffle_counts_only(spark, tmp_path):
+def odd_events(spark):
+    """Events with nulls in every column, and one user, item and merchant of many."""
     day = lambda k: datetime.date(2024, 1, k) if k else None
-    rows = [(i % 3 or None, i % 5 or None, i % 4 and f"c{i % 4}", i % 7 or None, f"b{i}", day(i % 6), ["click", "cart", "favorite", "buy", None, "view"][i % 11 % 6]) for i in range(300)]
-    rows += [(9, 9, "c9", 9, "b", day(9), "buy")] * 50 + [(None, None, None, None, None, None, None), (None, 1, None, 2, None, day(1), "buy")]
+    rows = [(i % 3, i % 5, i % 4 and f"c{i % 4}", i % 7, f"b{i}", day(i % 6), ["click", "cart", "favorite", "buy", None, "view"][i % 11 % 6]) for i in range(300)]
+    rows += [(9, 9, "c9", 9, "b", day(9), "buy")] * 50 + [(0, 0, None, 0, None, None, None), (0, 1, None, 2, None, day(1), "buy")]
     schema = "user_id long, item_id long, category_id string, merchant_id long, brand_id string, event_date date, action_type string"
-    events = spark.createDataFrame([tuple(None if v == 0 else v for v in r) for r in rows], schema)
-    samples = testviews.samples(spark, DATA)
+    return spark.createDataFrame([tuple(None if v == 0 else v for v in r) for r in rows], schema)
+
+
+def same_tables(one, other):
+    assert all(other[name].dtypes == table.dtypes and sorted(map(str, other[name].collect())) == sorted(map(str, table.collect())) for name, table in one.items())
+
+
+def test_refreshes_from_clustered_events_shuffle_counts_only(spark, tmp_path):
+    events, samples = odd_events(spark), testviews.samples(spark, DATA)
     near = gold.clustered(events, str(tmp_path / "events"))
-    plain, mine = gold.all_tables(events, samples), gold.all_tables(near, samples)
-    for name, table in plain.items():
-        assert mine[name].schema == table.schema
-        assert sorted(map(str, mine[name].collect())) == sorted(map(str, table.collect())), name
-    empty = gold.all_tables(gold.clustered(events.limit(0), str(tmp_path / "empty")), samples)
-    assert all(empty[name].count() == 0 for name in empty if name != "repurchase_metrics")
+    same_tables(gold.all_tables(events, samples), gold.all_tables(near, samples))
+    same_tables(gold.all_tables(events.limit(0), samples), gold.all_tables(gold.clustered(events.limit(0), str(tmp_path / "empty")), samples))
     # Joins of finished counts are by coalesce(key); nothing is shuffled by a user, an item or a merchant itself.
     detail = re.compile(r"Exchange hashpartitioning\((?:[^\n]*, )?(?:user|item|merchant)_id#")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -133,6 +138,16 @@ def test_refreshes_from_clustered_events_shuffle_counts_only(spark, tmp_path):
     assert all(detail.search(p) for p in plans[0].values()) and not any(detail.search(p) for p in plans[1].values())
 
 
+@pytest.mark.parametrize("hot", ["user_id", "item_id", "merchant_id"])
+def test_a_key_of_very_many_events_has_no_clustering(spark, tmp_path, monkeypatch, hot):
+    spread = {k: F.monotonically_increasing_id() for k in gold.CLUSTERINGS}
+    events, samples = odd_events(spark).withColumns(spread | {hot: F.lit(7).cast("long")}).localCheckpoint(), testviews.samples(spark, DATA)
+    monkeypatch.setattr(gold, "MOST_ROWS", 150)  # of 352 in four buckets
+    near = gold.clustered(events, str(tmp_path / "events"))
+    assert {*near.by} == {*gold.CLUSTERINGS} - {hot}
+    same_tables(gold.all_tables(events, samples), gold.all_tables(near, samples))
+
+
 def test_repeated_refresh_clusters_its_events_once(spark, monkeypatch):
     made, given = [], []
     clustered, write = gold.clustered, gold.write_tables
